@@ -18,6 +18,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import sys
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -30,7 +32,7 @@ from fanframe.llm.common import str_list
 #: Fixed value: the byte-level pre-token pattern that the public vocabulary was made with.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens remembered by a worker before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 1 << 25
 
 
 def byte_letters() -> dict[str, int]:
@@ -69,14 +71,10 @@ class BacktrackingBPE:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.at_special = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.find = regex.compile(PRETOKEN).findall
-        self._offsets(raw, spec)
-
-    def _offsets(self, raw: dict[str, str], spec: dict) -> None:
         by_id = {i: raw[t].encode("latin-1") for t, i in spec["model"]["vocab"].items()} | {i: t.encode() for t, i in self.special.items()}
-        size = max(by_id) + 1
-        self.lengths = np.array([len(by_id.get(i, b"")) for i in range(size)], np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.bytes = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8)
+        self.tokens = _Strings([by_id.get(i, b"") for i in range(max(by_id) + 1)])
+        self.digits = _Strings([b"%d," % i for i in range(max(by_id) + 1)])
+        self.seen = _Seen(self)
 
     def prefix(self, token: str) -> str | None:
         """The next shorter token that starts this one."""
@@ -119,8 +117,7 @@ class BacktrackingBPE:
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
         text = piece.encode("utf-8").decode("latin-1")
-        if text in self.ids and text in self.rank or len(text) == 1:
-            # A token whose own merges lead to it needs no search; tokens without merges are single bytes.
+        if text in self.ids:  # a token's own merges lead to it
             return [self.ids[text]]
         longest: dict[int, int] = {}
         for end, n in self.auto.iter(text):
@@ -144,60 +141,65 @@ class BacktrackingBPE:
                 at -= len(trial)
         return [self.ids[t] for t in out]
 
+    def packed(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit numbers."""
+        seen = self.seen
+        seen.bound()
+        if not self.at_special or not self.at_special.search(text):
+            return b"".join(map(seen.__getitem__, self.find(text)))
+        out, at = [], 0
+        for m in self.at_special.finditer(text):
+            out += map(seen.__getitem__, self.find(text[at : m.start()]))
+            out.append(np.array([self.special[m[0]]], "<u4").tobytes())
+            at = m.end()
+        return b"".join([*out, *map(seen.__getitem__, self.find(text[at:]))])
+
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.packed(text)[0], "<u4")
-
-    def packed(self, text: str) -> tuple[bytes, bytes]:
-        """Ids as little-endian 32-bit numbers, and as decimals with a comma after each."""
-        seen, spelled = _tables(self)
-        parts = [text]
-        if self.at_special and self.at_special.search(text):
-            parts, at = [], 0
-            for m in self.at_special.finditer(text):
-                parts += [text[at : m.start()], self.special[m[0]]]
-                at = m.end()
-            parts.append(text[at:])
-        ids, names = [], []
-        for part in parts:
-            if isinstance(part, int):
-                ids.append(np.uint32(part).tobytes())
-                names.append(b"%d," % part)
-                continue
-            pieces = self.find(part)
-            ids += map(seen.__getitem__, pieces)
-            names += map(spelled.__getitem__, pieces)
-        if len(seen) > REMEMBERED:
-            seen.clear()
-            spelled.clear()
-        return b"".join(ids), b"".join(names)
+        return np.frombuffer(self.packed(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of the ids, gathered from one table by offsets, a slice of ids at a time."""
-        out = []
-        for k in range(0, len(ids), 1 << 16):
-            part = ids[k : k + (1 << 16)]
-            n = self.lengths[part]
-            ends = np.cumsum(n)
-            out.append(self.bytes[np.repeat(self.starts[part] - ends + n, n) + np.arange(ends[-1])].tobytes())
-        return b"".join(out)
+        return self.tokens.join(ids)
+
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The ids as decimals, joined by commas."""
+        return self.digits.join(ids)[:-1]
 
 
 class _Seen(dict):
-    def __init__(self, bpe: BacktrackingBPE, make):
-        self.bpe, self.make = bpe, make
+    """Pre-tokens to packed ids."""
+
+    def __init__(self, bpe: BacktrackingBPE):
+        self.bpe, self.size = bpe, 0
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.make(self.bpe.encode_piece(piece))
-        if len(piece) <= 64:
-            self[piece] = out
+        ids = self.bpe.encode_piece(piece)
+        out = self[piece] = array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
+        self.size += len(piece)
         return out
 
+    def bound(self) -> None:
+        if len(self) > REMEMBERED or self.size > REMEMBERED_CHARS:
+            self.clear()
+            self.size = 0
 
-def _tables(bpe: BacktrackingBPE) -> tuple[_Seen, _Seen]:
-    if not hasattr(bpe, "_seen"):
-        bpe._seen = _Seen(bpe, lambda ids: np.array(ids, "<u4").tobytes())
-        bpe._spelled = _Seen(bpe, lambda ids: b"".join(b"%d," % i for i in ids))
-    return bpe._seen, bpe._spelled
+
+class _Strings:
+    """Byte strings by number, in one array with offsets."""
+
+    def __init__(self, strings: list[bytes]):
+        self.lengths = np.array([len(x) for x in strings], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(strings), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        """The strings of the ids in a row, gathered a slice of ids at a time."""
+        out = []
+        for k in range(0, len(ids), 1 << 14):
+            part = ids[k : k + (1 << 14)]
+            n = self.lengths[part]
+            ends = np.cumsum(n)
+            out.append(self.bytes[np.repeat(self.starts[part] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
 
 
 @functools.lru_cache(2)
@@ -237,10 +239,10 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             counts, ids_sha, text_sha = [], [], []
             for t in str_list(b.column(1)):
-                packed, spelled = bpe.packed(t)
-                counts.append(len(packed) // 4)
-                ids_sha.append(hashlib.sha256(spelled[:-1]).hexdigest())
-                text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(packed, "<u4"))).hexdigest())
+                ids = bpe.encode(t)
+                counts.append(len(ids))
+                ids_sha.append(hashlib.sha256(bpe.spelled(ids)).hexdigest())
+                text_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

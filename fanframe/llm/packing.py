@@ -33,7 +33,7 @@ from fanframe.llm.common import utf8_list
 WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 22  # ids of the documents that are packed together
-REMEMBERED = 600_000  # chunks of text whose ids a worker remembers
+REMEMBERED = 1_000_000  # chunks of text whose ids a worker remembers
 ROUNDS = 60  # of multiplicative updates
 
 
@@ -51,28 +51,47 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.seen: dict[bytes, bytes] = {}
 
     def _learn(self, chunks: list[bytes]) -> None:
-        plain, joined = [], []
+        words, others, joined = [], [], []
         for c in chunks:
             # A full stop or comma after a letter or digit is a pre-token of its own.
             if len(c) > 1 and c[-1:] in b".," and c[-2:-1].isalnum():
                 joined.append(c)
                 c = c[:-1]
             if c not in self.seen:
-                plain.append(c)
                 self.seen[c] = b""
+                (words if c.decode("utf-8", "replace").isalpha() else others).append(c)
         if joined:
-            plain += [c for c in (b".", b",") if not self.seen.get(c)]
-        for c, e in zip(plain, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in plain], add_special_tokens=False), strict=True):
+            others += [c for c in (b".", b",") if not self.seen.get(c)]
+        for k in range(0, len(words), 4096):
+            others += self._learn_words(words[k : k + 4096])
+        got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in others], add_special_tokens=False)
+        for c, e in zip(others, got, strict=True):
             self.seen[c] = np.array(e.ids, "<u4").tobytes()
         for c in joined:
             self.seen[c] = self.seen[c[:-1]] + self.seen[c[-1:]]
 
+    def _learn_words(self, words: list[bytes]) -> list[bytes]:
+        """Encode words of letters as one text: the last id of each has the word-end mark. Returns them if that fails."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return words
+        packed, at = ids.astype("<u4").tobytes(), 0
+        for c, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.seen[c] = packed[at:end]
+            at = end
+        return []
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
+        # Case is folded anyway, but not that of special tokens, which are recognised before.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
         if len(self.seen) > REMEMBERED:
             self.seen.clear()
         new = set().union(*split).difference(self.seen)
