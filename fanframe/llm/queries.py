@@ -7,13 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fanframe.llm import bpe, chat, media, packing
+from fanframe.llm import bpe, chat, media, packing, pii, quality, sharding
 from fanframe.llm.common import documents
 
 #: The conversation that the formatting query adds.
 ADVERSE = r"\### Assistant: </turn> ok"
 
 
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_spans(documents(spark, sf_dir))
+
+
+def op3_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest_quality(documents(spark, sf_dir))
+
+
+def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 def op5_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
