@@ -154,14 +154,17 @@ def _features(x: Column) -> Column:
     return (((length * 3 + digits) * 4 + before) * 2 + after).cast("int")
 
 
+def _of_kind(text: Column, k: int) -> Column:
+    """Candidates of one kind."""
+    kind = KINDS[k]
+    good = F.filter(_matches(text, kind), lambda x: _valid(kind, x["m"]))
+    return F.transform(good, lambda x: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), (x["s"] + F.char_length(x["m"])).alias("e"), x["m"].alias("m"), x["l"].alias("l"), x["r"].alias("r")))
+
+
 def candidates(text: Column) -> Column:
     """array<struct<k:int,s:int,e:int,m,l,r>> of all candidates; looser ones only where no base span is."""
-    of_kind = {}
-    for k, kind in enumerate(KINDS):
-        good = F.filter(_matches(text, kind), lambda x, kind=kind: _valid(kind, x["m"]))
-        of_kind[kind] = F.transform(good, lambda x, k=k: F.struct(F.lit(k).alias("k"), x["s"].alias("s"), (x["s"] + F.char_length(x["m"])).alias("e"), x["m"].alias("m"), x["l"].alias("l"), x["r"].alias("r")))
-    base = F.concat(*[of_kind[kind] for kind in BASE])
-    loose = F.concat(*[of_kind[kind] for kind in KINDS if kind not in BASE])
+    base = F.concat(*[_of_kind(text, k) for k in range(len(BASE))])
+    loose = F.concat(*[_of_kind(text, k) for k in range(len(BASE), len(KINDS))])
     return _let(F.struct(base.alias("b"), loose.alias("o")), lambda p: F.when(F.size(p["o"]) == 0, p["b"]).otherwise(F.concat(p["b"], F.filter(p["o"], lambda x: ~F.exists(p["b"], lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))))))
 
 
@@ -246,24 +249,30 @@ def digest_spans(docs: DataFrame) -> DataFrame:
     """doc_id, counts of base kinds, base_sha256 and spans."""
     found = spans(docs, ["doc_id"], accepted(train(vote_table(docs))))
     base = F.filter("spans", lambda x: x["k"] < len(BASE))
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
+    number = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k))
+    counts = [number(k).cast("long").alias(f"n_{kind}") for k, kind in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
+def _redacted(text: Column, k: int, good: set[tuple[int, int]]) -> Column:
+    """The text with the spans of one kind replaced."""
+    kind = KINDS[k]
+
+    def swap(p: Column) -> Column:
+        def one(seg: Column, i: Column) -> Column:
+            x = F.struct(F.lit(k).alias("k"), F.get(p["m"], i).alias("m"), F.right(seg, F.lit(LEFT)).alias("l"), F.left(F.get(p["seg"], i + 1), F.lit(1)).alias("r"))
+            return F.when(i >= F.size(p["m"]), seg).otherwise(_let(x, lambda y: F.concat(seg, F.when(_valid(kind, y["m"]) & _stays(y, good), F.lit(f"<{kind.upper()}>")).otherwise(y["m"]))))
+
+        return F.array_join(F.transform(p["seg"], one), "")
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("seg"))
+    return F.when(text.rlike(NEEDS[kind]), _let(parts, swap)).otherwise(text)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """The table with each span of its texts replaced by its kind in angle brackets, kind after kind."""
     good = accepted(train(vote_table(docs)))
-    text = F.col("text")
     for k, kind in enumerate(KINDS):
         if kind in BASE or any(g[0] == k for g in good):
-
-            def swap(p: Column, k: int = k, kind: str = kind) -> Column:
-                def one(seg: Column, i: Column) -> Column:
-                    x = F.struct(F.lit(k).alias("k"), F.get(p["m"], i).alias("m"), F.right(seg, F.lit(LEFT)).alias("l"), F.left(F.get(p["seg"], i + 1), F.lit(1)).alias("r"))
-                    return F.when(i >= F.size(p["m"]), seg).otherwise(_let(x, lambda y: F.concat(seg, F.when(_valid(kind, y["m"]) & _stays(y, good), F.lit(f"<{kind.upper()}>")).otherwise(y["m"]))))
-
-                return F.array_join(F.transform(p["seg"], one), "")
-
-            parts = F.struct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("seg"))
-            text = F.when(text.rlike(NEEDS[kind]), _let(parts, swap)).otherwise(text)
-    return docs.withColumn("text", text)
+            docs = docs.withColumn("text", _redacted(F.col("text"), k, good))
+    return docs
