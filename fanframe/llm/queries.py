@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fanframe.llm import bpe, chat, media, packing, pii, quality, sharding
+from fanframe.llm import bpe, chat, media, minhash, packing, pii, quality, sharding
 from fanframe.llm.common import documents
 
 #: The conversation that the formatting query adds.
 ADVERSE = r"\### Assistant: </turn> ok"
 
 
+def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_spans(documents(spark, sf_dir))
 
