@@ -32,7 +32,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{re.sub('[^a-z0-9]+', '_', label)}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialize() wrote, once all that came from it is written itself."""
+    jvm = df.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +66,3 @@ def block_count(docs: DataFrame, block_bytes: int) -> int:
     """How many hash blocks of about block_bytes of text the table makes (one scan of the texts' lengths)."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     return max(1, -(-total // block_bytes))
-
-
-def prefixed(names: list[str], table: DataFrame) -> list[Column]:
-    return [F.col(n) for n in names if n in table.columns]

@@ -8,8 +8,8 @@ documents agree in a register with the probability of their weighted Jaccard. Po
 up to the time by which all registers are filled, which makes the effort independent of counts.
 
 Steps: equal texts become one (by 128 bits of hash); signatures are cut into bands, and bands
-are buckets. In each bucket every member is paired with one leader, picked by hash and anew per
-bucket; candidate pairs are verified by exact multiset overlap; verified links are contracted to
+are buckets. In each bucket every member is paired with one leader, the first in a
+hash order; candidate pairs are verified by exact multiset overlap; verified links are contracted to
 components. Buckets whose members are then still in different components are searched further:
 neighbours in hash order are paired, and large ones are dealt into finer buckets by every band
 before (so two documents must agree in two bands). No step lists all pairs of a bucket, and no
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fanframe.llm.common import materialize, text_or_empty, utf8_list
+from fanframe.llm.common import discard, materialize, text_or_empty, utf8_list
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -165,7 +165,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     common = F.when(small >= SIMILARITY * large - 1e-9, F.size(F.array_intersect("x", "y"))).otherwise(0)
     both = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    return materialize(both.filter(F.col("c") >= SIMILARITY * (F.col("s") - F.col("c")) - 1e-9).select("a", "b"), "links")
+    links = materialize(both.filter(F.col("c") >= SIMILARITY * (F.col("s") - F.col("c")) - 1e-9).select("a", "b"), "links")
+    discard(codes)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,7 +180,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = materialize(small, "edges")
+        after = materialize(small, "edges")
+        discard(edges)
+        edges = after
         now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == before:
             break
@@ -187,8 +191,11 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with its leader. rows: bucket, id."""
-    leader = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("o"), F.col("id").alias("leader"))).alias("x"), F.count("*").alias("n")).filter("n > 1").select("bucket", "x.leader")
+    """Pairs of each bucket's members with its leader. rows: bucket, id.
+
+    Leaders are the first in one order for all buckets, so that alike documents have few of them.
+    """
+    leader = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("leader"))).alias("x"), F.count("*").alias("n")).filter("n > 1").select("bucket", "x.leader")
     return rows.join(leader, "bucket").filter("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
@@ -199,9 +206,9 @@ def _unsettled(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return known.join(mixed, "bucket")
 
 
-def _neighbour_pairs(rows: DataFrame) -> DataFrame:
+def _neighbour_pairs(rows: DataFrame, seed: int) -> DataFrame:
     """Pairs of members of different components that are neighbours in hash order."""
-    w = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "id"), "id")
+    w = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), "bucket", "id"), "id")
     near = F.array(*[F.struct(F.lead("id", k).over(w).alias("id"), F.lead("class_id", k).over(w).alias("c")) for k in range(1, NEIGHBOURS + 1)])
     pairs = rows.withColumn("near", near).select("id", "class_id", F.explode("near").alias("o")).filter("o.id is not null and o.c != class_id")
     return pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
@@ -218,14 +225,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     unique = signed.select(F.col("doc_id").alias("id"), "buckets").join(first.select("id"), "id", "left_semi").dropDuplicates(["id"])
     rows = materialize(unique.select("id", F.explode("buckets").alias("bucket")), "bands")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    links = _verified(materialize(_leader_pairs(rows), "leader pairs"), texts)
+    checked = materialize(_leader_pairs(rows), "leader pairs")
+    links = _verified(checked, texts)
     classes = components(links)
-    for _ in range(LEVELS):
+    for level in range(LEVELS):
         left = materialize(_unsettled(rows, classes), "unsettled")
-        found = _neighbour_pairs(left)
+        found = _neighbour_pairs(left, level)
         large = left.filter(F.col("n") > NEIGHBOURS + 1).select("id", F.col("bucket").alias("coarse"))
         finer = large.join(rows, "id").filter("bucket > coarse").select("id", F.xxhash64("coarse", "bucket").alias("bucket"))
-        found = materialize(found.unionByName(_leader_pairs(finer)).distinct(), "further pairs")
+        found = materialize(found.unionByName(_leader_pairs(finer)).distinct().join(checked, ["a", "b"], "left_anti"), "further pairs")
+        discard(left)
+        if found.isEmpty():
+            break
+        checked = checked.unionByName(found)
         more = _verified(found, texts)
         if more.isEmpty():
             break

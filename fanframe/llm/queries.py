@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fanframe.llm import bpe, chat, media, minhash, packing, pii, quality, sharding
+from fanframe.llm import bpe, chat, media, minhash, packing, pii, quality, sharding, substrings
 from fanframe.llm.common import documents
 
 #: The conversation that the formatting query adds.
@@ -44,6 +44,10 @@ def op7_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render_turns(table.unionByName(more)))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest_substrings(documents(spark, sf_dir))
+
+
 def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
