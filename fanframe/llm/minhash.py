@@ -11,8 +11,9 @@ Steps: equal texts become one (by 128 bits of hash); signatures are cut into ban
 are buckets. In each bucket every member is paired with one leader, the first in a
 hash order; candidate pairs are verified by exact multiset overlap; verified links are contracted to
 components. Buckets whose members are then still in different components are searched further:
-neighbours in hash order are paired, and large ones are dealt into finer buckets by every band
-before (so two documents must agree in two bands). No step lists all pairs of a bucket, and no
+neighbours in hash order are paired, and where there are many components the members of small ones
+are dealt into finer buckets by every further band (so two documents must agree in two bands; a
+large component meets each other member as that one's neighbour in every bucket they share). No step lists all pairs of a bucket, and no
 bucket is held in one place.
 
 Defined results: words are runs of characters other than white space; texts of one to four words
@@ -200,10 +201,11 @@ def _leader_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _unsettled(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (bucket, id, class_id, n) of buckets with members of different components."""
+    """Rows (bucket, id, class_id, n) of buckets with members of different components; n: of the class in the bucket."""
     known = rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    mixed = known.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("n")).filter("low != high").select("bucket", "n")
-    return known.join(mixed, "bucket")
+    sizes = known.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("classes")).filter("classes > 1").select("bucket", "classes")
+    return known.join(sizes.join(mixed, "bucket"), ["bucket", "class_id"])
 
 
 def _neighbour_pairs(rows: DataFrame, seed: int) -> DataFrame:
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for level in range(LEVELS):
         left = materialize(_unsettled(rows, classes), "unsettled")
         found = _neighbour_pairs(left, level)
-        large = left.filter(F.col("n") > NEIGHBOURS + 1).select("id", F.col("bucket").alias("coarse"))
+        large = left.filter((F.col("n") <= NEIGHBOURS) & (F.col("classes") > NEIGHBOURS // 2)).select("id", F.col("bucket").alias("coarse"))
         finer = large.join(rows, "id").filter("bucket > coarse").select("id", F.xxhash64("coarse", "bucket").alias("bucket"))
         found = materialize(found.unionByName(_leader_pairs(finer)).distinct().join(checked, ["a", "b"], "left_anti"), "further pairs")
         discard(left)
