@@ -41,7 +41,7 @@ from fanframe.llm.common import block_count, utf8_list
 LENGTH = 50
 GRAM = 24
 WIDTH = LENGTH - GRAM + 1
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -231,7 +231,7 @@ def _list_minima(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         values, docs = [], []
         for doc, text in _rows(table):
-            v = np.unique(minima(text)) & ~np.uint64(1)
+            v = np.unique(runs(minima(text))[0] & ~np.uint64(1))
             values.append(v)
             docs.append(np.full(len(v), doc, np.int64))
         v, d = np.concatenate(values), np.concatenate(docs)
@@ -334,19 +334,21 @@ def _answer(table: pa.Table) -> pa.Table:
 
 def covered(text: bytes, doc: int, shared: np.ndarray, answers: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that strings found in earlier documents cover."""
-    starts = []
+    first, last = [], []
     for value, a, b in _pieces(text, shared):
         least = answers[value, xxhash.xxh3_64_intdigest(text[a : b + LENGTH])]
-        if len(least) == 1:
-            if least[0] < doc:
-                starts.append(np.arange(a, b + 1))
-        else:
-            starts.append(np.flatnonzero(least < doc) + a)
-    at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    if not len(at):
-        return at, at
-    breaks = np.flatnonzero(at[1:] > at[:-1] + LENGTH) + 1
-    return at[np.concatenate([[0], breaks])], at[np.concatenate([breaks - 1, [len(at) - 1]])] + LENGTH
+        if len(least) > 1:
+            at = (np.flatnonzero(least < doc) + a).tolist()
+            first += at
+            last += at
+        elif least[0] < doc:
+            first.append(a)
+            last.append(b)
+    starts, ends = np.array(first, np.int64), np.array(last, np.int64) + LENGTH
+    if len(starts):  # both ascend
+        breaks = np.flatnonzero(starts[1:] > ends[:-1]) + 1
+        starts, ends = starts[np.concatenate([[0], breaks])], ends[np.concatenate([breaks - 1, [len(ends) - 1]])]
+    return starts, ends
 
 
 def _remove(columns: pa.Schema, make):
@@ -400,7 +402,7 @@ def _run(docs: DataFrame, ddl, finish) -> DataFrame:
     grouped = by_block.groupBy("block")
     lists = grouped.applyInArrow(_list_minima(2 * n), "bucket int, block int, found binary")
     shared = lists.groupBy("bucket").applyInArrow(_find_shared, "block int, shared binary")
-    sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(2 * n), "shard int, block int, minimum binary, doc binary, size binary, text binary")
+    sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(4 * n), "shard int, block int, minimum binary, doc binary, size binary, text binary")
     answers = sent.groupBy("shard").applyInArrow(_answer, "block int, minimum binary, ident binary, n binary, least binary")
     return grouped.cogroup(answers.groupBy("block")).applyInArrow(finish, ddl)
 
