@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fanframe.llm import bpe, chat, media, minhash, packing, pii, quality, sharding, substrings
+from fanframe.llm import bpe, chat, maxent, media, minhash, packing, pii, quality, sharding, substrings
 from fanframe.llm.common import documents
 
 #: The conversation that the formatting query adds.
@@ -52,6 +52,10 @@ def op9_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
