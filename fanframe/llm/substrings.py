@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,6 +77,13 @@ def runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return m[first], first, np.append(first[1:], len(m)) - 1
 
 
+def codes(values: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and 31 further bits of minima. Within a bucket, whose number grows with the table, few
+    different minima meet in one code, and those only cost work: pieces are compared by their bytes."""
+    bucket = (values >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return bucket << np.uint64(32) | values & np.uint64(0xFFFFFFFE)
+
+
 def _has(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
         return np.zeros(len(values), bool)
@@ -231,7 +239,7 @@ def _list_minima(buckets: int):
     def run(table: pa.Table) -> pa.Table:
         values, docs = [], []
         for doc, text in _rows(table):
-            v = np.unique(runs(minima(text))[0] & ~np.uint64(1))
+            v = np.unique(codes(runs(minima(text))[0], buckets))
             values.append(v)
             docs.append(np.full(len(v), doc, np.int64))
         v, d = np.concatenate(values), np.concatenate(docs)
@@ -243,42 +251,42 @@ def _list_minima(buckets: int):
         # The lowest bit: more than one document of this block has it.
         several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
         v = v[first] | several.astype(np.uint64)
-        bucket = ((v >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        bucket = (v >> np.uint64(32)).astype(np.int32)
         cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(v)]])
         block = table.column("block")[0].as_py()
-        parts = [v[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        low = v.astype(np.uint32)
+        parts = [low[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
         return pa.table({"bucket": bucket[cut[:-1]], "block": np.full(len(parts), block, np.int32), "found": parts}, schema)
 
     return run
 
 
 def _find_shared(table: pa.Table) -> pa.Table:
-    lists = [np.frombuffer(x, "<u8") for x in table.column("found").to_pylist()]
-    one = np.uint64(1)
+    lists = [np.frombuffer(x, "<u4") for x in table.column("found").to_pylist()]
+    one = np.uint32(1)
     every = np.sort(np.concatenate([x & ~one for x in lists]))
     twice = every[1:][every[1:] == every[:-1]]
     out = [(x & ~one)[(x & one).astype(bool) | _has(twice, x & ~one)] for x in lists]
-    return pa.table({"block": table.column("block"), "shared": pa.chunked_array([pa.array([x.astype("<u8").tobytes() for x in out], pa.binary())])})
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "shared": pa.chunked_array([pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())])})
 
 
-def _pieces(text: bytes, shared: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _pieces(text: bytes, shared: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
     """(minimum, first, last start) of the runs whose minimum is shared."""
     value, first, last = runs(minima(text))
-    value = value & ~np.uint64(1)
-    good = _has(shared, value)
+    good = _has(shared, codes(value, buckets))
     return zip(value[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True)
 
 
-def _send_pieces(shards: int):
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("minimum", pa.binary()), ("doc", pa.binary()), ("size", pa.binary()), ("text", pa.binary())])
+def _send_pieces(shards: int, buckets: int):
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("minimum", pa.binary()), ("rest", pa.binary())])
 
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
         if not docs.num_rows or not lists.num_rows:
             return schema.empty_table()
-        shared = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in lists.column("shared").to_pylist()]))
+        shared = np.sort(np.concatenate([np.frombuffer(x, "<u4").astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, x in zip(lists.column("bucket").to_pylist(), lists.column("shared").to_pylist(), strict=True)]))
         least: dict[tuple[int, bytes], int] = {}
         for doc, text in _rows(docs):
-            for value, a, b in _pieces(text, shared):
+            for value, a, b in _pieces(text, shared, buckets):
                 key = value, text[a : b + LENGTH]
                 known = least.get(key)
                 if known is None or doc < known:
@@ -286,8 +294,8 @@ def _send_pieces(shards: int):
         by_shard: dict[int, list[tuple[int, bytes]]] = {}
         for key in least:
             by_shard.setdefault((key[0] >> 32) * shards >> 32, []).append(key)
-        block = docs.column("block")[0].as_py()
-        rows = [(s, block, np.array([k[0] for k in ks], "<u8").tobytes(), np.array([least[k] for k in ks], "<i8").tobytes(), np.array([len(k[1]) for k in ks], "<i4").tobytes(), b"".join([k[1] for k in ks])) for s, ks in by_shard.items()]
+        block, pack = docs.column("block")[0].as_py(), zstandard.ZstdCompressor(level=1).compress
+        rows = [(s, block, np.array([k[0] for k in ks], "<u8").tobytes(), pack(np.array([least[k] for k in ks], "<i8").tobytes() + np.array([len(k[1]) for k in ks], "<i4").tobytes() + b"".join([k[1] for k in ks]))) for s, ks in by_shard.items()]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
 
     return run
@@ -296,11 +304,13 @@ def _send_pieces(shards: int):
 def _answer(table: pa.Table) -> pa.Table:
     """For each block's pieces the smallest doc_id: one number if it holds for all strings of the piece, else one for each."""
     least: dict[tuple[int, bytes], int] = {}
-    sent = []
-    for minimum, doc, size, text in zip(*(table.column(c).to_pylist() for c in ("minimum", "doc", "size", "text")), strict=True):
-        ends = np.cumsum(np.frombuffer(size, "<i4")).tolist()
-        keys = list(zip(np.frombuffer(minimum, "<u8").tolist(), (text[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-        for k, d in zip(keys, np.frombuffer(doc, "<i8").tolist(), strict=True):
+    sent, unpack = [], zstandard.ZstdDecompressor().decompress
+    for minimum, rest in zip(*(table.column(c).to_pylist() for c in ("minimum", "rest")), strict=True):
+        values = np.frombuffer(minimum, "<u8").tolist()
+        n, rest = len(values), unpack(rest)
+        ends = (np.cumsum(np.frombuffer(rest, "<i4", n, 8 * n)) + 12 * n).tolist()
+        keys = list(zip(values, (rest[a:b] for a, b in zip([12 * n, *ends], ends, strict=False)), strict=True))
+        for k, d in zip(keys, np.frombuffer(rest, "<i8", n).tolist(), strict=True):
             if (known := least.get(k)) is None or d < known:
                 least[k] = d
         sent.append(keys)
@@ -332,10 +342,10 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def covered(text: bytes, doc: int, shared: np.ndarray, answers: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def covered(text: bytes, doc: int, shared: np.ndarray, buckets: int, answers: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that strings found in earlier documents cover."""
     first, last = [], []
-    for value, a, b in _pieces(text, shared):
+    for value, a, b in _pieces(text, shared, buckets):
         least = answers[value, xxhash.xxh3_64_intdigest(text[a : b + LENGTH])]
         if len(least) > 1:
             at = (np.flatnonzero(least < doc) + a).tolist()
@@ -351,7 +361,7 @@ def covered(text: bytes, doc: int, shared: np.ndarray, answers: dict[tuple[int,
     return starts, ends
 
 
-def _remove(columns: pa.Schema, make):
+def _remove(columns: pa.Schema, make, buckets: int):
     """Cut each document of a block and give make(doc_id, text, kept parts, spans)."""
 
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
@@ -362,10 +372,10 @@ def _remove(columns: pa.Schema, make):
             shared.append(m)
             ends = np.cumsum(np.frombuffer(n, "<i4"))
             answers.update(zip(zip(m.tolist(), i.tolist(), strict=True), np.split(values, ends[:-1]), strict=True))
-        known = np.unique(np.concatenate(shared)) if shared else np.zeros(0, np.uint64)
+        known = np.unique(codes(np.concatenate(shared), buckets)) if shared else np.zeros(0, np.uint64)
         rows = []
         for doc, text in _rows(docs):
-            a, b = covered(text, doc, known, answers)
+            a, b = covered(text, doc, known, buckets, answers)
             cuts = zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)
             rows.append(make(None if doc == LAST else doc, text, b"".join([text[x:y] for x, y in cuts]), len(a)))
         if not rows:
@@ -379,11 +389,11 @@ def _digests(doc, text: bytes, kept: bytes, spans: int) -> tuple:
     return doc, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()
 
 
-def _replace(columns: list[str]):
+def _replace(columns: list[str], buckets: int):
     """Give the block's rows with what is left of their texts."""
 
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
-        texts = iter(_remove(KEPT, lambda doc, text, kept, spans: (kept.decode("utf-8", "ignore"),))(docs, lists).column("text").to_pylist())
+        texts = iter(_remove(KEPT, lambda doc, text, kept, spans: (kept.decode("utf-8", "ignore"),), buckets)(docs, lists).column("text").to_pylist())
         out = docs.select(columns)
         at = columns.index("text")
         had = out.column(at).is_valid().to_pylist()
@@ -401,17 +411,17 @@ def _run(docs: DataFrame, ddl, finish) -> DataFrame:
     by_block = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     grouped = by_block.groupBy("block")
     lists = grouped.applyInArrow(_list_minima(2 * n), "bucket int, block int, found binary")
-    shared = lists.groupBy("bucket").applyInArrow(_find_shared, "block int, shared binary")
-    sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(4 * n), "shard int, block int, minimum binary, doc binary, size binary, text binary")
+    shared = lists.groupBy("bucket").applyInArrow(_find_shared, "block int, bucket int, shared binary")
+    sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(4 * n, 2 * n), "shard int, block int, minimum binary, rest binary")
     answers = sent.groupBy("shard").applyInArrow(_answer, "block int, minimum binary, ident binary, n binary, least binary")
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(finish, ddl)
+    return grouped.cogroup(answers.groupBy("block")).applyInArrow(finish(2 * n), ddl)
 
 
 def digest_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     columns = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _run(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", _remove(columns, _digests))
+    return _run(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda buckets: _remove(columns, _digests, buckets))
 
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
@@ -419,4 +429,4 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     # Positions for names, so that columns of any name pass through.
     names = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)]
     safe = docs.toDF(*names)
-    return _run(safe, safe.schema, _replace(names)).toDF(*docs.columns)
+    return _run(safe, safe.schema, lambda buckets: _replace(names, buckets)).toDF(*docs.columns)
