@@ -20,6 +20,8 @@ tokens N and V are 0; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,9 +32,9 @@ from fanframe.llm.common import block_count, materialize, utf8_list
 
 HELD_OUT = (7, 2)  # crc32 of the id as text, modulo, remainder
 END = b"\n"  # no word has it
-HEAD, TAIL = 20, 12
+HEAD, TAIL = 10, 6
 CLASSES = HEAD + TAIL
-SLOTS = 1 << 14  # hashed weights of each kind of feature
+SLOTS = 1 << 13  # hashed weights of each kind of feature
 KINDS = 3
 RATE, BATCH, ROUNDS = 0.5, 2048, 3
 BLOCK_BYTES = 1 << 22
@@ -64,7 +66,7 @@ class Classes:
 
 
 def feature_slots(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Slots of each token's features, by the hashes of the tokens before it in its document."""
+    """Slots of each token's features, a row for each kind, by the hashes of the tokens before it in its document."""
     h = hashes.astype(np.uint64)
     one = np.concatenate([[0], h[:-1]]).astype(np.uint64)
     two = np.concatenate([[0, 0], h[:-2]]).astype(np.uint64)[: len(h)]
@@ -74,13 +76,13 @@ def feature_slots(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     two[second[second < len(h)]] = 1
     big = np.uint64(0x9E3779B97F4A7C15)
     pair = (one * big ^ two) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.stack([(x * big >> np.uint64(50)).astype(np.int64) + k * SLOTS for k, x in enumerate((one, two + np.uint64(7), pair))], 1)
+    return np.stack([(x * big >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.uint16) for x in (one, two + np.uint64(7), pair)])
 
 
 def _softmax(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    z = weights[-1] + weights[slots[:, 0]]
+    z = weights[-1] + weights[slots[0]]
     for k in range(1, KINDS):
-        z += weights[slots[:, k]]
+        z += weights[slots[k].astype(np.int64) + k * SLOTS]
     z -= z.max(1, keepdims=True)
     np.exp(z, z)
     z /= z.sum(1, keepdims=True)
@@ -92,8 +94,8 @@ def descend(weights: np.ndarray, slots: np.ndarray, classes: np.ndarray, squares
     g = _softmax(weights, slots)
     g[np.arange(len(g)), classes] -= 1
     for k in range(KINDS):
-        order = np.argsort(slots[:, k])
-        at = slots[order, k]
+        order = np.argsort(slots[k], kind="stable")  # a radix sort
+        at = slots[k][order].astype(np.int64) + k * SLOTS
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         total, row = np.add.reduceat(g[order], first, 0), at[first]
         squares[row] += (total * total).mean(1)
@@ -126,7 +128,7 @@ def _train_round(docs: DataFrame, weights: np.ndarray, head: list[bytes]) -> np.
                 w, squares = start.value.copy(), np.zeros(len(start.value), np.float32)
             for _, _, _, cls, slots in _batches_of_tokens(b, classes):
                 for k in range(0, len(cls), BATCH):
-                    descend(w, slots[k : k + BATCH], cls[k : k + BATCH], squares)
+                    descend(w, slots[:, k : k + BATCH], cls[k : k + BATCH], squares)
                 n += len(cls)
         if n:
             # One row a slice: the change of its weights, times the tokens it rests on.
@@ -153,28 +155,55 @@ def train(docs: DataFrame, head: list[bytes]) -> np.ndarray:
     return weights
 
 
-def _count_tokens(table: pa.Table) -> pa.Table:
-    """Distinct tokens of a block, with their count in its training documents."""
-    counts: dict[bytes, int] = {}
-    for out, text in zip(table.column("held_out").to_pylist(), utf8_list(table.column("text")), strict=True):
-        n = 0 if out else 1
-        for t in tokens(text):
-            counts[t] = counts.get(t, 0) + n
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(counts), pa.int32()), "token": pa.array(list(counts), pa.binary()), "c": pa.array(list(counts.values()), pa.int64())})
+#: Distinct tokens that a task counts before it hands them on.
+COUNTED = 200_000
+
+
+def _count_tokens(batches):
+    """Tokens of training documents with counts, summed over as many as a task can hold."""
+
+    def row_batch(counts):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
+
+    counts = Counter()
+    for b in batches:
+        for k in range(0, b.num_rows, 64):
+            for text in utf8_list(b.slice(k, 64).column(0)):
+                counts.update(tokens(text))
+            if len(counts) > COUNTED:
+                yield row_batch(counts)
+                counts = Counter()
+    yield row_batch(counts)
+
+
+def _list_tokens(table: pa.Table) -> pa.Table:
+    """Distinct tokens of a block."""
+    found = set()
+    for k in range(0, table.num_rows, 64):
+        for text in utf8_list(table.slice(k, 64).column("text")):
+            found.update(tokens(text))
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int32()), "token": pa.array(list(found), pa.binary())})
+
+
+class Known(dict):
+    """Counts of a block's tokens; those not in training have none."""
+
+    def __missing__(self, token: bytes) -> int:
+        return 0
 
 
 def _score(weights, head: list[bytes], total: int, distinct: int, of_class: np.ndarray, kinds_of_class: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        known = dict(zip(counts.column("token").to_pylist(), counts.column("n").to_pylist(), strict=True))
+        known = Known(zip(counts.column("token").to_pylist(), counts.column("n").to_pylist(), strict=True))
         classes, w, out = Classes(head), weights.value, []
         k = 0
         for own, toks, sizes, cls, slots in _batches_of_tokens(docs, classes):
             c = np.fromiter(map(known.__getitem__, toks), np.int64, len(toks))
             base = np.log10((c + 1) / (total + 1 * (distinct + 1)))
             inner = np.log10((c + 1) / (of_class[cls] + kinds_of_class[cls] + 1))
-            outer = np.concatenate([np.log10(_softmax(w, slots[j : j + BATCH])[np.arange(len(cls[j : j + BATCH])), cls[j : j + BATCH]].astype(np.float64) + 1e-12) for j in range(0, len(cls), BATCH)])
+            outer = np.concatenate([np.log10(_softmax(w, slots[:, j : j + BATCH])[np.arange(len(cls[j : j + BATCH])), cls[j : j + BATCH]].astype(np.float64) + 1e-12) for j in range(0, len(cls), BATCH)])
             at = np.cumsum(sizes) - sizes
             part = docs.slice(k, len(own))
             out.append([part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(own), total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(inner + outer, at))])
@@ -192,8 +221,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n = block_count(docs, BLOCK_BYTES)
     rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
     grouped = rows.groupBy("block")
-    own = materialize(grouped.applyInArrow(_count_tokens, "block int, token binary, c long"), "tokens of blocks")
-    counts = materialize(own.groupBy("token").agg(F.sum("c").alias("n")), "token counts")
+    learnt = docs.filter(~held_out()).select("text").mapInArrow(_count_tokens, "token binary, c long")
+    counts = materialize(learnt.groupBy("token").agg(F.sum("c").alias("n")), "token counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
     head = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "token").limit(HEAD).collect()]
 
@@ -206,6 +235,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     by_class = {r[0]: (r[1], r[2]) for r in counts.filter("n > 0").mapInArrow(classed, "k int, n long").groupBy("k").agg(F.sum("n"), F.count("*")).collect()}
     of_class, kinds = (np.array([by_class.get(k, (0, 0))[j] for k in range(CLASSES)], np.int64) for j in range(2))
     weights = spark.sparkContext.broadcast(train(docs.filter(~held_out()), head))
-    known = own.select("block", "token").join(counts, "token")
+    known = grouped.applyInArrow(_list_tokens, "block int, token binary").join(counts, "token")
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return grouped.cogroup(known.groupBy("block")).applyInArrow(_score(weights, head, total, distinct, of_class, kinds), ddl)
