@@ -106,7 +106,7 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def combinations(have: np.ndarray, window: int, most: int = 1 << 16) -> np.ndarray:
+def combinations(have: np.ndarray, window: int, most: int = 1 << 14) -> np.ndarray:
     """Columns of two and three lengths that fill the window, out of lengths with a count; padded with 0.
 
     Beyond `most` columns those with the largest smallest count stay: a bound on the effort of
@@ -155,18 +155,20 @@ def plan(rest: np.ndarray, window: int) -> tuple[list[list[int]], np.ndarray]:
     columns = combinations(left, window)
     if len(columns):
         x = solve(columns, left)
-        for j in np.argsort(-x, kind="stable"):
-            if x[j] < 0.5:
-                break
-            lengths, need = np.unique(columns[j][columns[j] > 0], return_counts=True)
-            n = min(int(x[j] + 0.5), int((left[lengths] // need).min()))
-            for _ in range(n):
+        have, first = left.tolist(), (top - left).tolist()
+        # Rounded, once at least, as far as the lengths last; the largest repeats first.
+        by = np.argsort(-x, kind="stable")
+        for column, repeat in zip(columns[by].tolist(), np.maximum(x[by] + 0.5, 1).astype(np.int64).tolist(), strict=True):
+            lengths = [n for n in column if n]
+            while repeat and all(have[n] >= lengths.count(n) for n in lengths):
                 members = []
-                for length in columns[j]:
-                    if length:
-                        members.append(int(order[top[length] - left[length]]))
-                        left[length] -= 1
+                for n in lengths:
+                    members.append(int(order[first[n]]))
+                    first[n] += 1
+                    have[n] -= 1
                 groups.append(members)
+                repeat -= 1
+        left = np.array(have)
     remain = [order[top[n] - left[n] : top[n]] for n in np.flatnonzero(left)[::-1]]
     return groups, np.concatenate(remain) if remain else np.zeros(0, np.int64)
 
