@@ -20,6 +20,7 @@ tokens N and V are 0; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -185,29 +186,47 @@ def _list_tokens(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int32()), "token": pa.array(list(found), pa.binary())})
 
 
-class Known(dict):
-    """Counts of a block's tokens; those not in training have none."""
+class Numbers(dict):
+    """Numbers for a block's tokens, with each one's count, class and hash in arrays: one lookup a token."""
+
+    def __init__(self, counts: dict[bytes, int], classes: Classes):
+        self.counts, self.classes, self.new = counts, classes, []
+        self.table = np.zeros((3, 0), np.int64)
 
     def __missing__(self, token: bytes) -> int:
-        return 0
+        self[token] = n = len(self)
+        self.new.append(token)
+        return n
+
+    def __call__(self, toks: list[bytes]) -> np.ndarray:
+        """Rows of counts, classes and hashes."""
+        at = np.fromiter(map(self.__getitem__, toks), np.int64, len(toks))
+        if self.new:
+            cls, h = self.classes(self.new)
+            c = np.array([self.counts.get(t, 0) for t in self.new], np.int64)
+            self.table = np.concatenate([self.table, np.stack([c, cls, h])], 1)
+            self.new = []
+        return self.table[:, at]
 
 
 def _score(weights, head: list[bytes], total: int, distinct: int, of_class: np.ndarray, kinds_of_class: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        known = Known(zip(counts.column("token").to_pylist(), counts.column("n").to_pylist(), strict=True))
-        classes, w, out = Classes(head), weights.value, []
-        k = 0
-        for own, toks, sizes, cls, slots in _batches_of_tokens(docs, classes):
-            c = np.fromiter(map(known.__getitem__, toks), np.int64, len(toks))
-            base = np.log10((c + 1) / (total + 1 * (distinct + 1)))
-            inner = np.log10((c + 1) / (of_class[cls] + kinds_of_class[cls] + 1))
+        known = dict(zip(counts.column("token").to_pylist(), counts.column("n").to_pylist(), strict=True))
+        numbers, w, out = Numbers(known, Classes(head)), weights.value, []
+        for k in range(0, docs.num_rows, 512):
+            own = [tokens(t) for t in utf8_list(docs.slice(k, 512).column("text"))]
+            sizes = np.array([len(d) for d in own])
+            c, cls, h = numbers([t for d in own for t in d])
+            slots = feature_slots(h, np.cumsum(sizes) - sizes)
+            log = np.log10(c + 1.0)
+            base = log - math.log10(total + 1 * (distinct + 1))
+            inner = log - np.log10(of_class + kinds_of_class + 1.0)[cls]
             outer = np.concatenate([np.log10(_softmax(w, slots[:, j : j + BATCH])[np.arange(len(cls[j : j + BATCH])), cls[j : j + BATCH]].astype(np.float64) + 1e-12) for j in range(0, len(cls), BATCH)])
             at = np.cumsum(sizes) - sizes
             part = docs.slice(k, len(own))
             out.append([part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(own), total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(inner + outer, at))])
-            k += len(own)
         if not out:
             return schema.empty_table()
         return pa.Table.from_arrays([pa.chunked_array(list(x)) for x in zip(*out, strict=True)], schema=schema)
