@@ -33,11 +33,12 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     if df.isStreaming:
         return df
     spark = df.sparkSession
-    n = partitions or config().nb_workers or spark.sparkContext.defaultParallelism
+    asked = partitions or config().nb_workers
+    n = asked or spark.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
     size = int(str(plan.stats().sizeInBytes()))
     per_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if partitions is None and size > n * per_task:
+    if not asked and size > n * per_task:
         return df
     return df.repartition(n)
 

@@ -94,7 +94,8 @@ def test_grouped_windows(df, pdf):
     got = rolling(df, "b", 4, ["id"], by=["g", "h"], min_periods=2).apply(np.sum, raw=True, chunk_rows=7)
     same(got, pdf.groupby(["g", "h"])["b"].rolling(4, min_periods=2).apply(np.sum, raw=True).reset_index(level=[0, 1], drop=True).sort_index())
     got = expanding(df, "b", ["id"], by="g").apply(weighted, index="id")
-    same(got, pdf.groupby("g")["b"].expanding().apply(weighted).reset_index(level=0, drop=True).sort_index())
+    # Labels are those of the group's own rows: pandas over each group. Its grouped form labels windows by other rows.
+    same(got, pd.concat([g["b"].expanding().apply(weighted) for _, g in pdf.groupby("g")]).sort_index())
 
 
 def test_time_windows(spark):
