@@ -12,9 +12,10 @@ are buckets. In each bucket every member is paired with one leader, the first in
 hash order; candidate pairs are verified by exact multiset overlap; verified links are contracted to
 components. Buckets whose members are then still in different components are searched further:
 neighbours in hash order are paired, and where there are many components the members of small ones
-are dealt into finer buckets by every further band (so two documents must agree in two bands; a
-large component meets each other member as that one's neighbour in every bucket they share). No step lists all pairs of a bucket, and no
-bucket is held in one place.
+are dealt into finer buckets by every further such bucket of theirs (so two documents must agree in
+two bands; a large component meets each other member as that one's neighbour in every bucket they
+share). Neighbours are paired anew, in another hash order, until a round finds no link. No step
+lists all pairs of a bucket, and no bucket is held in one place.
 
 Defined results: words are runs of characters other than white space; texts of one to four words
 have one shingle; null and empty texts are equal texts and alike to nothing else; the class id is
@@ -23,6 +24,7 @@ the smallest doc_id of the class; repeated rows are in one class; an empty table
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -38,7 +40,6 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band in 3 of a million cases
 REGISTERS = BANDS * ROWS
 NEIGHBOURS = 8  # in hash order, paired in buckets that leaders didn't settle
-LEVELS = 2  # of finer buckets
 
 GOLD, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 WHEEL = np.uint64(0xD6E8FEB86659FD93)
@@ -201,10 +202,10 @@ def _leader_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _unsettled(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (bucket, id, class_id, n) of buckets with members of different components; n: of the class in the bucket."""
+    """Rows (bucket, id, class_id, n, classes, members) of buckets with members of different components; n: of the class in the bucket."""
     known = rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     sizes = known.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("classes")).filter("classes > 1").select("bucket", "classes")
+    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("members")).filter("classes > 1")
     return known.join(sizes.join(mixed, "bucket"), ["bucket", "class_id"])
 
 
@@ -230,12 +231,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     checked = materialize(_leader_pairs(rows), "leader pairs")
     links = _verified(checked, texts)
     classes = components(links)
-    for level in range(LEVELS):
-        left = materialize(_unsettled(rows, classes), "unsettled")
+    for level in itertools.count():
+        left = _unsettled(rows, classes)
+        if level:  # the neighbours of small buckets were all their pairs
+            left = left.filter(F.col("members") > NEIGHBOURS + 1)
+        left = materialize(left, "unsettled")
         found = _neighbour_pairs(left, level)
-        large = left.filter((F.col("n") <= NEIGHBOURS) & (F.col("classes") > NEIGHBOURS // 2)).select("id", F.col("bucket").alias("coarse"))
-        finer = large.join(rows, "id").filter("bucket > coarse").select("id", F.xxhash64("coarse", "bucket").alias("bucket"))
-        found = materialize(found.unionByName(_leader_pairs(finer)).distinct().join(checked, ["a", "b"], "left_anti"), "further pairs")
+        if level == 0:  # two alike texts of different components share only buckets that are unsettled
+            large = left.filter((F.col("n") <= NEIGHBOURS) & (F.col("classes") > NEIGHBOURS // 2)).select("id", F.col("bucket").alias("coarse"))
+            finer = large.join(left.select("id", "bucket"), "id").filter("bucket > coarse").select("id", F.xxhash64("coarse", "bucket").alias("bucket"))
+            finer = materialize(finer, "finer buckets")
+            found = found.unionByName(_leader_pairs(finer)).distinct()
+        found = materialize(found.join(checked, ["a", "b"], "left_anti"), "further pairs")
         discard(left)
         if found.isEmpty():
             break
