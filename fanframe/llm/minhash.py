@@ -189,7 +189,9 @@ def components(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id"))
+    out = edges.select(F.col("u").alias("id"), F.col("v").alias("class_id"))
+    out._written_to = edges._written_to
+    return out
 
 
 def _leader_pairs(rows: DataFrame) -> DataFrame:
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     checked = materialize(_leader_pairs(rows), "leader pairs")
     links = _verified(checked, texts)
-    classes = components(links)
+    classes, used = components(links), [rows, checked, links]
     for level in itertools.count():
         left = _unsettled(rows, classes)
         if level:  # the neighbours of small buckets were all their pairs
@@ -241,16 +243,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             large = left.filter((F.col("n") <= NEIGHBOURS) & (F.col("classes") > NEIGHBOURS // 2)).select("id", F.col("bucket").alias("coarse"))
             finer = large.join(left.select("id", "bucket"), "id").filter("bucket > coarse").select("id", F.xxhash64("coarse", "bucket").alias("bucket"))
             finer = materialize(finer, "finer buckets")
+            used.append(finer)
             found = found.unionByName(_leader_pairs(finer)).distinct()
         found = materialize(found.join(checked, ["a", "b"], "left_anti"), "further pairs")
         discard(left)
+        used.append(found)
         if found.isEmpty():
             break
         checked = checked.unionByName(found)
         more = _verified(found, texts)
+        used.append(more)
         if more.isEmpty():
             break
         links = links.unionByName(more)
+        used.append(classes)
         classes = components(links)
+    for table in used:
+        discard(table)
     of_text = first.join(classes, "id", "left").select("h1", "h2", F.coalesce("class_id", "id").alias("class_id"))
     return signed.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", "class_id")
