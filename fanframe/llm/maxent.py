@@ -80,14 +80,26 @@ def feature_slots(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack([(x * big >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.uint16) for x in (one, two + np.uint64(7), pair)])
 
 
-def _softmax(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
+def _exponents(weights: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits less a shift, and their exponentials, a row for each token."""
     z = weights[-1] + weights[slots[0]]
     for k in range(1, KINDS):
         z += weights[slots[k].astype(np.int64) + k * SLOTS]
-    z -= z.max(1, keepdims=True)
-    np.exp(z, z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    top = z.max()
+    z -= top if top - z.min() < 60 else z.max(1, keepdims=True)  # one shift for all rows where none vanishes
+    return z, np.exp(z)
+
+
+def _softmax(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    _, e = _exponents(weights, slots)
+    e /= np.einsum("ij->i", e)[:, None]
+    return e
+
+
+def _log10_classes(weights: np.ndarray, slots: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each token's class."""
+    z, e = _exponents(weights, slots)
+    return (z[np.arange(len(z)), classes] - np.log(np.einsum("ij->i", e).astype(np.float64))) / math.log(10)
 
 
 def descend(weights: np.ndarray, slots: np.ndarray, classes: np.ndarray, squares: np.ndarray) -> None:
@@ -223,7 +235,7 @@ def _score(weights, head: list[bytes], total: int, distinct: int, of_class: np.n
             log = np.log10(c + 1.0)
             base = log - math.log10(total + 1 * (distinct + 1))
             inner = log - np.log10(of_class + kinds_of_class + 1.0)[cls]
-            outer = np.concatenate([np.log10(_softmax(w, slots[:, j : j + BATCH])[np.arange(len(cls[j : j + BATCH])), cls[j : j + BATCH]].astype(np.float64) + 1e-12) for j in range(0, len(cls), BATCH)])
+            outer = np.concatenate([_log10_classes(w, slots[:, j : j + BATCH], cls[j : j + BATCH]) for j in range(0, len(cls), BATCH)])
             at = np.cumsum(sizes) - sizes
             part = docs.slice(k, len(own))
             out.append([part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(own), total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(inner + outer, at))])
