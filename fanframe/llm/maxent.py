@@ -49,20 +49,21 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(HELD_OUT[0])) == HELD_OUT[1]
 
 
-class Classes:
+class Classes(dict):
     """Class and feature hash of tokens, remembered up to a bound."""
 
     def __init__(self, head: list[bytes]):
         self.head = {t: k for k, t in enumerate(head)}
-        self.seen: dict[bytes, int] = {}
+
+    def __missing__(self, t: bytes) -> int:
+        cls = self.head.get(t)
+        self[t] = both = (HEAD + xxhash.xxh32_intdigest(t.rstrip(b".,;:!?")[-2:]) % TAIL if cls is None else cls) | xxhash.xxh32_intdigest(t) << 8
+        return both
 
     def __call__(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.seen) > 500_000:
-            self.seen.clear()
-        for t in set(toks).difference(self.seen):
-            cls = self.head.get(t)
-            self.seen[t] = (HEAD + xxhash.xxh32_intdigest(t.rstrip(b".,;:!?")[-2:]) % TAIL if cls is None else cls) | xxhash.xxh32_intdigest(t) << 8
-        both = np.fromiter(map(self.seen.__getitem__, toks), np.int64, len(toks))
+        if len(self) > 500_000:
+            self.clear()
+        both = np.fromiter(map(self.__getitem__, toks), np.int64, len(toks))
         return both & 255, both >> 8
 
 
@@ -82,9 +83,10 @@ def feature_slots(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _exponents(weights: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logits less a shift, and their exponentials, a row for each token."""
-    z = weights[-1] + weights[slots[0]]
+    z = weights.take(slots[0], 0)
+    z += weights[-1]
     for k in range(1, KINDS):
-        z += weights[slots[k].astype(np.int64) + k * SLOTS]
+        z += weights.take(slots[k].astype(np.int64) + k * SLOTS, 0)
     top = z.max()
     z -= top if top - z.min() < 60 else z.max(1, keepdims=True)  # one shift for all rows where none vanishes
     return z, np.exp(z)
@@ -108,11 +110,17 @@ def descend(weights: np.ndarray, slots: np.ndarray, classes: np.ndarray, squares
     g[np.arange(len(g)), classes] -= 1
     for k in range(KINDS):
         order = np.argsort(slots[k], kind="stable")  # a radix sort
-        at = slots[k][order].astype(np.int64) + k * SLOTS
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        total, row = np.add.reduceat(g[order], first, 0), at[first]
-        squares[row] += (total * total).mean(1)
-        weights[row] -= (RATE / np.sqrt(squares[row] + 1))[:, None] * total
+        at = slots[k].take(order).astype(np.int64) + k * SLOTS
+        new = np.concatenate([[True], at[1:] != at[:-1]])
+        first, rest = np.flatnonzero(new), np.flatnonzero(~new)
+        total, row = g.take(order.take(first), 0), at.take(first)
+        if len(rest):  # most slots have one token, and need no sum
+            of = np.cumsum(new).take(rest) - 1
+            start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            total[of.take(start)] += np.add.reduceat(g.take(order.take(rest), 0), start, 0)
+        square = squares.take(row) + np.einsum("ij,ij->i", total, total) / CLASSES
+        squares[row] = square
+        weights[row] = weights.take(row, 0) - (RATE / np.sqrt(square + 1))[:, None] * total
     total = g.sum(0)
     squares[-1] += (total * total).mean()
     weights[-1] -= RATE / np.sqrt(squares[-1] + 1) * total
