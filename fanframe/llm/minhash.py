@@ -9,7 +9,8 @@ up to the time by which all registers are filled, which makes the effort indepen
 
 Steps: equal texts become one (by 128 bits of hash); signatures are cut into bands, and bands
 are buckets. In each bucket every member is paired with one leader, the first in a
-hash order; candidate pairs are verified by exact multiset overlap; verified links are contracted to
+hash order; pairs whose numbers of shingles differ too much to be alike are left out where pairs are
+made; the others are verified by exact multiset overlap; verified links are contracted to
 components. Buckets whose members are then still in different components are searched further:
 neighbours in hash order are paired, and where there are many components the members of small ones
 are dealt into finer buckets by every further such bucket of theirs (so two documents must agree in
@@ -30,7 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fanframe.llm.common import discard, materialize, text_or_empty, utf8_list
@@ -113,7 +114,7 @@ def signatures(items: np.ndarray, counts: np.ndarray, doc: np.ndarray, docs: int
 
 
 def bands(texts: list[bytes]) -> list[np.ndarray]:
-    """The bucket of each band of each text (none for a text without words)."""
+    """The bucket of each band of each text, then its number of shingles (nothing for a text without words)."""
     out = [np.zeros(0, np.int64)] * len(texts)
     bags, at, size = [], [], 0
     for n, text in enumerate(texts):
@@ -130,8 +131,8 @@ def bands(texts: list[bytes]) -> list[np.ndarray]:
             key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLD, (len(bags), 1))
             for k in range(ROWS):
                 key = mix(key + sig[:, :, k])
-            for n_of, row in zip(at, key.view(np.int64), strict=True):
-                out[n_of] = row
+            for n_of, row, bag in zip(at, key.view(np.int64), bags, strict=True):
+                out[n_of] = np.append(row, len(bag))
             bags, at, size = [], [], 0
     return out
 
@@ -194,17 +195,22 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
+def _sizes_fit(a: Column | str, b: Column | str) -> Column:
+    """Whether texts of a and b shingles can be alike at all."""
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
+
+
 def _leader_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with its leader. rows: bucket, id.
+    """Pairs of each bucket's members with its leader. rows: bucket, id, size.
 
     Leaders are the first in one order for all buckets, so that alike documents have few of them.
     """
-    leader = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("leader"))).alias("x"), F.count("*").alias("n")).filter("n > 1").select("bucket", "x.leader")
-    return rows.join(leader, "bucket").filter("id != leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    leader = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("leader"), F.col("size").alias("its"))).alias("x"), F.count("*").alias("n")).filter("n > 1").select("bucket", "x.leader", "x.its")
+    return rows.join(leader, "bucket").filter((F.col("id") != F.col("leader")) & _sizes_fit("size", "its")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
 def _unsettled(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (bucket, id, class_id, n, classes, members) of buckets with members of different components; n: of the class in the bucket."""
+    """Rows (bucket, id, size, class_id, n, classes, members) of buckets with members of different components; n: of the class in the bucket."""
     known = rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
     sizes = known.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("members")).filter("classes > 1")
@@ -214,8 +220,9 @@ def _unsettled(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def _neighbour_pairs(rows: DataFrame, seed: int) -> DataFrame:
     """Pairs of members of different components that are neighbours in hash order."""
     w = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), "bucket", "id"), "id")
-    near = F.array(*[F.struct(F.lead("id", k).over(w).alias("id"), F.lead("class_id", k).over(w).alias("c")) for k in range(1, NEIGHBOURS + 1)])
-    pairs = rows.withColumn("near", near).select("id", "class_id", F.explode("near").alias("o")).filter("o.id is not null and o.c != class_id")
+    near = F.array(*[F.struct(F.lead("id", k).over(w).alias("id"), F.lead("class_id", k).over(w).alias("c"), F.lead("size", k).over(w).alias("size")) for k in range(1, NEIGHBOURS + 1)])
+    apart = F.filter("near", lambda o: o["id"].isNotNull() & (o["c"] != F.col("class_id")) & _sizes_fit("size", o["size"]))
+    pairs = rows.withColumn("near", near).select("id", F.explode(apart).alias("o"))
     return pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
 
 
@@ -228,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = materialize(first, "equal texts")
     # A row of each text: that of its smallest doc_id (repeated rows are the same text).
     unique = signed.select(F.col("doc_id").alias("id"), "buckets").join(first.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    rows = materialize(unique.select("id", F.explode("buckets").alias("bucket")), "bands")
+    rows = materialize(unique.select("id", F.try_element_at("buckets", F.lit(-1)).alias("size"), F.explode(F.slice("buckets", 1, BANDS)).alias("bucket")), "bands")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     checked = materialize(_leader_pairs(rows), "leader pairs")
     links = _verified(checked, texts)
@@ -241,7 +248,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = _neighbour_pairs(left, level)
         if level == 0:  # two alike texts of different components share only buckets that are unsettled
             large = left.filter((F.col("n") <= NEIGHBOURS) & (F.col("classes") > NEIGHBOURS // 2)).select("id", F.col("bucket").alias("coarse"))
-            finer = large.join(left.select("id", "bucket"), "id").filter("bucket > coarse").select("id", F.xxhash64("coarse", "bucket").alias("bucket"))
+            finer = large.join(left.select("id", "size", "bucket"), "id").filter("bucket > coarse").select("id", "size", F.xxhash64("coarse", "bucket").alias("bucket"))
             finer = materialize(finer, "finer buckets")
             used.append(finer)
             found = found.unionByName(_leader_pairs(finer)).distinct()
