@@ -12,11 +12,11 @@ are buckets. In each bucket every member is paired with one leader, the first in
 hash order; pairs whose numbers of shingles differ too much to be alike are left out where pairs are
 made; the others are verified by exact multiset overlap; verified links are contracted to
 components. Buckets whose members are then still in different components are searched further:
-neighbours in hash order are paired, and where there are many components the members of small ones
-are dealt into finer buckets by every further such bucket of theirs (so two documents must agree in
-two bands; a large component meets each other member as that one's neighbour in every bucket they
-share). Neighbours are paired anew, in another hash order, until a round finds no link. No step
-lists all pairs of a bucket, and no bucket is held in one place.
+each member is paired with another leader of the bucket, in an order of its own, which joins most of
+what belongs together; then all members of buckets that are unsettled even so are compared exactly,
+by a prefix filter: shingles are put in one order, those of a single component first, then rare ones,
+and alike texts share one among the first fifth of either. Shingles of many members are joined in
+salted blocks. No step lists all pairs of a bucket, and no bucket is held in one place.
 
 Defined results: words are runs of characters other than white space; texts of one to four words
 have one shingle; null and empty texts are equal texts and alike to nothing else; the class id is
@@ -25,7 +25,6 @@ the smallest doc_id of the class; repeated rows are in one class; an empty table
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -40,7 +39,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band in 3 of a million cases
 REGISTERS = BANDS * ROWS
-NEIGHBOURS = 8  # in hash order, paired in buckets that leaders didn't settle
+BLOCK = 256  # members with a shingle that one task compares with all others
 
 GOLD, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 WHEEL = np.uint64(0xD6E8FEB86659FD93)
@@ -210,20 +209,42 @@ def _leader_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _unsettled(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (bucket, id, size, class_id, n, classes, members) of buckets with members of different components; n: of the class in the bucket."""
+    """Rows (bucket, id, size, class_id) of buckets with members of different components."""
     known = rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    sizes = known.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.count("*").alias("classes"), F.sum("n").alias("members")).filter("classes > 1")
-    return known.join(sizes.join(mixed, "bucket"), ["bucket", "class_id"])
+    mixed = known.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high").select("bucket")
+    return known.join(mixed, "bucket")
 
 
-def _neighbour_pairs(rows: DataFrame, seed: int) -> DataFrame:
-    """Pairs of members of different components that are neighbours in hash order."""
-    w = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed), "bucket", "id"), "id")
-    near = F.array(*[F.struct(F.lead("id", k).over(w).alias("id"), F.lead("class_id", k).over(w).alias("c"), F.lead("size", k).over(w).alias("size")) for k in range(1, NEIGHBOURS + 1)])
-    apart = F.filter("near", lambda o: o["id"].isNotNull() & (o["c"] != F.col("class_id")) & _sizes_fit("size", o["size"]))
-    pairs = rows.withColumn("near", near).select("id", F.explode(apart).alias("o"))
-    return pairs.select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+def _other_leader_pairs(left: DataFrame) -> DataFrame:
+    """Pairs of each bucket's members with the first in an order of the bucket, of different components."""
+    leader = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("o"), F.col("id").alias("leader"), F.col("size").alias("its"), F.col("class_id").alias("c"))).alias("x")).select("bucket", "x.*")
+    return left.join(leader, "bucket").filter((F.col("class_id") != F.col("c")) & _sizes_fit("size", "its")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+
+
+def _rest_pairs(left: DataFrame, texts: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """All pairs (a, b) of members of different components that can be alike. left: id, class_id; texts: id, text.
+
+    In any order of shingles, the first that alike texts share leaves enough behind it in both.
+    """
+    members = left.select("id", "class_id").distinct()
+    needed = texts.join(members.hint("shuffle_hash"), "id").select("id", "class_id", F.xxhash64("text").alias("h"), "text").dropDuplicates(["id", "h"])
+    codes = materialize(_of_texts(needed, lambda texts: [overlap_codes(t) for t in texts], "codes"), "codes of the rest")
+    each = codes.select("id", "h", "class_id", F.size("codes").alias("size"), F.explode("codes").alias("code"))
+    # A shingle of one component alone is no part of any overlap here: it takes a place before all others, and no row.
+    spread = each.groupBy("code").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high").select("code", "n")
+    own = Window.partitionBy("id", "h")
+    place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "code")) - 1
+    rest = each.join(spread, "code").withColumn("rest", F.col("size") - place).filter(F.col("rest") >= SIMILARITY * F.col("size") - 1e-6)
+    prefix = materialize(rest.select("code", "id", "class_id", "size", "rest"), "first shingles")
+    discard(codes)
+    used.append(prefix)
+    blocks = prefix.groupBy("code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high").select("code", "blocks")
+    salted = prefix.join(blocks, "code")
+    x = salted.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("x")
+    y = salted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    enough = (1 + SIMILARITY) * F.least("x.rest", "y.rest") >= SIMILARITY * (F.col("x.size") + F.col("y.size")) - 1e-6
+    on = (F.col("x.code") == F.col("y.code")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.class_id") != F.col("y.class_id")) & enough
+    return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -240,30 +261,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     checked = materialize(_leader_pairs(rows), "leader pairs")
     links = _verified(checked, texts)
     classes, used = components(links), [rows, checked, links]
-    for level in itertools.count():
-        left = _unsettled(rows, classes)
-        if level:  # the neighbours of small buckets were all their pairs
-            left = left.filter(F.col("members") > NEIGHBOURS + 1)
-        left = materialize(left, "unsettled")
-        found = _neighbour_pairs(left, level)
-        if level == 0:  # two alike texts of different components share only buckets that are unsettled
-            large = left.filter((F.col("n") <= NEIGHBOURS) & (F.col("classes") > NEIGHBOURS // 2)).select("id", F.col("bucket").alias("coarse"))
-            finer = large.join(left.select("id", "size", "bucket"), "id").filter("bucket > coarse").select("id", "size", F.xxhash64("coarse", "bucket").alias("bucket"))
-            finer = materialize(finer, "finer buckets")
-            used.append(finer)
-            found = found.unionByName(_leader_pairs(finer)).distinct()
-        found = materialize(found.join(checked, ["a", "b"], "left_anti"), "further pairs")
+    for pairs in (_other_leader_pairs, lambda left: _rest_pairs(left, texts, used)):
+        # Two alike texts of different components share only buckets that are unsettled.
+        left = materialize(_unsettled(rows, classes), "unsettled")
+        found = materialize(pairs(left).join(checked, ["a", "b"], "left_anti"), "further pairs")
         discard(left)
-        used.append(found)
-        if found.isEmpty():
-            break
-        checked = checked.unionByName(found)
         more = _verified(found, texts)
-        used.append(more)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        used.append(classes)
+        used += [found, more, classes]
+        checked, links = checked.unionByName(found), links.unionByName(more)
         classes = components(links)
     for table in used:
         discard(table)

@@ -71,6 +71,16 @@ def test_near_duplicates(docs, texts, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_no_link_of_a_crowded_bucket_is_lost(spark, monkeypatch):
+    """All texts share one bucket and no other, so neighbours meet few of the pairs."""
+    monkeypatch.setattr(minhash, "bands", lambda texts: [np.array([0, *(zlib.crc32(t) + (k << 32) for k in range(1, minhash.BANDS)), max(1, len(t.split()) - 4)]) for t in texts])
+    rng = random.Random(12)
+    texts = [prose(rng, 60) for _ in range(300)]
+    texts += [t + " end" for t in texts[:40]]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == {i: i - 300 if i >= 300 else i for i in range(340)}
+
+
 def test_signatures_are_unbiased():
     rng, off = np.random.default_rng(1), []
     for _ in range(150):
