@@ -33,9 +33,9 @@ from fanframe.llm.common import block_count, materialize, utf8_list
 
 HELD_OUT = (7, 2)  # crc32 of the id as text, modulo, remainder
 END = b"\n"  # no word has it
-HEAD, TAIL = 10, 6
+HEAD, TAIL = 20, 12
 CLASSES = HEAD + TAIL
-SLOTS = 1 << 13  # hashed weights of each kind of feature
+SLOTS = 1 << 14  # hashed weights of each kind of feature
 KINDS = 3
 RATE, BATCH, ROUNDS = 0.5, 2048, 3
 BLOCK_BYTES = 1 << 22

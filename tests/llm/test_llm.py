@@ -281,6 +281,12 @@ def test_language_model(spark, empty):
     assert maxent.score_documents(empty).count() == 0
 
 
+def test_language_model_has_its_former_size():
+    assert maxent.CLASSES >= 32
+    hashes = np.random.default_rng(1).integers(0, 1 << 32, 1 << 17)
+    assert all(len(np.unique(row)) > 16_000 for row in maxent.feature_slots(hashes, np.array([0])))
+
+
 def test_pipeline(spark, docs, tmp_path):
     rng = random.Random(11)
     more = spark.createDataFrame([(None, prose(rng, 80), "en", None, 0), (7000, prose(rng, 90) + " bob@example.com", "en", "s1", 0)], SCHEMA)
