@@ -4,7 +4,7 @@ Statistics come from array expressions over each text's words, so texts never le
 For each (language, source) group a minimum-covariance-determinant estimate is fitted to four
 transformed statistics: start from medians and median absolute deviations, then repeat
 concentration steps (keep the half with the smallest Mahalanobis distance, take its mean and
-covariance). Documents far from their group's estimate are rejected.
+covariance). Documents beyond the chi-square cut-off from their group's estimate are rejected.
 
 Everything is DataFrame expressions; all aggregates combine before they shuffle. Estimates go
 to the rows by a join on (language, source, salt), so a source with a third of all rows is
@@ -31,10 +31,11 @@ SYMBOLS = "#*$%&|<>"
 MIN_GROUP = 40
 STEPS = 3
 SALTS = 16
-#: Squared Mahalanobis distance beyond which a document is rejected.
-CUTOFF = 150.0
-#: Least standard deviation of each feature: the spread of clean text that a tight half must not hide.
-FLOORS = (0.25, 0.06, 0.05, 0.08)
+#: Chi-square with 4 degrees of freedom: the median, and the 0.999 quantile, beyond which a document is rejected.
+CHI_MEDIAN, CUTOFF = 3.3567, 18.467
+#: Least standard deviation of each feature: the noise of counting in a text of MIN_WORDS words.
+#: Word lengths deviate by half their mean; roots and arcs of counts by 1/2; repeated words come in threes.
+FLOORS = (0.5 / MIN_WORDS**0.5, 0.5 / MIN_WORDS**0.5, 0.5 / MIN_WORDS**0.5, 0.5 * (3 / MIN_WORDS) ** 0.5)
 FEATURES = ("f_word_length", "f_symbols", "f_dup_lines", "f_repeats")
 INDEX_BITS = 31
 
@@ -83,10 +84,10 @@ def base_failed() -> Column:
 def features() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return [
-        (F.col("word_chars") / n).alias(FEATURES[0]),
+        F.log(F.greatest(F.col("word_chars") / n, F.lit(1.0))).alias(FEATURES[0]),
         F.sqrt(F.col("n_symbols") / n).alias(FEATURES[1]),
-        (F.col("n_dup_lines") / F.sqrt(n)).alias(FEATURES[2]),
-        (F.col("n_repeat_words") / n).alias(FEATURES[3]),
+        F.sqrt(F.col("n_dup_lines") / n).alias(FEATURES[2]),
+        F.asin(F.sqrt(F.col("n_repeat_words") / n)).alias(FEATURES[3]),
     ]
 
 
@@ -133,20 +134,28 @@ def _distance() -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates of groups with MIN_GROUP rows and more."""
-    sizes = rows.groupBy("lang", "source").count().filter(F.col("count") >= MIN_GROUP)
+def _fitted(rows: DataFrame) -> DataFrame:
+    """Minimum-covariance-determinant estimates of all groups, and the number of their rows."""
+    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("rows"))
     estimate = _first_estimate(rows)
+    drop = [*[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)]]
     for k in range(STEPS):
-        near = _with_estimate(rows, estimate).withColumn("far", _distance()).drop(*[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
+        near = _with_estimate(rows, estimate).withColumn("far", _distance()).drop(*drop)
         half = near.groupBy("lang", "source").agg(F.percentile_approx("far", 0.5, 1000).alias("half"))
         inner = _with_estimate(near, half).filter(F.col("far") <= F.col("half"))
         estimate = materialize(_moments(inner), f"mcd {k}")
-    return estimate.alias("e").join(sizes.alias("n"), F.col("e.lang").eqNullSafe(F.col("n.lang")) & F.col("e.source").eqNullSafe(F.col("n.source")), "left_semi")
+    # The covariance of the inner half is too small: it is scaled until the median distance is that of chi-square.
+    middle = _with_estimate(rows, estimate).withColumn("far", _distance()).groupBy("lang", "source").agg(F.percentile_approx("far", 0.5, 1000).alias("half"))
+    same = lambda x: F.col("e.lang").eqNullSafe(F.col(f"{x}.lang")) & F.col("e.source").eqNullSafe(F.col(f"{x}.source"))
+    scale = F.sqrt(F.greatest(F.col("x.half") / CHI_MEDIAN, F.lit(1.0)))
+    all_of = estimate.alias("e").join(sizes.alias("n"), same("n")).join(middle.alias("x"), same("x"))
+    scaled = [(F.col(f"e.{c}") * scale if c[0] == "l" else F.col(f"e.{c}")).alias(c) for c in drop]
+    return materialize(all_of.select("e.lang", "e.source", "n.rows", *scaled), "estimates")
 
 
-#: Covariance of the inner half of a normal sample underestimates; this makes squared distances comparable.
-CONSISTENCY = 2.0
+def fit(rows: DataFrame) -> DataFrame:
+    """Estimates of groups with MIN_GROUP rows and more."""
+    return _fitted(rows).filter(F.col("rows") >= MIN_GROUP).drop("rows")
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -158,7 +167,7 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.select("*", base_failed().alias("base_failed"), *features(), F.pmod(F.xxhash64(*[f"k_{c}" for c in inputs if c not in ("lang", "source")], "word_chars", "n_words"), F.lit(SALTS)).cast("int").alias("salt"))
     rows = materialize(rows, "quality statistics")
     good = rows.filter(~F.col("base_failed")).select("lang", "source", "salt", *FEATURES)
-    far = _with_estimate(rows, fit(good)).withColumn("far", _distance() / CONSISTENCY)
+    far = _with_estimate(rows, fit(good)).withColumn("far", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("far", F.lit(0.0)) <= CUTOFF)
     own = [F.col(f"k_{c}" if c not in ("lang", "source") else c).alias(c) for c in keep]
     return far.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("far").alias("distance"))

@@ -134,6 +134,14 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert all(kept == bool(i % 20) for i, kept in got.items())
 
 
+def test_moderate_outliers_go(spark):
+    """Two symbols in five words: far from a group without any."""
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 120) if i % 20 else " ".join(w + " #" * (k % 5 < 2) for k, w in enumerate(prose(rng, 120).split())), "en", "s", 0) for i in range(200)]
+    got = {r.doc_id: r.kept for r in quality.digest_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(kept == bool(i % 20) for i, kept in got.items())
+
+
 def test_shards(docs, texts, empty):
     got = sharding.shard_documents(docs).collect()
     slots = collections.defaultdict(list)
