@@ -4,7 +4,8 @@ Statistics come from array expressions over each text's words, so texts never le
 For each (language, source) group a minimum-covariance-determinant estimate is fitted to four
 transformed statistics: start from medians and median absolute deviations, then repeat
 concentration steps (keep the half with the smallest Mahalanobis distance, take its mean and
-covariance). Documents beyond the chi-square cut-off from their group's estimate are rejected.
+covariance). Documents beyond the chi-square cut-off from their group's estimate are rejected;
+groups too small for an estimate of their own take that of their language, or of all rows.
 
 Everything is DataFrame expressions; all aggregates combine before they shuffle. Estimates go
 to the rows by a join on (language, source, salt), so a source with a third of all rows is
@@ -12,7 +13,7 @@ spread over the salts.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages
 and sources are groups of their own; groups with fewer than MIN_GROUP rows that pass the base
-rules reject nothing beyond the base rules; ties at the concentration threshold all stay in.
+rules are judged by pooled estimates; ties at the concentration threshold all stay in.
 """
 
 from __future__ import annotations
@@ -153,9 +154,17 @@ def _fitted(rows: DataFrame) -> DataFrame:
     return materialize(all_of.select("e.lang", "e.source", "n.rows", *scaled), "estimates")
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """Estimates of groups with MIN_GROUP rows and more."""
-    return _fitted(rows).filter(F.col("rows") >= MIN_GROUP).drop("rows")
+def fit(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The estimate of each of the groups (lang, source): its own from MIN_GROUP rows on, else that of its language, else of all rows."""
+    none = F.lit(None).cast("string")
+    values = [*[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)]]
+    own = _fitted(rows).filter(F.col("rows") >= MIN_GROUP)
+    of_lang = _fitted(rows.withColumn("source", none)).filter(F.col("rows") >= MIN_GROUP)
+    of_all = _fitted(rows.withColumn("lang", none).withColumn("source", none))
+    as_one = lambda e, name: e.select(F.col("lang").alias(f"{name}_lang"), F.col("source").alias(f"{name}_source"), F.struct(*values).alias(name))
+    g = groups.join(as_one(own, "own"), F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left")
+    g = g.join(as_one(of_lang, "its"), F.col("lang").eqNullSafe(F.col("its_lang")), "left").join(as_one(of_all, "every"), F.lit(True), "left")
+    return g.select("lang", "source", F.coalesce("own", "its", "every").alias("x")).select("lang", "source", "x.*")
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -167,7 +176,7 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.select("*", base_failed().alias("base_failed"), *features(), F.pmod(F.xxhash64(*[f"k_{c}" for c in inputs if c not in ("lang", "source")], "word_chars", "n_words"), F.lit(SALTS)).cast("int").alias("salt"))
     rows = materialize(rows, "quality statistics")
     good = rows.filter(~F.col("base_failed")).select("lang", "source", "salt", *FEATURES)
-    far = _with_estimate(rows, fit(good)).withColumn("far", _distance())
+    far = _with_estimate(rows, fit(good, rows.select("lang", "source").distinct())).withColumn("far", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("far", F.lit(0.0)) <= CUTOFF)
     own = [F.col(f"k_{c}" if c not in ("lang", "source") else c).alias(c) for c in keep]
     return far.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("far").alias("distance"))

@@ -142,6 +142,13 @@ def test_moderate_outliers_go(spark):
     assert all(kept == bool(i % 20) for i, kept in got.items())
 
 
+def test_outliers_of_small_groups_go(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 120) if i % 20 else "### " * 30 + prose(rng, 60) + " $$$" * 60, "en", f"s{i % 13}", 0) for i in range(200)]
+    got = {r.doc_id: r.kept for r in quality.digest_quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(kept == bool(i % 20) for i, kept in got.items())
+
+
 def test_shards(docs, texts, empty):
     got = sharding.shard_documents(docs).collect()
     slots = collections.defaultdict(list)
