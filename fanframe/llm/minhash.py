@@ -7,25 +7,29 @@ ends inside the level, and its register is uniform. A register keeps its first p
 documents agree in a register with the probability of their weighted Jaccard. Points are drawn
 up to the time by which all registers are filled, which makes the effort independent of counts.
 
-Steps: equal texts become one (by 128 bits of hash); signatures are cut into bands, and bands
-are buckets. In each bucket every member is paired with one leader, the first in a
-hash order; pairs whose numbers of shingles differ too much to be alike are left out where pairs are
-made; the others are verified by exact multiset overlap; verified links are contracted to
-components. Buckets whose members are then still in different components are searched further:
-each member is paired with another leader of the bucket, in an order of its own, which joins most of
-what belongs together; then all members of buckets that are unsettled even so are compared exactly,
-by a prefix filter: shingles are put in one order, those of a single component first, then rare ones,
-and alike texts share one among the first fifth of either. Shingles of many members are joined in
-salted blocks. No step lists all pairs of a bucket, and no bucket is held in one place.
+Steps: equal texts become one (by 128 bits of hash) and get a number; signatures are cut into
+bands, and bands are buckets. Only buckets with several texts go on, and only their texts are
+read again, once, for the exact multisets. In rounds, every member of a bucket is paired with the
+bucket's leader, unless both are in one component already; pairs whose numbers of shingles or
+whose registers (two bits of each) rule out 0.8 are never made, the others are verified by exact
+multiset overlap, and links are contracted to components. A leader has then met all members and
+leaves, so a bucket of two is done after a round, of three after two. Members of what is still
+unsettled after ROUNDS are compared exactly, by a prefix filter: shingles are put in one order,
+those of a single component first, then rare ones, and alike texts share one among the first fifth
+of either. Shingles of many members are joined in salted blocks. No step lists all pairs of a
+bucket, and no bucket is held in one place.
 
 Defined results: words are runs of characters other than white space; texts of one to four words
 have one shingle; null and empty texts are equal texts and alike to nothing else; the class id is
-the smallest doc_id of the class; repeated rows are in one class; an empty table gives no rows.
+the smallest doc_id of the class, null if none of its rows has an id; rows that share an id but
+not a text are rows of their own; repeated rows are in one class; an empty table gives no rows;
+other columns are never read.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band in 3 of a million cases
 REGISTERS = BANDS * ROWS
+ROUNDS = 3  # of leaders
+SKETCH = 3  # 64-bit numbers that hold two bits of each register
 BLOCK = 256  # members with a shingle that one task compares with all others
 
 GOLD, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -65,6 +71,18 @@ def shingles(text: bytes) -> np.ndarray:
     return mix(out)
 
 
+def _fewest_agreeing(loss: float = 1e-6) -> int:
+    """The number of registers that fewer agree in only with probability `loss`, at SIMILARITY and two bits each."""
+    p = SIMILARITY + (1 - SIMILARITY) / 4
+    below, k = 0.0, 0
+    while (below := below + math.comb(REGISTERS, k) * p**k * (1 - p) ** (REGISTERS - k)) < loss:
+        k += 1
+    return k
+
+
+AGREEING = _fewest_agreeing()
+
+
 def _points(seed: np.ndarray, rate: float, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Process number, time and hash of all points of the processes up to their times."""
     found, at, start, drawn = [], np.arange(len(seed)), np.zeros(len(seed)), 0
@@ -113,7 +131,7 @@ def signatures(items: np.ndarray, counts: np.ndarray, doc: np.ndarray, docs: int
 
 
 def bands(texts: list[bytes]) -> list[np.ndarray]:
-    """The bucket of each band of each text, then its number of shingles (nothing for a text without words)."""
+    """The bucket of each band of each text, its number of shingles, and its sketch (nothing for a text without words)."""
     out = [np.zeros(0, np.int64)] * len(texts)
     bags, at, size = [], [], 0
     for n, text in enumerate(texts):
@@ -130,8 +148,10 @@ def bands(texts: list[bytes]) -> list[np.ndarray]:
             key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLD, (len(bags), 1))
             for k in range(ROWS):
                 key = mix(key + sig[:, :, k])
-            for n_of, row, bag in zip(at, key.view(np.int64), bags, strict=True):
-                out[n_of] = np.append(row, len(bag))
+            low = (sig.reshape(len(bags), SKETCH, 32) & np.uint64(3)) << np.arange(0, 64, 2, dtype=np.uint64)
+            sketch = np.bitwise_or.reduce(low, 2).view(np.int64)
+            for n_of, row, bag, own in zip(at, key.view(np.int64), bags, sketch, strict=True):
+                out[n_of] = np.concatenate([row, [len(bag)], own])
             bags, at, size = [], [], 0
     return out
 
@@ -158,25 +178,23 @@ def _of_texts(docs: DataFrame, make, name: str) -> DataFrame:
     return docs.mapInArrow(run, f"{schema}, {name} array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose multiset overlap is SIMILARITY and more. texts: id, text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = texts.join(ids.hint("shuffle_hash"), "id", "left_semi")
-    codes = materialize(_of_texts(needed, lambda texts: [overlap_codes(t) for t in texts], "codes"), "overlap codes")
+def _verified(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose multiset overlap is SIMILARITY and more. codes: id, codes."""
     both = pairs.join(codes.select(F.col("id").alias("a"), F.col("codes").alias("x")), "a").join(codes.select(F.col("id").alias("b"), F.col("codes").alias("y")), "b")
-    small, large = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    common = F.when(small >= SIMILARITY * large - 1e-9, F.size(F.array_intersect("x", "y"))).otherwise(0)
-    both = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    links = materialize(both.filter(F.col("c") >= SIMILARITY * (F.col("s") - F.col("c")) - 1e-9).select("a", "b"), "links")
-    discard(codes)
-    return links
+    common = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s")).filter(F.col("c") >= SIMILARITY * (F.col("s") - F.col("c")) - 1e-9).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, class_id) of all ends of links (a, b): alternating large and small stars, tables between."""
+    """(id, class_id) of all ends of links (a, b) but the least of each component, which is the class id:
+    alternating large and small stars, tables between."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges, before = materialize(edges, "edges"), None
+    edges = materialize(edges, "edges")
     while True:
+        # Stars have no end that is below one end and above another, or above two.
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("above"), F.lit(0).alias("below")), F.struct(F.col("v").alias("x"), F.lit(0).alias("above"), F.lit(1).alias("below")))).alias("e"))
+        if ends.groupBy("e.x").agg(F.sum("e.above").alias("above"), F.max("e.below").alias("below")).filter("above + below > 1 and above > 0").isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -185,92 +203,166 @@ def components(links: DataFrame) -> DataFrame:
         after = materialize(small, "edges")
         discard(edges)
         edges = after
-        now = tuple(edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-        if now == before:
-            break
-        before = now
     out = edges.select(F.col("u").alias("id"), F.col("v").alias("class_id"))
     out._written_to = edges._written_to
     return out
 
 
-def _sizes_fit(a: Column | str, b: Column | str) -> Column:
-    """Whether texts of a and b shingles can be alike at all."""
-    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-9
+def _with_links(classes: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components with more links: those of the components that the links join."""
+    if classes is None:
+        return components(links)
+    side = lambda x: classes.select(F.col("id").alias(x), F.col("class_id").alias(f"class_{x}"))
+    known = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    new = components(known.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")))
+    moved = classes.join(new.select(F.col("id").alias("class_id"), F.col("class_id").alias("to")), "class_id", "left").select("id", F.coalesce("to", "class_id").alias("class_id"))
+    out = materialize(moved.unionByName(new), "components")
+    discard(new)
+    return out
 
 
-def _leader_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with its leader. rows: bucket, id, size.
+def _can_be_alike(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """Whether numbers of shingles and sketches allow two texts to be alike."""
+    sizes = F.least(x("size"), y("size")) >= SIMILARITY * F.greatest(x("size"), y("size")) - 1e-9
+    differ = []
+    for k in range(SKETCH):
+        d = x(f"s{k}").bitwiseXOR(y(f"s{k}"))
+        differ.append(F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(F.lit(0x5555555555555555))))
+    return sizes & F.coalesce(REGISTERS - sum(differ[1:], differ[0]) >= AGREEING, F.lit(True))
 
-    Leaders are the first in one order for all buckets, so that alike documents have few of them.
-    """
-    leader = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("o"), F.col("id").alias("leader"), F.col("size").alias("its"))).alias("x"), F.count("*").alias("n")).filter("n > 1").select("bucket", "x.leader", "x.its")
-    return rows.join(leader, "bucket").filter((F.col("id") != F.col("leader")) & _sizes_fit("size", "its")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
+OF_TEXT = ["size", *[f"s{k}" for k in range(SKETCH)]]
 
-def _unsettled(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows (bucket, id, size, class_id) of buckets with members of different components."""
-    known = rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
-    mixed = known.groupBy("bucket").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high").select("bucket")
-    return known.join(mixed, "bucket")
 
+def _met_leaders(rows: DataFrame, classes: DataFrame | None, of_bucket: bool) -> DataFrame:
+    """Rows of buckets with members of different components, their leader, and whether that pair is to be verified.
 
-def _other_leader_pairs(left: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with the first in an order of the bucket, of different components."""
-    leader = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "id").alias("o"), F.col("id").alias("leader"), F.col("size").alias("its"), F.col("class_id").alias("c"))).alias("x")).select("bucket", "x.*")
-    return left.join(leader, "bucket").filter((F.col("class_id") != F.col("c")) & _sizes_fit("size", "its")).select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
+    rows: bucket, id and OF_TEXT. The first leaders are the first in one order for all buckets, so
+    that alike documents have few of them; later ones are first in an order of their bucket.
+    """
+    known = rows.withColumn("class", F.col("id")) if classes is None else rows.join(classes.select("id", F.col("class_id").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    order = F.xxhash64("bucket", "id") if of_bucket else F.xxhash64("id")
+    first = F.min(F.struct(order.alias("o"), *[F.col(c).alias(f"l_{c}") for c in ("id", "class", *OF_TEXT)])).alias("x")
+    leader = known.groupBy("bucket").agg(first, F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket", "x.*").drop("o")
+    met = known.join(leader, "bucket").filter(F.col("id") != F.col("l_id"))
+    asked = (F.col("class") != F.col("l_class")) & _can_be_alike(F.col, lambda c: F.col(f"l_{c}"))
+    return met.select("bucket", "id", *OF_TEXT, F.col("l_id").alias("leader"), asked.alias("asked"))
 
 
-def _rest_pairs(left: DataFrame, texts: DataFrame, used: list[DataFrame]) -> DataFrame:
-    """All pairs (a, b) of members of different components that can be alike. left: id, class_id; texts: id, text.
+def _rest_pairs(rows: DataFrame, classes: DataFrame, codes: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """All pairs (a, b) of members of different components that can be alike. rows as above; codes: id, codes.
 
     In any order of shingles, the first that alike texts share leaves enough behind it in both.
     """
-    members = left.select("id", "class_id").distinct()
-    needed = texts.join(members.hint("shuffle_hash"), "id").select("id", "class_id", F.xxhash64("text").alias("h"), "text").dropDuplicates(["id", "h"])
-    codes = materialize(_of_texts(needed, lambda texts: [overlap_codes(t) for t in texts], "codes"), "codes of the rest")
-    each = codes.select("id", "h", "class_id", F.size("codes").alias("size"), F.explode("codes").alias("code"))
+    known = rows.join(classes.select("id", F.col("class_id").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
+    mixed = known.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("bucket")
+    members = materialize(known.join(mixed, "bucket").select("id", "class", *OF_TEXT).dropDuplicates(["id"]), "unsettled")
+    used.append(members)
+    each = codes.join(members.select("id", "class", "size"), "id").select("id", "class", "size", F.explode("codes").alias("code"))
     # A shingle of one component alone is no part of any overlap here: it takes a place before all others, and no row.
-    spread = each.groupBy("code").agg(F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high").select("code", "n")
-    own = Window.partitionBy("id", "h")
+    spread = each.groupBy("code").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("code", "n")
+    own = Window.partitionBy("id")
     place = F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("n", "code")) - 1
     rest = each.join(spread, "code").withColumn("rest", F.col("size") - place).filter(F.col("rest") >= SIMILARITY * F.col("size") - 1e-6)
-    prefix = materialize(rest.select("code", "id", "class_id", "size", "rest"), "first shingles")
-    discard(codes)
+    prefix = materialize(rest.select("code", "id", "rest").join(members, "id"), "first shingles")
     used.append(prefix)
-    blocks = prefix.groupBy("code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high").select("code", "blocks")
+    blocks = prefix.groupBy("code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("code", "blocks")
     salted = prefix.join(blocks, "code")
     x = salted.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("x")
     y = salted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     enough = (1 + SIMILARITY) * F.least("x.rest", "y.rest") >= SIMILARITY * (F.col("x.size") + F.col("y.size")) - 1e-6
-    on = (F.col("x.code") == F.col("y.code")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.class_id") != F.col("y.class_id")) & enough
+    on = (F.col("x.code") == F.col("y.code")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.class") != F.col("y.class")) & enough & _can_be_alike(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def text_hashes() -> list[Column]:
+    """h1, h2: 128 bits that stand for the text."""
+    return [F.xxhash64(text_or_empty()).alias("h1"), F.xxhash64(F.lit("second"), text_or_empty()).alias("h2")]
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """A table with a row for each distinct text: h1, h2, doc_id and n_first (the text's smallest id and its
+    number of rows with that id), class and class_id (the class's number and smallest id)."""
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
+    signed = materialize(_of_texts(docs.select(doc_id, *text_hashes(), "text"), bands, "made"), "signatures")
+    by_id = signed.groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("n"))
+    first = by_id.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "n")).alias("x")).select("h1", "h2", "x.doc_id", F.col("x.n").alias("n_first"))
+    # Written once, numbers stay what they are.
+    texts = materialize(first.withColumn("id", F.monotonically_increasing_id()), "texts")
+    mine = (F.col("s.h1") == F.col("t.h1")) & (F.col("s.h2") == F.col("t.h2")) & F.col("s.doc_id").eqNullSafe(F.col("t.doc_id"))
+    made = signed.alias("s").join(texts.alias("t"), mine).select("t.id", "s.made").dropDuplicates(["id"]).filter(F.size("made") > 0)
+    made = materialize(made, "signatures of texts")
+    bucketed = made.select("id", F.explode(F.slice("made", 1, BANDS)).alias("bucket"))
+    several = bucketed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    of_text = made.select("id", *[F.try_element_at("made", F.lit(BANDS + 1 + k)).alias(c) for k, c in enumerate(OF_TEXT)])
+    rows = materialize(bucketed.join(several, "bucket", "left_semi").join(of_text, "id"), "bands")
+    discard(signed)
+    discard(made)
+
+    needed = texts.join(rows.select("id").distinct(), "id", "left_semi").select("id", F.col("h1").alias("t_h1"), F.col("h2").alias("t_h2"), F.col("doc_id").alias("t_id"))
+    same = (F.col("h1") == F.col("t_h1")) & (F.col("h2") == F.col("t_h2")) & F.col("doc_id").eqNullSafe(F.col("t_id"))
+    found = docs.select(doc_id, *text_hashes(), "text").join(needed.hint("shuffle_hash"), same).select("id", "text").dropDuplicates(["id"])
+    codes = materialize(_of_texts(found, lambda texts: [overlap_codes(t) for t in texts], "codes"), "overlap codes")
+
+    used, checked, classes = [codes], None, None
+
+    def learn(pairs: DataFrame, classes: DataFrame | None) -> DataFrame | None:
+        nonlocal checked
+        pairs = materialize(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_verified(pairs, codes), "links")
+        used.extend([pairs, more])
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        if classes is not None and more.isEmpty():
+            return classes
+        out = _with_links(classes, more)
+        used.append(out)
+        return out
+
+    for k in range(ROUNDS):
+        met = materialize(_met_leaders(rows, classes, k > 0), "met leaders")
+        discard(rows)
+        rows = met.select("bucket", "id", *OF_TEXT)
+        rows._written_to = met._written_to
+        classes = learn(met.filter("asked").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct(), classes)
+        if met.isEmpty():
+            break
+    else:
+        classes = learn(_rest_pairs(rows, classes, codes, used), classes)
+    used.append(rows)
+    members = classes.unionByName(classes.select(F.col("class_id").alias("id"), "class_id").distinct())
+    members = materialize(members.join(texts.select("id", "doc_id"), "id"), "members")
+    used.append(members)
+    smallest = members.groupBy("class_id").agg(F.min("doc_id").alias("smallest"))
+    known = texts.join(members.select("id", "class_id").join(smallest, "class_id"), "id", "left")
+    out = known.select("h1", "h2", "doc_id", "n_first", F.coalesce("class_id", "id").alias("class"), F.when(F.col("class_id").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("class_id"))
+    out = materialize(out, "text classes")
+    for table in [*used, texts]:
+        discard(table)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id: one row per document; the class id is the smallest doc_id of the class."""
-    t = text_or_empty()
-    h1, h2 = F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("second"), t).alias("h2")
-    signed = materialize(_of_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), h1, h2, "text"), bands, "buckets"), "signatures")
-    first = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
-    first = materialize(first, "equal texts")
-    # A row of each text: that of its smallest doc_id (repeated rows are the same text).
-    unique = signed.select(F.col("doc_id").alias("id"), "buckets").join(first.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    rows = materialize(unique.select("id", F.try_element_at("buckets", F.lit(-1)).alias("size"), F.explode(F.slice("buckets", 1, BANDS)).alias("bucket")), "bands")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    checked = materialize(_leader_pairs(rows), "leader pairs")
-    links = _verified(checked, texts)
-    classes, used = components(links), [rows, checked, links]
-    for pairs in (_other_leader_pairs, lambda left: _rest_pairs(left, texts, used)):
-        # Two alike texts of different components share only buckets that are unsettled.
-        left = materialize(_unsettled(rows, classes), "unsettled")
-        found = materialize(pairs(left).join(checked, ["a", "b"], "left_anti"), "further pairs")
-        discard(left)
-        more = _verified(found, texts)
-        used += [found, more, classes]
-        checked, links = checked.unionByName(found), links.unionByName(more)
-        classes = components(links)
-    for table in used:
-        discard(table)
-    of_text = first.join(classes, "id", "left").select("h1", "h2", F.coalesce("class_id", "id").alias("class_id"))
-    return signed.select("doc_id", "h1", "h2").join(of_text, ["h1", "h2"]).select("doc_id", "class_id")
+    classes = text_classes(docs).select("h1", "h2", "class_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes()).join(classes, ["h1", "h2"]).select("doc_id", "class_id")
+
+
+def first_of_classes(docs: DataFrame) -> DataFrame:
+    """The rows that stay when each class keeps one: a row with the smallest doc_id, of its text, with all columns.
+
+    Rows that repeat that id and text are one; of rows without an id one stays if the class has no other.
+    """
+    classes = text_classes(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "h1", "h2", "n_first")
+    first = classes.groupBy("class").agg(F.min(order).alias("x")).select(F.col("x.doc_id").alias("f_id"), F.col("x.h1").alias("f_1"), F.col("x.h2").alias("f_2"), F.col("x.n_first").alias("f_n"))
+    first = materialize(first, "first of classes")
+    discard(classes)
+    h1, h2 = text_hashes()
+    # Names by place, so that columns of any name pass through.
+    names = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)]
+    rows = docs.toDF(*names)
+    same = (h1 == F.col("f_1")) & (h2 == F.col("f_2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("f_id"))
+    kept = rows.join(first.hint("shuffle_hash"), same).select(*names, "f_1", "f_2", "f_n")
+    # Only what is repeated is grouped, and none of the other texts is sorted.
+    once, again = kept.filter("f_n = 1"), kept.filter("f_n > 1").dropDuplicates(["f_1", "f_2"])
+    return once.unionByName(again).select(*names).toDF(*docs.columns)

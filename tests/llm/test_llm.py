@@ -81,6 +81,32 @@ def test_no_link_of_a_crowded_bucket_is_lost(spark, monkeypatch):
     assert got == {i: i - 300 if i >= 300 else i for i in range(340)}
 
 
+def test_one_large_group_of_near_copies(spark):
+    """A chain of edits: neighbours are alike, the ends are not; it lies in shared buckets with unlike texts."""
+    rng = random.Random(21)
+    word, texts = prose(rng, 120).split(), []
+    for k in range(400):
+        word[k * 7 % 120] = f"new{k}"
+        texts.append(" ".join(word))
+    texts += [prose(rng, 120) for _ in range(100)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert got == {i: 0 if i < 400 else i for i in range(500)}
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Null and repeated ids, one id for two texts, null and repeated texts, and columns with the names used inside."""
+    rng = random.Random(22)
+    a, b, c = prose(rng, 100), prose(rng, 100), prose(rng, 100)
+    rows = [(5, a), (3, a + " end"), (None, a + " fin"), (7, b), (7, c), (7, c), (None, b), (8, None), (9, ""), (None, "only here, twice"), (None, "only here, twice")]
+    names = ["first_id", "h1", "h2", "class_id", "f_1", "id", "n", "codes", "Text2"]
+    table = spark.createDataFrame([(i, t, *[k] * len(names)) for k, (i, t) in enumerate(rows)], f"doc_id long, text string, {', '.join(x + ' int' for x in names)}")
+    got = sorted(((r.doc_id, r.class_id) for r in minhash.near_duplicates(table).collect()), key=str)
+    assert got == sorted([(5, 3), (3, 3), (None, 3), (7, 7), (7, 7), (7, 7), (None, 7), (8, 8), (9, 8), (None, None), (None, None)], key=str)
+    kept = minhash.first_of_classes(table)
+    assert kept.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, a + " end"), (7, b), (7, c), (8, None), (None, "only here, twice")], key=str)
+
+
 def test_signatures_are_unbiased():
     rng, off = np.random.default_rng(1), []
     for _ in range(150):
