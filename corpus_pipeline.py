@@ -36,11 +36,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document with the smallest id stays; documents without an id are compared with each other by text."""
-    classes = minhash.near_duplicates(docs.filter("doc_id is not null"))
-    first = materialize(classes.filter("doc_id = class_id").select(F.col("doc_id").alias("first_id")).distinct(), "first of classes")
-    kept = docs.join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    """Of each class the document with the smallest id stays; null ids come last, repeated rows are one."""
+    return minhash.first_of_classes(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
