@@ -1,21 +1,24 @@
 """A hashed maximum-entropy language model with class-factored softmax, and the unigram base.
 
-P(token | history) = P(class | history) * P(token | class). Classes: each of the most frequent
-tokens is one of its own, all others are classed by a hash of their ending. P(class | history) is
-a softmax over hashed features: the last token, the last two, and the token before the last (a
-skip). P(token | class) is the maximum-entropy solution for its only feature, the token itself:
-smoothed relative frequency, with one place for tokens not seen.
+P(token | history) = P(class | history) * P(subclass | class, history) * P(token | subclass). Each of
+the most frequent tokens is a subclass of its own, all others are classed by a hash of their ending.
+Both P(class | history) and P(subclass | class, history) are a softmax over hashed features, those
+of the second taken together with the class: the last token, the last two, the token before the
+last (a skip), and a constant. P(token | subclass) is the maximum-entropy solution for its only
+feature, the token itself: smoothed relative frequency, with one place for tokens not seen.
 
-Training takes all documents that aren't held out, once: in each round the tasks start from the
-broadcast weights (a fixed size), walk their share of the documents in minibatches, and their
-weights are summed per slice by a shuffle and averaged. Scoring is one pass in numpy batches.
+Training takes all documents that aren't held out, PASSES times: in each round the tasks start from
+the broadcast weights (a fixed size), walk their share of the documents in minibatches, and their
+weights are summed per slice by a shuffle and averaged.
 
-Token counts are a distributed table of all distinct tokens. Each block of documents gets the
-counts of its own tokens by a join on the token, so no machine holds the vocabulary.
+Token counts are a distributed table of all distinct tokens. The counts of the COMMON most frequent
+ones are broadcast (a fixed size); each block of documents gets those of its other tokens by a join
+on the token, so no machine holds the vocabulary and no frequent token is in the join.
 
 Defined results: null and empty texts are an end token alone; a null doc_id is in training and
-its crc32 is that of an empty string; repeated rows count and are scored each; without training
-tokens N and V are 0; an empty table gives no rows.
+its crc32 is that of an empty string; repeated rows count and are scored each; very long texts are
+scored in slices of tokens; ties of frequency go by the token's bytes; without training tokens N and
+V are 0; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -33,11 +36,17 @@ from fanframe.llm.common import block_count, materialize, utf8_list
 
 HELD_OUT = (7, 2)  # crc32 of the id as text, modulo, remainder
 END = b"\n"  # no word has it
-HEAD, TAIL = 20, 12
-CLASSES = HEAD + TAIL
-SLOTS = 1 << 14  # hashed weights of each kind of feature
+OUTER = WITHIN = 16  # classes, and subclasses of each
+CLASSES = OUTER * WITHIN
+HEAD = 8 * WITHIN  # tokens that are subclasses of their own
+TAIL = (OUTER - 8) * WITHIN
+SLOTS = 1 << 14  # hashed weights of each kind of feature, for classes and for subclasses
 KINDS = 3
 RATE, BATCH, ROUNDS = 0.5, 2048, 3
+#: Times that each document is used: a second pass fits the training texts alone (held-out scores fall).
+PASSES = 1
+COMMON = 1 << 16  # tokens whose counts are broadcast: those of up to COMMON_BYTES
+COMMON_BYTES = 64
 BLOCK_BYTES = 1 << 22
 
 
@@ -50,7 +59,7 @@ def held_out() -> Column:
 
 
 class Classes(dict):
-    """Class and feature hash of tokens, remembered up to a bound."""
+    """Subclass (its class times WITHIN, and its place there) and feature hash of tokens, remembered up to a bound."""
 
     def __init__(self, head: list[bytes]):
         self.head = {t: k for k, t in enumerate(head)}
@@ -67,8 +76,14 @@ class Classes(dict):
         return both & 255, both >> 8
 
 
-def feature_slots(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Slots of each token's features, a row for each kind, by the hashes of the tokens before it in its document."""
+GOLD, WHEEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def feature_slots(hashes: np.ndarray, starts: np.ndarray, cells: np.ndarray | None = None) -> np.ndarray:
+    """Slots of each token's features, a row for each kind, by the hashes of the tokens before it in its document.
+
+    With the tokens' subclasses, slots for subclasses: features are taken together with the class.
+    """
     h = hashes.astype(np.uint64)
     one = np.concatenate([[0], h[:-1]]).astype(np.uint64)
     two = np.concatenate([[0, 0], h[:-2]]).astype(np.uint64)[: len(h)]
@@ -76,64 +91,99 @@ def feature_slots(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     two[starts] = 2
     second = starts + 1
     two[second[second < len(h)]] = 1
-    big = np.uint64(0x9E3779B97F4A7C15)
-    pair = (one * big ^ two) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return np.stack([(x * big >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.uint16) for x in (one, two + np.uint64(7), pair)])
-
-
-def _exponents(weights: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Logits less a shift, and their exponentials, a row for each token."""
-    z = weights.take(slots[0], 0)
-    z += weights[-1]
-    for k in range(1, KINDS):
-        z += weights.take(slots[k].astype(np.int64) + k * SLOTS, 0)
-    top = z.max()
-    z -= top if top - z.min() < 60 else z.max(1, keepdims=True)  # one shift for all rows where none vanishes
-    return z, np.exp(z)
-
-
-def _softmax(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    _, e = _exponents(weights, slots)
-    e /= np.einsum("ij->i", e)[:, None]
-    return e
-
-
-def _log10_classes(weights: np.ndarray, slots: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each token's class."""
-    z, e = _exponents(weights, slots)
-    return (z[np.arange(len(z)), classes] - np.log(np.einsum("ij->i", e).astype(np.float64))) / math.log(10)
-
-
-def descend(weights: np.ndarray, slots: np.ndarray, classes: np.ndarray, squares: np.ndarray) -> None:
-    """One minibatch of gradient steps with rates adapted by row."""
-    g = _softmax(weights, slots)
-    g[np.arange(len(g)), classes] -= 1
-    for k in range(KINDS):
-        order = np.argsort(slots[k], kind="stable")  # a radix sort
-        at = slots[k].take(order).astype(np.int64) + k * SLOTS
+    pair = (one * GOLD ^ two) * WHEEL
+    kinds = [one, two + np.uint64(7), pair]
+    if cells is not None:
+        own = ((cells // WITHIN + 1).astype(np.uint64)) * WHEEL
+        kinds = [x * WHEEL ^ own for x in kinds]
+    return np.stack([(x * GOLD >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.uint16) for x in kinds])
+
+
+class Weights:
+    """The weights of one softmax: a row for each slot of each kind, then the constants."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+    def _logits(self, slots: np.ndarray, own: np.ndarray | int) -> np.ndarray:
+        z = self.values.take(slots[0], 0)
+        for k in range(1, KINDS):
+            z += self.values.take(slots[k].astype(np.int64) + k * SLOTS, 0)
+        z += self.values[KINDS * SLOTS + own]
+        top = z.max()
+        z -= top if top - z.min() < 60 else z.max(1, keepdims=True)  # one shift for all rows where none vanishes
+        return z
+
+    def log10(self, slots: np.ndarray, own: np.ndarray | int, target: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token's target."""
+        z = self._logits(slots, own)
+        right = z[np.arange(len(z)), target].astype(np.float64)
+        return (right - np.log(np.einsum("ij->i", np.exp(z, out=z)).astype(np.float64))) / math.log(10)
+
+    def descend(self, slots: np.ndarray, own: np.ndarray | int, target: np.ndarray, squares: np.ndarray) -> None:
+        """One minibatch of gradient steps with rates adapted by row."""
+        g = self._logits(slots, own)
+        np.exp(g, out=g)
+        g /= np.einsum("ij->i", g)[:, None]
+        g[np.arange(len(g)), target] -= 1
+        for k in range(KINDS):
+            self._step(g, slots[k], k * SLOTS, squares)
+        if isinstance(own, int):
+            self._change(g.sum(0)[None], np.array([KINDS * SLOTS + own]), squares)
+        else:
+            self._step(g, own.astype(np.uint16), KINDS * SLOTS, squares)
+
+    def _step(self, g: np.ndarray, slots: np.ndarray, offset: int, squares: np.ndarray) -> None:
+        order = np.argsort(slots, kind="stable")  # a radix sort
+        at = slots.take(order)
         new = np.concatenate([[True], at[1:] != at[:-1]])
         first, rest = np.flatnonzero(new), np.flatnonzero(~new)
-        total, row = g.take(order.take(first), 0), at.take(first)
+        total = g.take(order.take(first), 0)
         if len(rest):  # most slots have one token, and need no sum
             of = np.cumsum(new).take(rest) - 1
             start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             total[of.take(start)] += np.add.reduceat(g.take(order.take(rest), 0), start, 0)
-        square = squares.take(row) + np.einsum("ij,ij->i", total, total) / CLASSES
+        self._change(total, at.take(first).astype(np.int64) + offset, squares)
+
+    def _change(self, total: np.ndarray, row: np.ndarray, squares: np.ndarray) -> None:
+        square = squares.take(row) + np.einsum("ij,ij->i", total, total) / total.shape[1]
         squares[row] = square
-        weights[row] = weights.take(row, 0) - (RATE / np.sqrt(square + 1))[:, None] * total
-    total = g.sum(0)
-    squares[-1] += (total * total).mean()
-    weights[-1] -= RATE / np.sqrt(squares[-1] + 1) * total
+        self.values[row] = self.values.take(row, 0) - (RATE / np.sqrt(square + 1))[:, None] * total
+
+
+class Model:
+    """Both softmaxes, their weights in one array."""
+
+    ROWS = (KINDS * SLOTS + 1, KINDS * SLOTS + OUTER)
+
+    def __init__(self, values: np.ndarray | None = None):
+        self.values = np.zeros((sum(self.ROWS), OUTER), np.float32) if values is None else values
+        self.outer, self.inner = Weights(self.values[: self.ROWS[0]]), Weights(self.values[self.ROWS[0] :])
+        self.squares = np.zeros(len(self.values), np.float32)
+
+    def learn(self, hashes: np.ndarray, starts: np.ndarray, cells: np.ndarray) -> None:
+        outer, inner = feature_slots(hashes, starts), feature_slots(hashes, starts, cells)
+        for k in range(0, len(cells), BATCH):
+            own, sub = np.divmod(cells[k : k + BATCH], WITHIN)
+            self.outer.descend(outer[:, k : k + BATCH], 0, own, self.squares[: self.ROWS[0]])
+            self.inner.descend(inner[:, k : k + BATCH], own, sub, self.squares[self.ROWS[0] :])
+
+    def log10(self, hashes: np.ndarray, starts: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each token's subclass."""
+        outer, inner, out = feature_slots(hashes, starts), feature_slots(hashes, starts, cells), []
+        for k in range(0, len(cells), BATCH):
+            own, sub = np.divmod(cells[k : k + BATCH], WITHIN)
+            out.append(self.outer.log10(outer[:, k : k + BATCH], 0, own) + self.inner.log10(inner[:, k : k + BATCH], own, sub))
+        return np.concatenate(out)
 
 
 def _batches_of_tokens(table, classes: Classes):
-    """Class and slots of the tokens of some documents at a time."""
+    """Hashes of the tokens of some documents at a time, where documents start, and subclasses."""
     for k in range(0, table.num_rows, 64):
         docs = [tokens(t) for t in utf8_list(table.slice(k, 64).column("text"))]
-        toks = [t for d in docs for t in d]
         sizes = np.array([len(d) for d in docs])
-        cls, h = classes(toks)
-        yield docs, toks, sizes, cls, feature_slots(h, np.cumsum(sizes) - sizes)
+        cells, h = classes([t for d in docs for t in d])
+        yield h, np.cumsum(sizes) - sizes, cells
 
 
 def _train_round(docs: DataFrame, weights: np.ndarray, head: list[bytes]) -> np.ndarray:
@@ -143,17 +193,15 @@ def _train_round(docs: DataFrame, weights: np.ndarray, head: list[bytes]) -> np.
     slices = 32
 
     def run(batches):
-        w, classes, n = None, Classes(head), 0
+        model, classes, n = None, Classes(head), 0
         for b in batches:
-            if w is None:
-                w, squares = start.value.copy(), np.zeros(len(start.value), np.float32)
-            for _, _, _, cls, slots in _batches_of_tokens(b, classes):
-                for k in range(0, len(cls), BATCH):
-                    descend(w, slots[:, k : k + BATCH], cls[k : k + BATCH], squares)
-                n += len(cls)
+            model = model or Model(start.value.copy())
+            for h, starts, cells in _batches_of_tokens(b, classes):
+                model.learn(h, starts, cells)
+                n += len(cells)
         if n:
             # One row a slice: the change of its weights, times the tokens it rests on.
-            change = ((w - start.value) * np.float32(n)).reshape(-1)
+            change = ((model.values - start.value) * np.float32(n)).reshape(-1)
             parts = np.array_split(change, slices)
             yield pa.RecordBatch.from_pydict({"slice": np.arange(slices, dtype=np.int32), "n": np.full(slices, n, np.int64), "change": [p.astype("<f4").tobytes() for p in parts]})
 
@@ -169,10 +217,10 @@ def _train_round(docs: DataFrame, weights: np.ndarray, head: list[bytes]) -> np.
 
 
 def train(docs: DataFrame, head: list[bytes]) -> np.ndarray:
-    """Weights of all rows of `docs` (doc_id, text), each used in one round."""
-    weights = np.zeros((KINDS * SLOTS + 1, CLASSES), np.float32)
-    for k in range(ROUNDS):
-        weights = _train_round(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).select("text"), weights, head)
+    """Weights of all rows of `docs` (doc_id, text), each used PASSES times."""
+    weights = Model().values
+    for k in range(ROUNDS * PASSES):
+        weights = _train_round(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k % ROUNDS).select("text"), weights, head)
     return weights
 
 
@@ -197,17 +245,22 @@ def _count_tokens(batches):
     yield row_batch(counts)
 
 
-def _list_tokens(table: pa.Table) -> pa.Table:
-    """Distinct tokens of a block."""
-    found = set()
-    for k in range(0, table.num_rows, 64):
-        for text in utf8_list(table.slice(k, 64).column("text")):
-            found.update(tokens(text))
-    return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int32()), "token": pa.array(list(found), pa.binary())})
+def _list_tokens(common):
+    """Distinct tokens of a block that are none of the common ones."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = set()
+        for k in range(0, table.num_rows, 64):
+            for text in utf8_list(table.slice(k, 64).column("text")):
+                found.update(tokens(text))
+        found.difference_update(common.value)
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int32()), "token": pa.array(list(found), pa.binary())})
+
+    return run
 
 
 class Numbers(dict):
-    """Numbers for a block's tokens, with each one's count, class and hash in arrays: one lookup a token."""
+    """Numbers for a block's tokens, with each one's count, subclass and hash in arrays: one lookup a token."""
 
     def __init__(self, counts: dict[bytes, int], classes: Classes):
         self.counts, self.classes, self.new = counts, classes, []
@@ -219,7 +272,7 @@ class Numbers(dict):
         return n
 
     def __call__(self, toks: list[bytes]) -> np.ndarray:
-        """Rows of counts, classes and hashes."""
+        """Rows of counts, subclasses and hashes."""
         at = np.fromiter(map(self.__getitem__, toks), np.int64, len(toks))
         if self.new:
             cls, h = self.classes(self.new)
@@ -229,24 +282,23 @@ class Numbers(dict):
         return self.table[:, at]
 
 
-def _score(weights, head: list[bytes], total: int, distinct: int, of_class: np.ndarray, kinds_of_class: np.ndarray):
+def _score(weights, common, head: list[bytes], total: int, distinct: int, of_cell: np.ndarray, kinds_of_cell: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         known = dict(zip(counts.column("token").to_pylist(), counts.column("n").to_pylist(), strict=True))
-        numbers, w, out = Numbers(known, Classes(head)), weights.value, []
+        known.update(common.value)
+        numbers, model, out = Numbers(known, Classes(head)), Model(weights.value), []
         for k in range(0, docs.num_rows, 512):
             own = [tokens(t) for t in utf8_list(docs.slice(k, 512).column("text"))]
             sizes = np.array([len(d) for d in own])
-            c, cls, h = numbers([t for d in own for t in d])
-            slots = feature_slots(h, np.cumsum(sizes) - sizes)
+            c, cells, h = numbers([t for d in own for t in d])
+            at = np.cumsum(sizes) - sizes
             log = np.log10(c + 1.0)
             base = log - math.log10(total + 1 * (distinct + 1))
-            inner = log - np.log10(of_class + kinds_of_class + 1.0)[cls]
-            outer = np.concatenate([_log10_classes(w, slots[:, j : j + BATCH], cls[j : j + BATCH]) for j in range(0, len(cls), BATCH)])
-            at = np.cumsum(sizes) - sizes
+            score = log - np.log10(of_cell + kinds_of_cell + 1.0)[cells] + model.log10(h, at, cells)
             part = docs.slice(k, len(own))
-            out.append([part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(own), total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(inner + outer, at))])
+            out.append([part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(own), total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(score, at))])
         if not out:
             return schema.empty_table()
         return pa.Table.from_arrays([pa.chunked_array(list(x)) for x in zip(*out, strict=True)], schema=schema)
@@ -263,17 +315,22 @@ def score_documents(docs: DataFrame) -> DataFrame:
     learnt = docs.filter(~held_out()).select("text").mapInArrow(_count_tokens, "token binary, c long")
     counts = materialize(learnt.groupBy("token").agg(F.sum("c").alias("n")), "token counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    head = [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "token").limit(HEAD).collect()]
+    top = counts.filter((F.col("n") > 0) & (F.octet_length("token") <= COMMON_BYTES)).orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    common = spark.sparkContext.broadcast({bytes(r[0]): r[1] for r in top})
+    head = [bytes(r[0]) for r in top[:HEAD]]
 
-    def classed(batches):
+    def celled(batches):
         classes = Classes(head)
         for b in batches:
-            cls, _ = classes([bytes(t) for t in b.column(0).to_pylist()]) if b.num_rows else (np.zeros(0, np.int64), None)
-            yield pa.RecordBatch.from_arrays([pa.array(cls.astype(np.int32)), b.column(1)], ["k", "n"])
-
-    by_class = {r[0]: (r[1], r[2]) for r in counts.filter("n > 0").mapInArrow(classed, "k int, n long").groupBy("k").agg(F.sum("n"), F.count("*")).collect()}
-    of_class, kinds = (np.array([by_class.get(k, (0, 0))[j] for k in range(CLASSES)], np.int64) for j in range(2))
+            cells, _ = classes([bytes(t) for t in b.column(0).to_pylist()]) if b.num_rows else (np.zeros(0, np.int64), None)
+            n = np.array(b.column(1), np.int64)
+            yield pa.RecordBatch.from_pydict({"k": np.arange(CLASSES, dtype=np.int32), "n": np.bincount(cells, n, CLASSES).astype(np.int64), "kinds": np.bincount(cells, minlength=CLASSES)})
+
+    by_cell = counts.filter("n > 0").mapInArrow(celled, "k int, n long, kinds long").groupBy("k").agg(F.sum("n"), F.sum("kinds")).collect()
+    of_cell, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for k, n_of, kinds_of in by_cell:
+        of_cell[k], kinds[k] = n_of, kinds_of
     weights = spark.sparkContext.broadcast(train(docs.filter(~held_out()), head))
-    known = grouped.applyInArrow(_list_tokens, "block int, token binary").join(counts, "token")
+    known = grouped.applyInArrow(_list_tokens(common), "block int, token binary").join(counts, "token")
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return grouped.cogroup(known.groupBy("block")).applyInArrow(_score(weights, head, total, distinct, of_class, kinds), ddl)
+    return grouped.cogroup(known.groupBy("block")).applyInArrow(_score(weights, common, head, total, distinct, of_cell, kinds), ddl)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -328,6 +329,32 @@ def test_language_model_has_its_former_size():
     assert all(len(np.unique(row)) > 16_000 for row in maxent.feature_slots(hashes, np.array([0])))
 
 
+def test_language_model_is_a_distribution():
+    rng = np.random.default_rng(3)
+    model, hashes = maxent.Model(), rng.integers(0, 1 << 32, 500)
+    starts, cells = np.array([0, 200]), rng.integers(0, maxent.CLASSES, 500)
+    for _ in range(3):
+        model.learn(hashes, starts, cells)
+    total = sum(10 ** model.log10(hashes, starts, np.where(np.arange(500) < 500, k, 0)) for k in range(maxent.CLASSES))
+    assert np.allclose(total, 1, atol=1e-3)
+    assert model.log10(hashes, starts, cells).mean() > -math.log10(maxent.CLASSES)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_model_beats_the_base_on_held_out_rows(spark):
+    rows = maxent.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows) + 0.1 * sum(r.n_tokens for r in rows)
+
+
+def test_language_model_of_odd_rows(spark):
+    """Null and repeated ids and texts, a long text, and columns with the names used inside."""
+    rows = [(None, "a b"), (1, None), (1, "a b"), (1, "a b"), (2, "long " * 30_000)]
+    names = ["block", "token", "n", "held_out", "score"]
+    table = spark.createDataFrame([(i, t, *[k] * len(names)) for k, (i, t) in enumerate(rows)], f"doc_id long, text string, {', '.join(x + ' int' for x in names)}")
+    got = sorted((str(r.doc_id), r.n_tokens) for r in maxent.score_documents(table).collect())
+    assert got == [("1", 1), ("1", 3), ("1", 3), ("2", 30_001), ("None", 3)]
+
+
 def test_pipeline(spark, docs, tmp_path):
     rng = random.Random(11)
     more = spark.createDataFrame([(None, prose(rng, 80), "en", None, 0), (7000, prose(rng, 90) + " bob@example.com", "en", "s1", 0)], SCHEMA)
