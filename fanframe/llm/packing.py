@@ -2,23 +2,29 @@
 
 Every document gives ids and an end id. Full windows are cut off first; what remains is shorter
 than a window. A packer sees a stream of documents in blocks of a few million tokens. Per block
-it takes the histogram of remainders, enumerates the combinations of two or three lengths that
-fill a window exactly, solves "repeats of combinations = histogram" by non-negative least
-squares (multiplicative updates on the sparse columns), rounds, and takes the documents that
-the rounded solution asks for. Residual documents are packed greedily, longest first, cutting
-at window borders. The rest, less than a window a block, is cut into sequences of powers of
-two, which need no padding.
+it takes the histogram of remainders, enumerates all combinations of two or three lengths that
+fill a window exactly, and solves "repeats of combinations = histogram" by non-negative least
+squares (multiplicative updates on the sparse columns). There are far more combinations than
+lengths, so most repeats are fractions: they are rounded in a row, each to the whole number that
+the sum so far passes, which keeps the number of windows and what each length is asked for. The
+documents that the rounded solution asks for are taken as far as they last, and the same is done
+again with the histogram of the others, until a solution fills few more windows. Residual
+documents are packed by best fit, longest first; then the least filled windows are taken apart
+again and cut to fill the gaps of the others. The rest, less than a window a block, is cut into
+sequences of powers of two, which need no padding.
 
 Blocks are packed where their documents are read: a narrow map, with one scan and no shuffle,
 and all memory bounded by the block. Sequence ids are the partition's number times 2^33 plus a
 count, hence unique.
 
-Defined results: null and empty texts give the end id alone; repeated rows are packed each; an
-empty table gives no rows.
+Defined results: null and empty texts give the end id alone; a null doc_id stays null; repeated
+rows are packed each; equal lengths are taken in the order of the rows; an empty table gives no
+rows; other columns are never read.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import os
 import zlib
@@ -34,7 +40,8 @@ WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 22  # ids of the documents that are packed together
 REMEMBERED = 1_000_000  # chunks of text whose ids a worker remembers
-ROUNDS = 60  # of multiplicative updates
+UPDATES = 60  # of a solution; it ends sooner when the residual no longer falls by a hundredth
+FEW = 0.01  # a solution that places a smaller share of the rest is the last
 
 
 class ChunkEncoder:
@@ -106,44 +113,60 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
-def combinations(have: np.ndarray, window: int, most: int = 1 << 14) -> np.ndarray:
-    """Columns of two and three lengths that fill the window, out of lengths with a count; padded with 0.
-
-    Beyond `most` columns those with the largest smallest count stay: a bound on the effort of
-    the solution, not on documents.
-    """
+def combinations(have: np.ndarray, window: int) -> np.ndarray:
+    """All columns of two and three lengths that fill the window, out of lengths with a count; padded with 0."""
     lengths = np.flatnonzero(have)
     lengths = lengths[lengths > 0]
-    a, b = np.meshgrid(lengths, lengths, indexing="ij")
-    c = window - a - b
-    three = (a <= b) & (c >= b)
-    three &= have[np.where(three, c, 0)] > 0
-    pair = (c == 0) & (a <= b)
-    out = np.concatenate([np.stack([a[pair], b[pair], c[pair]], 1), np.stack([a[three], b[three], c[three]], 1)])
-    if len(out) > most:
-        least = np.where(out > 0, have[out], np.iinfo(np.int64).max).min(1)
-        out = out[np.sort(np.argsort(-least, kind="stable")[:most])]
-    return out
+    out = []
+    for a in lengths[lengths <= window // 2].tolist():
+        # a <= b <= c; of pairs b is 0.
+        b = lengths[np.searchsorted(lengths, a) : np.searchsorted(lengths, (window - a) // 2, "right")]
+        c = window - a - b
+        b = b[have[c] > 0]
+        pair = have[window - a] > 0
+        column = np.empty((len(b) + pair, 3), np.int32)
+        column[:, 0] = a
+        column[: len(b), 1], column[: len(b), 2] = b, window - a - b
+        if pair:
+            column[-1, 1:] = 0, window - a
+        out.append(column)
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int32)
 
 
 def solve(columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Non-negative repeats x with columns @ x close to counts, by multiplicative updates."""
-    size = len(counts)
+    size, k = len(counts), columns.shape[1]
     target = counts.astype(float)
     target[0] = 0
+    flat = columns.T.ravel()
 
     def back(v: np.ndarray) -> np.ndarray:
-        return v[columns].sum(1)
+        return v.take(flat).reshape(k, -1).sum(0)
+
+    def made(x: np.ndarray) -> np.ndarray:
+        out = np.bincount(flat, np.tile(x, k), size)
+        out[0] = 0
+        return out
 
-    x = np.full(len(columns), 1.0)
     goal = back(target)
-    for _ in range(ROUNDS):
-        made = sum(np.bincount(columns[:, k], x, size) for k in range(3))
-        made[0] = 0
-        x *= goal / np.maximum(back(made), 1e-12)
+    x = goal / np.maximum(back(made(np.ones(len(columns)))), 1e-12)
+    before = np.inf
+    for _ in range(UPDATES):
+        now = made(x)
+        off = float(((now - target) ** 2).sum())
+        if off > 0.98 * before:  # squares: a hundredth of the residual
+            break
+        before = off
+        x *= goal / np.maximum(back(now), 1e-12)
     return x
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Whole numbers whose sums in a row are those of x, rounded."""
+    sums = np.floor(np.cumsum(x) + 0.5)
+    return np.diff(sums, prepend=0).astype(np.int64)
+
+
 def plan(rest: np.ndarray, window: int) -> tuple[list[list[int]], np.ndarray]:
     """Groups of remainders that fill a window (indexes into `rest`), and the indexes left over, longest first."""
     counts = np.bincount(rest, minlength=window)
@@ -152,13 +175,14 @@ def plan(rest: np.ndarray, window: int) -> tuple[list[list[int]], np.ndarray]:
     left = counts.copy()
     left[0] = 0
     groups: list[list[int]] = []
-    columns = combinations(left, window)
-    if len(columns):
-        x = solve(columns, left)
+    placed = len(rest)
+    while placed > FEW * left.sum():
+        columns, placed = combinations(left, window), 0
+        repeats = rounded(solve(columns, left)) if len(columns) else np.zeros(0, np.int64)
+        asked = np.flatnonzero(repeats)
+        asked = asked[np.argsort(-repeats[asked], kind="stable")]
         have, first = left.tolist(), (top - left).tolist()
-        # Rounded, once at least, as far as the lengths last; the largest repeats first.
-        by = np.argsort(-x, kind="stable")
-        for column, repeat in zip(columns[by].tolist(), np.maximum(x[by] + 0.5, 1).astype(np.int64).tolist(), strict=True):
+        for column, repeat in zip(columns[asked].tolist(), repeats[asked].tolist(), strict=True):
             lengths = [n for n in column if n]
             while repeat and all(have[n] >= lengths.count(n) for n in lengths):
                 members = []
@@ -167,12 +191,29 @@ def plan(rest: np.ndarray, window: int) -> tuple[list[list[int]], np.ndarray]:
                     first[n] += 1
                     have[n] -= 1
                 groups.append(members)
+                placed += len(members)
                 repeat -= 1
         left = np.array(have)
     remain = [order[top[n] - left[n] : top[n]] for n in np.flatnonzero(left)[::-1]]
     return groups, np.concatenate(remain) if remain else np.zeros(0, np.int64)
 
 
+def best_fit(loose: list[int], lengths: list[int], window: int) -> list[list[int]]:
+    """The loose remainders in windows, each in the one with the least room that holds it; fullest windows first."""
+    rooms: list[tuple[int, int]] = []  # (room, window), in order
+    bins: list[list[int]] = []
+    for m in loose:
+        n = lengths[m]
+        k = bisect.bisect_left(rooms, (n, -1))
+        room, at = rooms.pop(k) if k < len(rooms) else (window, len(bins))
+        if at == len(bins):
+            bins.append([])
+        bins[at].append(m)
+        if room > n:
+            bisect.insort(rooms, (room - n, at))
+    return sorted(bins, key=lambda members: -sum(lengths[m] for m in members))
+
+
 def pack(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Rows (document, start, length, sequence, offset) of a block, sequences from 0, none over the window.
 
@@ -183,32 +224,48 @@ def pack(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
     out = [np.stack([doc, (np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full)) * window, np.full(len(doc), window), np.arange(len(doc)), np.zeros(len(doc), np.int64)], 1)]
     n = len(doc)
     groups, loose = plan(rest, window)
-    rows = []
-    for members in groups:
+    begin, size = (full * window).tolist(), rest.tolist()
+    rows: list[tuple[int, int, int, int, int]] = []
+
+    def whole(members: list[int]) -> int:
+        """Lays remainders into sequence n; the place behind them."""
         at = 0
         for m in members:
-            rows.append((m, full[m] * window, rest[m], n, at))
-            at += rest[m]
+            rows.append((m, begin[m], size[m], n, at))
+            at += size[m]
+        return at
+
+    for members in groups:
+        whole(members)
+        n += 1
+    bins = best_fit(loose.tolist(), size, window)
+    used = [sum(size[m] for m in members) for members in bins]
+    # The fullest windows stay, as many as the others can fill up.
+    stay, gaps, others = 0, 0, sum(used)
+    while stay < len(bins) and gaps + window - used[stay] <= others - used[stay]:
+        gaps += window - used[stay]
+        others -= used[stay]
+        stay += 1
+    places = []  # (sequence, offset, room), in order
+    for members in bins[:stay]:
+        at = whole(members)
+        if at < window:
+            places.append((n, at, window - at))
+        n += 1
+    tail = others - gaps
+    for room in [window] * (tail // window) + [1 << bit for bit in reversed(range(window.bit_length())) if tail % window >> bit & 1]:
+        places.append((n, 0, room))
         n += 1
-    # The loose ones in a row, cut at borders: each window, then the powers of two of what is left.
-    total = int(rest[loose].sum())
-    tail = total % window
-    borders = [*range(window, total - tail + 1, window)]
-    at = total - tail
-    for bit in reversed(range(window.bit_length())):
-        if tail >> bit & 1:
-            at += 1 << bit
-            borders.append(at)
-    begin, k = 0, 0
-    for m in loose.tolist():
-        at, end = begin, begin + int(rest[m])
-        while at < end:
-            stop = min(end, borders[k])
-            first = borders[k - 1] if k else 0
-            rows.append((m, full[m] * window + at - begin, stop - at, n + k, at - first))
-            at = stop
-            k += at == borders[k]
-        begin = end
+    k, done = 0, 0  # the place, and what is filled of it
+    for m in [m for members in bins[stay:] for m in members]:
+        start = 0
+        while start < size[m]:
+            seq, at, room = places[k]
+            length = min(size[m] - start, room - done)
+            rows.append((m, begin[m] + start, length, seq, at + done))
+            start, done = start + length, done + length
+            if done == room:
+                k, done = k + 1, 0
     out.append(np.array(rows, np.int64).reshape(-1, 5))
     return np.concatenate(out)
 

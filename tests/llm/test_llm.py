@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -298,6 +299,48 @@ def test_least_squares_fill_windows():
     assert len(groups) > 1000 and len(loose) < len(lengths) / 2  # most documents stay whole
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_most_documents_are_placed_by_the_solution():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    lengths = np.array([len(p) // 4 + 1 for p in packing.encoder(public_tokenizers.path("word_bpe_49k.json")).encode([raw(t) for t in texts])])
+    groups, _ = packing.plan(lengths % 2048, 2048)
+    assert sum(map(len, groups)) > 0.75 * len(texts)
+    pieces = packing.pack(lengths)
+    whole = np.bincount(pieces[:, 0]) == np.maximum(1, -(-lengths // 2048))
+    assert whole.mean() > 0.98 and pieces[:, 2].sum() == lengths.sum()
+
+
+def test_combinations_are_all_and_solutions_fit():
+    rng = np.random.default_rng(7)
+    have = np.bincount(rng.integers(1, 60, 80), minlength=64)
+    has = np.flatnonzero(have)
+    want = {(a, 0, 64 - a) for a in has if a <= 32 and have[64 - a]} | {(a, b, 64 - a - b) for a in has for b in has if a <= b <= 64 - a - b and have[64 - a - b]}
+    columns = packing.combinations(have, 64)
+    assert {tuple(c) for c in columns.tolist()} == want and len(columns) == len(want)
+    x = packing.solve(columns, have)
+    a = np.zeros((64, len(columns)))
+    for k in range(3):
+        np.add.at(a, (columns[:, k], np.arange(len(columns))), 1)
+    a[0] = 0
+    want = have * (a.sum(1) > 0)
+    best, step = np.zeros(len(columns)), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(20_000):  # projected gradients, to the end
+        best = np.maximum(best - step * (a.T @ (a @ best - want)), 0)
+    assert (x >= 0).all() and np.linalg.norm(a @ x - want) < np.linalg.norm(a @ best - want) + 0.05 * np.linalg.norm(want)
+    assert abs(packing.rounded(x).sum() - x.sum()) < 1 and packing.rounded(np.array([0.4, 0.4, 0.4])).tolist() == [0, 1, 0]
+
+
+def test_packing_of_odd_rows(spark):
+    """Null and repeated ids, and columns with the names used inside."""
+    names = ["start", "length", "sequence_id", "offset"]
+    table = spark.createDataFrame([(i, t, *[0] * 4) for i, t in [(None, "a b"), (1, None), (1, "c"), (1, "c"), (2, "word " * 9000)]], f"doc_id long, text string, {', '.join(x + ' int' for x in names)}")
+    rows = packing.pack_documents(table, public_tokenizers.path("word_bpe_49k.json")).collect()
+    total = collections.Counter()
+    for r in rows:
+        total[r.doc_id] += r.length
+    assert total == {None: 3, 1: 1 + 2 + 2, 2: 9001}
+
+
 def test_chunks_encode_as_the_library():
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(8)
     own, library = packing.encoder(path), Tokenizer.from_file(path)
