@@ -12,8 +12,9 @@ Everything that touches texts is DataFrame expressions. Patterns are possessive
 by look-behinds so that each runs in linear time without recursion, and texts without the
 characters that a kind needs skip its pattern.
 
-Defined results: null and empty texts have no spans; repeated rows get the same spans; without
-candidates nothing is trained and nothing but base spans is found.
+Defined results: null and empty texts have no spans; null and repeated ids do no harm, since a row
+never leaves its place, and repeated rows get the same spans; an empty table gives no rows, and
+without candidates nothing is trained and nothing but base spans is found; other columns are not read.
 """
 
 from __future__ import annotations
@@ -254,25 +255,53 @@ def digest_spans(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_written(base).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
-def _redacted(text: Column, k: int, good: set[tuple[int, int]]) -> Column:
-    """The text with the spans of one kind replaced."""
-    kind = KINDS[k]
+def _merged(xs: Column) -> Column:
+    """Spans in order of start as array<struct<k,s,e>>, overlapping ones as one of the first one's kind."""
+    slim = F.sort_array(F.transform(xs, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
+    slim = F.transform(slim, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), (-x["e"]).alias("e")))
+
+    def join(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.struct(last["k"].alias("k"), last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))
+        overlap = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["e"] > x["s"])
+        return F.when(overlap, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(wider))).otherwise(F.concat(done, F.array(x)))
+
+    def settle(ys: Column) -> Column:
+        # In order of start, spans overlap only if neighbours do.
+        clash = F.exists(F.sequence(F.lit(1), F.size(ys) - 1), lambda i: F.get(ys, i)["s"] < F.get(ys, i - 1)["e"])
+        return F.when((F.size(ys) > 1) & clash, F.aggregate(ys, F.array().cast("array<struct<k:int,s:int,e:int>>"), join)).otherwise(ys)
 
-    def swap(p: Column) -> Column:
-        def one(seg: Column, i: Column) -> Column:
-            x = F.struct(F.lit(k).alias("k"), F.get(p["m"], i).alias("m"), F.right(seg, F.lit(LEFT)).alias("l"), F.left(F.get(p["seg"], i + 1), F.lit(1)).alias("r"))
-            return F.when(i >= F.size(p["m"]), seg).otherwise(_let(x, lambda y: F.concat(seg, F.when(_valid(kind, y["m"]) & _stays(y, good), F.lit(f"<{kind.upper()}>")).otherwise(y["m"]))))
+    return _let(slim, settle)
 
-        return F.array_join(F.transform(p["seg"], one), "")
 
-    parts = F.struct(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)).alias("m"), F.split(text, PATTERNS[kind], -1).alias("seg"))
-    return F.when(text.rlike(NEEDS[kind]), _let(parts, swap)).otherwise(text)
+def _replaced(text: Column, xs: Column) -> Column:
+    """The text with each of its (merged) spans replaced by its kind.
+
+    Four bytes a character, so that a piece is found without walking through the text; one more
+    character before each, since a byte order mark in front would be taken for one.
+    """
+    code = "UTF-32"
+    wide = lambda x: F.encode(x, code)
+    labels = F.array(*[F.lit(f"<{kind.upper()}>") for kind in KINDS])
+
+    def pieces(p: Column) -> Column:
+        ys, data = p["ys"], p["data"]
+
+        def piece(start: Column, end: Column | None) -> Column:
+            part = F.substring(data, 4 * start + 1, 4 * (end - start)) if end is not None else F.substring(data, 4 * start + 1, F.octet_length(data))
+            return F.substring(F.decode(F.concat(wide(F.lit("x")), part), code), F.lit(2), F.length(data))
+
+        before = F.transform(ys, lambda y, i: F.concat(piece(F.when(i == 0, F.lit(0)).otherwise(F.get(ys, i - 1)["e"]), y["s"]), F.get(labels, y["k"])))
+        return F.concat(F.array_join(before, ""), piece(F.element_at(ys, -1)["e"], None))
+
+    return _let(F.struct(xs.alias("ys"), wide(text).alias("data")), pieces)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The table with each span of its texts replaced by its kind in angle brackets, kind after kind."""
+    """The table with the spans found in each text replaced by their kinds in angle brackets, overlapping ones as one.
+
+    A null text stays null; all columns pass through, whatever their names.
+    """
     good = accepted(train(vote_table(docs)))
-    for k, kind in enumerate(KINDS):
-        if kind in BASE or any(g[0] == k for g in good):
-            docs = docs.withColumn("text", _redacted(F.col("text"), k, good))
-    return docs
+    found = F.filter(candidates(F.col("text")), lambda x: _stays(x, good))
+    return docs.withColumn("text", _let(found, lambda xs: F.when(F.size(xs) > 0, _replaced(F.col("text"), _merged(xs))).otherwise(F.col("text"))))

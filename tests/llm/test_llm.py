@@ -144,6 +144,42 @@ def test_personal_data(spark, docs, texts, empty):
     assert pii.digest_spans(empty).count() == 0
 
 
+def test_redaction_follows_the_spans(spark):
+    """Every span found on the input goes, overlapping ones as one; marks and wide letters around them stay."""
+    rng = random.Random(17)
+    noise = ["".join(rng.choice(["a@b.c", "aB12", " ", "-", "+4930", "1.2.3.4", "é", "\U0001f600", "4111 1111 1111 1111"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    every = ["+33.6.12.34.56.78", "+4111 1111 1111 1111", "\ufeffbob@example.com\ufeff x", "a@b.c " * 3000, None, "", "nothing", *noise]
+    table = spark.createDataFrame([(i, t, i) for i, t in enumerate(every)], "doc_id long, text string, spans int")
+    found, clean = {r.doc_id: r.spans for r in pii.digest_spans(table).collect()}, {r.doc_id: r.text for r in pii.redact(table).collect()}
+    for i, t in enumerate(every):
+        ranges: list[list] = []
+        for s, e, k in sorted((int(x.split(":")[1]), -int(x.split(":")[2]), list(pii.KINDS).index(x.split(":")[0])) for x in found[i].split(",") if x):
+            if ranges and ranges[-1][1] > s:
+                ranges[-1][1] = max(ranges[-1][1], -e)
+            else:
+                ranges.append([s, -e, pii.KINDS[k].upper()])
+        want = t
+        for s, e, kind in reversed(ranges):
+            want = want[:s] + f"<{kind}>" + want[e:]
+        assert clean[i] == want, (i, t)
+    assert clean[0] == "<PHONE>" and clean[4] is None
+
+
+def test_reliabilities_by_brute_force():
+    """Expectation-maximisation ranks a labeler that is right above one that guesses, and the posterior is Bayes' rule."""
+    rng, table = random.Random(5), collections.Counter()
+    for _ in range(4000):
+        true = rng.random() < 0.5
+        vote = lambda p: 1 if (rng.random() < p) == true else -1
+        table[4, (vote(0.95), vote(0.9), vote(0.85), vote(0.6), 0), 0] += 1
+    rows = [(k, v, f, n) for (k, v, f), n in table.items()]
+    right, post = pii.reliabilities(rows)
+    assert all(abs(r - want) < 0.05 for r, want in zip(right, (0.95, 0.9, 0.85, 0.6), strict=False))
+    for (k, v), p in post.items():
+        odds = math.prod((r / (1 - r)) ** x for r, x in zip(right, v, strict=True))
+        assert p == pytest.approx(odds / (1 + odds), abs=0.03)
+
+
 def test_quality(docs, texts, empty):
     for r in quality.digest_quality(docs).collect():
         t, w = texts[r.doc_id] or "", words(texts[r.doc_id])
