@@ -2,18 +2,24 @@
 
 Statistics come from array expressions over each text's words, so texts never leave their row.
 For each (language, source) group a minimum-covariance-determinant estimate is fitted to four
-transformed statistics: start from medians and median absolute deviations, then repeat
-concentration steps (keep the half with the smallest Mahalanobis distance, take its mean and
-covariance). Documents beyond the chi-square cut-off from their group's estimate are rejected;
-groups too small for an estimate of their own take that of their language, or of all rows.
+transformed statistics, from several starts: the halves nearest to the medians by the sum of
+squares, the sum and the maximum of the statistics' deviations, in units of their median deviations.
+Each start is followed by concentration steps (keep the half
+with the smallest Mahalanobis distance, take its mean and covariance), and the start that ends with the smallest
+determinant gives the group's estimate. A small group's mean and covariance are drawn towards those
+of its language, and a language's towards those of all rows, by PRIOR_ROWS rows' worth; the weight
+fades with the group's rows, and no size is treated apart. The covariance is scaled until the
+median distance is that of chi-square; documents beyond its 0.999 quantile are rejected.
 
 Everything is DataFrame expressions; all aggregates combine before they shuffle. Estimates go
 to the rows by a join on (language, source, salt), so a source with a third of all rows is
 spread over the salts.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages
-and sources are groups of their own; groups with fewer than MIN_GROUP rows that pass the base
-rules are judged by pooled estimates; ties at the concentration threshold all stay in.
+and sources are groups of their own; a group without rows that pass the base rules has none to judge;
+ties at the concentration threshold all stay in; null and repeated ids do no harm, repeated rows are
+judged alike; an empty table gives no rows; other columns than the text, language and source and those asked for are
+never read.
 """
 
 from __future__ import annotations
@@ -23,13 +29,14 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fanframe.llm.common import SPACES, WORD, materialize, text_or_empty
+from fanframe.llm.common import SPACES, WORD, discard, materialize, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Fixed value: characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-MIN_GROUP = 40
+PRIOR_ROWS = 20  # rows that the estimate of the language (or of all rows) weighs in a group's own
+STARTS = 3
 STEPS = 3
 SALTS = 16
 #: Chi-square with 4 degrees of freedom: the median, and the 0.999 quantile, beyond which a document is rejected.
@@ -95,36 +102,56 @@ def features() -> list[Column]:
 PAIRS = list(itertools.combinations_with_replacement(range(len(FEATURES)), 2))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Group means and the Cholesky factor of the covariance with floors on its diagonal, as one row per group."""
-    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
-    products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in PAIRS]
-    g = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *sums, *products)
-    g = g.select("lang", "source", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(4)], *[(F.col(f"p{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n")).alias(f"c{i}{j}") for i, j in PAIRS])
-    cols: dict[tuple[int, int], Column] = {}
+#: Of estimates; those of groups have no start.
+KEYS = ("lang", "source", "start")
+MEANS = [f"m{i}" for i in range(4)]
+COVARIANCE = [f"c{i}{j}" for i, j in PAIRS]
+FACTOR = [f"l{i}{j}" for i in range(4) for j in range(i + 1)]
+
+
+def _factored(g: DataFrame) -> DataFrame:
+    """Adds the Cholesky factor of the covariance with floors on its diagonal."""
     for j in range(4):  # a column of the factor after the other
         left = F.greatest(F.col(f"c{j}{j}"), F.lit(0.0)) + FLOORS[j] ** 2 - sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
         g = g.withColumn(f"l{j}{j}", F.sqrt(F.greatest(left, F.lit(FLOORS[j] ** 2 / 4))))
         for i in range(j + 1, 4):
-            cols = {(i, j): (F.col(f"c{j}{i}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}")}
-            g = g.withColumn(f"l{i}{j}", cols[i, j])
-    return g.select("lang", "source", *[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)])
+            g = g.withColumn(f"l{i}{j}", (F.col(f"c{j}{i}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}"))
+    return g
 
 
-def _first_estimate(rows: DataFrame) -> DataFrame:
-    """Medians, and median absolute deviations as a diagonal factor."""
-    mid = rows.groupBy("lang", "source").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m{i}") for i, f in enumerate(FEATURES)])
-    off = _with_estimate(rows, mid).groupBy("lang", "source").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m{i}")), 0.5, 1000).alias(f"d{i}") for i, f in enumerate(FEATURES)])
-    both = mid.alias("a").join(off.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source")))
-    factor = [F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[i])).alias(f"l{i}{i}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for i in range(4) for j in range(i + 1)]
-    return both.select("a.lang", "a.source", *[f"m{i}" for i in range(4)], *factor)
+def _inner_estimates(inner: DataFrame, priors: DataFrame | None) -> DataFrame:
+    """Mean, covariance and factor of each group's rows, drawn towards the prior."""
+    sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)]
+    products = [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}{j}") for i, j in PAIRS]
+    g = inner.groupBy(*KEYS).agg(F.count("*").alias("n"), *sums, *products)
+    if priors is None:
+        mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(4)}
+        square = {f"c{i}{j}": F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") for i, j in PAIRS}
+    else:
+        g, w, prior = _with_prior(g, priors), float(PRIOR_ROWS), lambda c: F.col(f"prior_{c}")
+        mean = {f"m{i}": (F.col(f"s{i}") + w * prior(f"m{i}")) / (F.col("n") + w) for i in range(4)}
+        square = {f"c{i}{j}": (F.col(f"p{i}{j}") + w * (prior(f"c{i}{j}") + prior(f"m{i}") * prior(f"m{j}"))) / (F.col("n") + w) - F.col(f"m{i}") * F.col(f"m{j}") for i, j in PAIRS}
+    return _factored(g.withColumns(mean).withColumns(square)).select(*KEYS, *MEANS, *COVARIANCE, *FACTOR)
+
+
+def _with_prior(g: DataFrame, priors: DataFrame) -> DataFrame:
+    """Groups with the columns of their prior, as prior_*: that of their language, or that of all rows."""
+    wider = [c for c in ("lang", "source") if c in priors.columns]
+    p = priors.withColumnsRenamed({c: f"prior_{c}" for c in priors.columns})
+    on = F.lit(True)
+    for c in wider:
+        on = on & F.col(c).eqNullSafe(F.col(f"prior_{c}"))
+    return g.join(p, on, "left").drop(*[f"prior_{c}" for c in wider])
 
 
 def _with_estimate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Rows with their group's estimate: the small side is repeated once for each salt of the rows."""
-    small = estimate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({"lang": "g_lang", "source": "g_source", "salt": "g_salt"})
-    on = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")) & (F.col("salt") == F.col("g_salt"))
-    return rows.join(small, on, "left").drop("g_lang", "g_source", "g_salt")
+    keys = [c for c in KEYS if c in estimate.columns]
+    small = estimate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnsRenamed({c: f"g_{c}" for c in [*keys, "salt"]})
+    on = F.col("salt") == F.col("g_salt")
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    return rows.join(small, on, "left").drop(*[f"g_{c}" for c in [*keys, "salt"]])
 
 
 def _distance() -> Column:
@@ -135,36 +162,60 @@ def _distance() -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def _fitted(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimates of all groups, and the number of their rows."""
-    sizes = rows.groupBy("lang", "source").agg(F.count("*").alias("rows"))
-    estimate = _first_estimate(rows)
-    drop = [*[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)]]
-    for k in range(STEPS):
-        near = _with_estimate(rows, estimate).withColumn("far", _distance()).drop(*drop)
-        half = near.groupBy("lang", "source").agg(F.percentile_approx("far", 0.5, 1000).alias("half"))
-        inner = _with_estimate(near, half).filter(F.col("far") <= F.col("half"))
-        estimate = materialize(_moments(inner), f"mcd {k}")
-    # The covariance of the inner half is too small: it is scaled until the median distance is that of chi-square.
-    middle = _with_estimate(rows, estimate).withColumn("far", _distance()).groupBy("lang", "source").agg(F.percentile_approx("far", 0.5, 1000).alias("half"))
-    same = lambda x: F.col("e.lang").eqNullSafe(F.col(f"{x}.lang")) & F.col("e.source").eqNullSafe(F.col(f"{x}.source"))
-    scale = F.sqrt(F.greatest(F.col("x.half") / CHI_MEDIAN, F.lit(1.0)))
-    all_of = estimate.alias("e").join(sizes.alias("n"), same("n")).join(middle.alias("x"), same("x"))
-    scaled = [(F.col(f"e.{c}") * scale if c[0] == "l" else F.col(f"e.{c}")).alias(c) for c in drop]
-    return materialize(all_of.select("e.lang", "e.source", "n.rows", *scaled), "estimates")
+def _median(column: str) -> Column:
+    return F.percentile_approx(column, 0.5, 1000)
+
 
+def _started(rows: DataFrame) -> DataFrame:
+    """Rows once for each start, with `far` from the medians and median deviations of their group."""
+    mid = materialize(rows.groupBy("lang", "source").agg(*[_median(f).alias(f"m{i}") for i, f in enumerate(FEATURES)]), "medians")
+    off = _with_estimate(rows, mid).select("lang", "source", *[F.abs(F.col(f) - F.col(f"m{i}")).alias(f"d{i}") for i, f in enumerate(FEATURES)])
+    off = off.groupBy("lang", "source").agg(*[_median(f"d{i}").alias(f"d{i}") for i in range(4)])
+    both = mid.alias("a").join(off.alias("b"), F.col("a.lang").eqNullSafe(F.col("b.lang")) & F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.lang", "a.source", *MEANS, *[f"d{i}" for i in range(4)])
+    z = [F.abs(F.col(f) - F.col(f"m{i}")) / F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOORS[i])) for i, f in enumerate(FEATURES)]
+    far = [sum((x * x for x in z[1:]), z[0] * z[0]), sum(z[1:], z[0]), F.greatest(*z)]
+    out = _with_estimate(rows, both).select(*rows.columns, F.posexplode(F.array(*far)).alias("start", "far"))
+    out = materialize(out, "started")
+    discard(mid)
+    return out
 
-def fit(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """The estimate of each of the groups (lang, source): its own from MIN_GROUP rows on, else that of its language, else of all rows."""
+
+def _fitted(rows: DataFrame, priors: DataFrame | None) -> DataFrame:
+    """A table of minimum-covariance-determinant estimates of all groups (lang, source): MEANS, COVARIANCE, FACTOR and log_scale."""
+    started = _started(rows)
+    placed, estimates, used = started, None, [started]
+    for k in range(STEPS):
+        if k:
+            placed = _with_estimate(started.drop("far"), estimates).withColumn("far", _distance()).select(*started.columns)
+        halves = placed.groupBy(*KEYS).agg(_median("far").alias("half"))
+        estimates = materialize(_inner_estimates(_with_estimate(placed, halves).filter("far <= half"), priors), f"mcd {k}")
+        used.append(estimates)
+    # The start with the smallest determinant, ties to the first.
+    size = sum((F.log(f"l{i}{i}") for i in range(1, 4)), F.log("l00"))
+    best = estimates.groupBy("lang", "source").agg(F.min(F.struct(size.alias("det"), "start")).alias("x")).select("lang", "source", "x.start").withColumnsRenamed({"lang": "b_lang", "source": "b_source", "start": "b_start"})
+    best = estimates.join(best, F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source")) & (F.col("start") == F.col("b_start"))).select("lang", "source", *MEANS, *COVARIANCE, *FACTOR)
+    best = materialize(best, "best starts")
+    # The covariance of the inner half is too small: it is scaled until the median distance is that of chi-square.
+    middle = _with_estimate(rows, best).withColumn("far", _distance()).groupBy("lang", "source").agg(_median("far").alias("half"), F.count("*").alias("rows"))
+    middle = middle.select(F.col("lang").alias("x_lang"), F.col("source").alias("x_source"), "half", "rows")
+    all_of = best.join(middle, F.col("lang").eqNullSafe(F.col("x_lang")) & F.col("source").eqNullSafe(F.col("x_source")))
+    own = F.log(F.greatest(F.col("half") / CHI_MEDIAN, F.lit(1.0)))
+    if priors is not None:
+        all_of = _with_prior(all_of, priors)
+        own = (F.col("rows") * own + PRIOR_ROWS * F.col("prior_log_scale")) / (F.col("rows") + PRIOR_ROWS)
+    out = materialize(all_of.select("lang", "source", *MEANS, *COVARIANCE, *FACTOR, own.alias("log_scale")), "estimates")
+    for table in [*used, best]:
+        discard(table)
+    return out
+
+
+def fit(rows: DataFrame) -> DataFrame:
+    """The scaled estimate of each group (lang, source) of the rows, drawn towards its language's, and that towards the one of all rows."""
     none = F.lit(None).cast("string")
-    values = [*[f"m{i}" for i in range(4)], *[f"l{i}{j}" for i in range(4) for j in range(i + 1)]]
-    own = _fitted(rows).filter(F.col("rows") >= MIN_GROUP)
-    of_lang = _fitted(rows.withColumn("source", none)).filter(F.col("rows") >= MIN_GROUP)
-    of_all = _fitted(rows.withColumn("lang", none).withColumn("source", none))
-    as_one = lambda e, name: e.select(F.col("lang").alias(f"{name}_lang"), F.col("source").alias(f"{name}_source"), F.struct(*values).alias(name))
-    g = groups.join(as_one(own, "own"), F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")), "left")
-    g = g.join(as_one(of_lang, "its"), F.col("lang").eqNullSafe(F.col("its_lang")), "left").join(as_one(of_all, "every"), F.lit(True), "left")
-    return g.select("lang", "source", F.coalesce("own", "its", "every").alias("x")).select("lang", "source", "x.*")
+    of_all = _fitted(rows.withColumn("lang", none).withColumn("source", none), None)
+    of_lang = _fitted(rows.withColumn("source", none), of_all.drop("lang", "source"))
+    own = _fitted(rows, of_lang.drop("source"))
+    return own.select("lang", "source", *MEANS, *[(F.col(c) * F.exp(F.col("log_scale") / 2)).alias(c) for c in FACTOR])
 
 
 def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -175,8 +226,8 @@ def judge(docs: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.withColumnsRenamed({"k_lang": "lang", "k_source": "source"})
     rows = rows.select("*", base_failed().alias("base_failed"), *features(), F.pmod(F.xxhash64(*[f"k_{c}" for c in inputs if c not in ("lang", "source")], "word_chars", "n_words"), F.lit(SALTS)).cast("int").alias("salt"))
     rows = materialize(rows, "quality statistics")
-    good = rows.filter(~F.col("base_failed")).select("lang", "source", "salt", *FEATURES)
-    far = _with_estimate(rows, fit(good, rows.select("lang", "source").distinct())).withColumn("far", _distance())
+    good = materialize(rows.filter(~F.col("base_failed")).select("lang", "source", "salt", *FEATURES), "good statistics")
+    far = _with_estimate(rows, fit(good)).withColumn("far", _distance())
     kept = ~F.col("base_failed") & (F.coalesce("far", F.lit(0.0)) <= CUTOFF)
     own = [F.col(f"k_{c}" if c not in ("lang", "source") else c).alias(c) for c in keep]
     return far.select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("far").alias("distance"))

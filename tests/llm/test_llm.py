@@ -206,6 +206,41 @@ def test_moderate_outliers_go(spark):
     assert all(kept == bool(i % 20) for i, kept in got.items())
 
 
+def test_estimates_by_brute_force(spark):
+    """One group with 40 % of two kinds of outliers: the verdicts are those of the best of 300 random starts."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (200, 4)) * (0.3, 0.2, 0.25, 0.3) + (1.5, 1, 1, 0.6)
+    x[:, 1] += 0.5 * x[:, 0]
+    x[:50] += (1.0, -2.0, 1.5, 0.0)
+    x[50:80] = (3.0, 3.0, 0.1, 1.4) + rng.normal(0, 0.02, (30, 4))
+    rows = spark.createDataFrame([("en", "s", i % quality.SALTS, *map(float, r)) for i, r in enumerate(x)], "lang string, source string, salt int, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    (est,) = quality.fit(rows).collect()
+    factor = np.array([[est[f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+    far = (np.linalg.solve(factor, (x - [est[f"m{i}"] for i in range(4)]).T) ** 2).sum(0)
+    best = None
+    for _ in range(300):
+        inner = x[rng.choice(200, 6, replace=False)]
+        for _ in range(20):
+            mean, cov = inner.mean(0), np.cov(inner.T, bias=True) + np.diag(np.square(quality.FLOORS))
+            d = (np.linalg.solve(np.linalg.cholesky(cov), (x - mean).T) ** 2).sum(0)
+            inner = x[np.argsort(d)[:100]]
+        if best is None or np.linalg.det(cov) < best[0]:
+            best = np.linalg.det(cov), d / max(1, np.median(d) / quality.CHI_MEDIAN)
+    assert ((far > quality.CUTOFF) == (best[1] > quality.CUTOFF)).mean() > 0.98 and (far[:80] > quality.CUTOFF).all()
+
+
+def test_quality_of_odd_rows(spark):
+    """Null ids, groups of one row, groups without a good row, a long text, and columns with the names used inside."""
+    rng = random.Random(31)
+    good = [prose(rng, 100) for _ in range(30)]
+    rows = [(None, good[0], None, None), (None, good[0], None, None), (1, None, "en", "only nulls"), (2, "word " * 50_000, "en", "long"), *((3 + i, t, "en", "s") for i, t in enumerate(good)), (50, "### " * 300 + prose(rng, 60), "en", "one row")]
+    names = ["salt", "far", "half", "t", "w", "m0", "start", "kept"]
+    table = spark.createDataFrame([(*r, *[0] * len(names)) for r in rows], f"doc_id long, text string, lang string, source string, {', '.join(x + ' int' for x in names)}")
+    got = quality.digest_quality(table).collect()
+    kept = {r.doc_id: r.kept for r in got}
+    assert len(got) == len(rows) and kept[None] and not kept[1] and not kept[2] and not kept[50] and all(kept[3 + i] for i in range(30))
+
+
 def test_outliers_of_small_groups_go(spark):
     rng = random.Random(15)
     rows = [(i, prose(rng, 120) if i % 20 else "### " * 30 + prose(rng, 60) + " $$$" * 60, "en", f"s{i % 13}", 0) for i in range(200)]
