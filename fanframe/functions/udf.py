@@ -28,7 +28,8 @@ def bound(f, args=(), kwargs=None):
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Enough partitions for a Python stage: files read as fewer tasks than there are cores are dealt anew.
 
-    Python over a row costs far more than moving it once. An input with partitions enough isn't touched.
+    Python over a row costs far more than moving it once. An input that is read in more partitions
+    than that isn't touched: a stated number of workers never turns a large scan into fewer tasks.
     """
     if df.isStreaming:
         return df
@@ -38,7 +39,8 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     plan = df._jdf.queryExecution().optimizedPlan()
     size = int(str(plan.stats().sizeInBytes()))
     per_task = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    if not asked and size > n * per_task:
+    unknown = size >= 1 << 60  # what Spark takes where it has no statistics
+    if size > n * per_task and not (asked and unknown):
         return df
     return df.repartition(n)
 
@@ -67,10 +69,6 @@ def frame_columns(result, names: list[str], n: int) -> list[list]:
     return [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in names]
 
 
-def to_null(x: pd.Series) -> pd.Series:
-    return x.astype(object).where(x.notna(), None)
-
-
 def common_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     """Rows as pandas gives them to a row function: integers beside floats are floats."""
     kinds = {d.kind for d in pdf.dtypes}

@@ -20,12 +20,15 @@ INLINE = 200
 def map_values(df: DataFrame, column: str, f: Callable | Mapping, returns=None, keys: Sequence[str] = (), na_action: str | None = None, name: str = "result", native: bool = False, partitions: int | None = None, progress: Progress | None = None) -> DataFrame:
     """f(value), or the dictionary's entry (null where there is none); keys and the result.
 
+    A mapping with a default of its own (__missing__) is asked for every value, as a function.
     Null and NaN values reach a function unless na_action is "ignore", which leaves them null.
     """
     if na_action not in (None, "ignore"):
         raise ValueError(f"na_action must be None or 'ignore', not {na_action!r}")
     keys, value = list(keys), F.col(f"`{column}`")
-    if isinstance(f, Mapping):
+    if isinstance(f, Mapping) and hasattr(f, "__missing__"):
+        f = f.__getitem__  # the mapping knows what to give for other values
+    elif isinstance(f, Mapping):
         return _map_dictionary(df, column, f, keys, name, returns)
     if native:
         out = f(value)

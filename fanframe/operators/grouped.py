@@ -38,7 +38,7 @@ def group_apply(df: DataFrame, keys: str | Sequence[str], f: Callable, returns=N
         made = out if isinstance(out, dict) else {name: out}
         return df.groupBy(*keys).agg(*[c.alias(n) for n, c in made.items()])
     used = list(dict.fromkeys([*keys, *order_by, *(columns if columns is not None else df.columns)]))
-    cols, count = fields(returns, f, name), counter(progress)
+    cols, count = fields(returns, f, name), counter(progress, "groups")
     carried = [c for c in order_by if c not in keys] if mode == "transform" else []
     cols = [c for c in cols if c.name not in carried and c.name not in keys]
 
@@ -47,6 +47,7 @@ def group_apply(df: DataFrame, keys: str | Sequence[str], f: Callable, returns=N
             pdf = pdf.sort_values(order_by, kind="stable")
         pdf = pdf.reset_index(drop=True)
         pdf.attrs["name"] = key if len(key) > 1 else key[0]
+        object.__setattr__(pdf, "name", pdf.attrs["name"])  # as pandas has it, whatever the columns are
         counted(count, 1)
         got = bound(lambda g: f(pdf.attrs["name"], g, *args, **kwargs) if with_key else f(g, *args, **kwargs))(pdf)
         if mode == "scalar":

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,12 +83,13 @@ def apply_rows(df: DataFrame, f: Callable, returns=None, keys: Sequence[str] = (
     return spread(df.select(*keys, *[c for c in columns if c not in keys]), partitions).mapInPandas(run, schema)
 
 
-def apply_columns(df: DataFrame, f: Callable, returns=None, columns: Sequence[str] | None = None, order_by: Sequence[str] = (), mode: str = "reduce", args: tuple = (), native: bool = False, name: str = "result", **kwargs) -> DataFrame:
+def apply_columns(df: DataFrame, f: Callable, returns=None, columns: Sequence[str] | None = None, order_by: Sequence[str] = (), mode: str = "reduce", args: tuple = (), native: bool = False, name: str = "result", progress: Progress | None = None, **kwargs) -> DataFrame:
     """f(column) for every column as a whole.
 
     mode "reduce": one row (column, result) per column. mode "same": f gives a value for each row;
     the order columns and the changed columns. A whole column meets in one task, as f needs it;
     native functions (a Column aggregate, or one over the column) aggregate before the shuffle.
+    A column without rows reduces to f of an empty column, null if that fails.
     """
     columns = list(columns if columns is not None else [c for c in df.columns if c not in order_by])
     order_by = list(order_by)
@@ -100,26 +101,47 @@ def apply_columns(df: DataFrame, f: Callable, returns=None, columns: Sequence[st
     if native and mode == "reduce":
         wide = df.agg(*[f(F.col(f"`{c}`"), *args, **kwargs).alias(c) for c in columns])
         return wide.unpivot([], columns, "column", name) if len(columns) else wide
-    if native:  # f(column, over) applies `over` to its aggregates
-        return df.select(*order_by, *[f(F.col(f"`{c}`"), lambda agg: agg.over(Window.partitionBy())).alias(c) for c in columns])
+    if native:  # f(column, over) applies `over` to its aggregates, which are taken once and come back as one row
+        aggregates: list[Column] = []
+
+        def over(agg: Column) -> Column:
+            aggregates.append(agg.alias(f"__aggregate_{len(aggregates)}"))
+            return F.col(f"__aggregate_{len(aggregates) - 1}")
+
+        made = [f(F.col(f"`{c}`"), over, *args, **kwargs).alias(c) for c in columns]
+        rows = df.join(F.broadcast(df.agg(*aggregates)), F.lit(True)) if aggregates else df
+        return rows.select(*order_by, *made)
     kind = parse(returns, f)
     keyed = df.select(*[F.col(o).alias(f"key_{k}") for k, o in enumerate(order_by)], *[F.col(f"`{c}`").cast("double").alias(f"v_{k}") for k, c in enumerate(columns)])
     ids = [f"key_{k}" for k in range(len(order_by))]
     tall = keyed.select(*ids, F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(f"v_{k}").alias("v")) for k in range(len(columns))])).alias("x")).select(*ids, "x.c", "x.v") if columns else None
     if tall is None:
         return df.sparkSession.createDataFrame([], T.StructType([T.StructField("column", T.StringType()), T.StructField(name, kind)]))
+    count = counter(progress, "columns")
     if mode == "reduce":
         labels = columns
 
         def reduce(key, pdf):
+            pdf = pdf[~pdf["mark"]].reset_index(drop=True)
             if order_by:
                 pdf = pdf.sort_values(ids, kind="stable", ignore_index=True)
-            return pd.DataFrame({"column": [labels[key[0]]], name: as_output([call(pdf["v"].rename(labels[key[0]]))], T.StructField(name, kind))})
-
+            try:
+                got = call(pdf["v"].rename(labels[key[0]]))
+            except Exception:
+                if len(pdf):
+                    raise
+                got = None
+            counted(count, 1)
+            return pd.DataFrame({"column": [labels[key[0]]], name: as_output([got], T.StructField(name, kind))})
+
+        # A row for each column that isn't one of its own, so that columns without rows are met too.
+        marks = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("c"), F.lit(None).cast("double").alias("v"), F.lit(True).alias("mark"))
+        tall = tall.withColumn("mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
         return tall.groupBy("c").applyInPandas(reduce, T.StructType([T.StructField("column", T.StringType()), T.StructField(name, kind)]))
 
     def same(key, pdf):
         pdf = pdf.sort_values(ids, kind="stable", ignore_index=True)
+        counted(count, 1)
         return pdf[ids].assign(c=columns[key[0]], r=as_output(list(call(pdf["v"].rename(columns[key[0]]))), T.StructField("r", kind)))
 
     schema = T.StructType([keyed.schema[i] for i in ids] + [T.StructField("c", T.StringType()), T.StructField("r", kind)])

@@ -57,14 +57,16 @@ class Windows:
         """f(window) at every row, as doubles: by, order_by and a result column per input column.
 
         raw: f gets an array, else a Series labelled by `index` (default: the row's position).
-        native: f(column, spec) gives a Column over the frame; min_periods holds for both.
+        native: f(column, spec) gives a Column over the frame; min_periods of 1 and more holds for both.
+        Native time windows that end at the current row are refused, since Spark's frames would
+        take in later rows of the same time.
         """
         if engine not in (None, "cython"):
             raise NotImplementedError(f"engine {engine!r}")
         names = [name] if len(self.columns) == 1 else self.columns
         df = self.df.dropna(subset=self.by) if self.by else self.df
         if native:
-            return self._native(df, f, names)
+            return self._native(df, f, names, chunk_rows)
         carried = list(dict.fromkeys([*self.by, *self.order_by]))
         rows = df.select(*carried, *[F.col(f"`{c}`").cast("double").alias(f"v_{k}") for k, c in enumerate(self.columns)], *([F.col(index).alias("label")] if index else []), *([_micros(df, self.on).alias("us")] if self.frame.timed else []))
         if self.frame.window is None:
@@ -73,7 +75,13 @@ class Windows:
             placed = self._chunks(self._positions(rows, chunk_rows), chunk_rows)
         return self._run(placed, carried, names, f, raw, args, kwargs or {}, index, counter(progress))
 
-    def _native(self, df: DataFrame, f: Callable, names: list[str]) -> DataFrame:
+    def _native(self, df: DataFrame, f: Callable, names: list[str], chunk_rows: int) -> DataFrame:
+        if self.frame.least == 0:
+            raise NotImplementedError("native windows need min_periods of 1 and more")
+        if self.frame.timed and self.frame.closed not in ("left", "neither"):
+            raise NotImplementedError("native time windows differ from pandas at tied times; use the Python form")
+        if not self.by and not self.frame.timed and self.frame.window is not None:
+            return self._native_chunks(df, f, names, chunk_rows)
         order = [_micros(df, self.on)] if self.frame.timed else [F.col(c) for c in self.order_by]
         spec = self.frame.over(self.by, order)
         out = []
@@ -87,6 +95,18 @@ class Windows:
             return df.select(*carried, *out, place.alias("pos")).filter(F.col("pos") % self.frame.step == 0).drop("pos")
         return df.select(*carried, *out)
 
+    def _native_chunks(self, df: DataFrame, f: Callable, names: list[str], chunk_rows: int) -> DataFrame:
+        """Ungrouped frames by chunks with the rows around them, so that no task holds the table."""
+        carried = list(dict.fromkeys(self.order_by))
+        rows = df.select(*carried, *[F.col(f"`{c}`").cast("double").alias(f"v_{k}") for k, c in enumerate(self.columns)])
+        placed, spec = self._chunks(self._positions(rows, chunk_rows), chunk_rows), self.frame.over(["chunk"], [F.col("pos")])
+        out = []
+        for k, n in enumerate(names):
+            clean = F.when(~F.isnan(f"v_{k}"), F.col(f"v_{k}"))
+            out.append(F.when(F.count(clean).over(spec) >= self.frame.least, f(clean, spec)).cast("double").alias(n))
+        wanted = F.col("own") & (F.col("pos") % self.frame.step == 0) if self.frame.step else F.col("own")
+        return placed.select(*carried, *out, wanted.alias("__wanted")).filter("__wanted").drop("__wanted")
+
     def _positions(self, rows: DataFrame, chunk_rows: int) -> DataFrame:
         """Adds pos: the row's place from 0 within its group, or within the table."""
         if self.by:
@@ -144,7 +164,7 @@ class Windows:
                     w = s.expanding(min_periods=frame.least) if frame.window is None else s.rolling(frame.window, min_periods=frame.min_periods, center=frame.center, closed=frame.closed)
                     got = w.apply(f, raw=raw, args=args, kwargs=kwargs)
                 made[n] = as_output(got.to_numpy(), T.StructField(n, T.DoubleType())).to_numpy()
-            counted(count, 1)
+            counted(count, int(own.sum()))
             out = pd.DataFrame({**{c: pdf[c].to_numpy() for c in carried}, **made})
             return out[own & (pos % frame.step == 0) if frame.step else own]
 

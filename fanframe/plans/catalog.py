@@ -65,6 +65,13 @@ def row_apply_scalar_native(spark, d):
     return rounded(df)
 
 
+@query(SINES)
+def row_apply_row_form(spark, d):
+    """The function takes the row itself, as users of pandas write it."""
+    df = apply_rows(read_table(spark, d, "lineitem"), lambda r: math.sin(r["l_quantity"] ** 2) + math.sin(r["l_discount"] ** 2), "double", keys=LINE, columns=["l_quantity", "l_discount"])
+    return rounded(df)
+
+
 @query("SELECT o_orderkey, round(o_totalprice * 2 + 10, 6) AS result FROM orders")
 def row_apply_args(spark, d):
     df = apply_rows(read_table(spark, d, "orders"), lambda r, scale, bias: r["o_totalprice"] * scale + bias, "double", keys=["o_orderkey"], columns=["o_totalprice"], args=(2,), bias=10)
@@ -100,7 +107,16 @@ def col_apply_reduce_native(spark, d):
     return rounded(apply_columns(read_table(spark, d, "lineitem"), lambda c: F.max(c) - F.min(c), columns=NUMBERS, native=True), places=6)
 
 
-@query("SELECT p_partkey, round(p_size - min(p_size) OVER (), 6)::DOUBLE AS p_size, round(p_retailprice - min(p_retailprice) OVER (), 6) AS p_retailprice FROM part")
+FROM_LEAST = "SELECT p_partkey, round(p_size - min(p_size) OVER (), 6)::DOUBLE AS p_size, round(p_retailprice - min(p_retailprice) OVER (), 6) AS p_retailprice FROM part"
+
+
+@query(FROM_LEAST)
+def col_apply_same_shape_native(spark, d):
+    df = apply_columns(read_table(spark, d, "part"), lambda c, over: c.cast("double") - over(F.min(c)), columns=["p_size", "p_retailprice"], order_by=["p_partkey"], mode="same", native=True)
+    return rounded_to(df, 6, "p_size", "p_retailprice")
+
+
+@query(FROM_LEAST)
 def col_apply_same_shape(spark, d):
     df = apply_columns(read_table(spark, d, "part"), lambda x: x - x.min(), "double", columns=["p_size", "p_retailprice"], order_by=["p_partkey"], mode="same")
     return rounded_to(df, 6, "p_size", "p_retailprice")
@@ -253,6 +269,11 @@ def rolling_apply(spark, d):
     return rounded(rolling(small_orders(spark, d), "x", 4, ["o_orderkey"]).apply(lambda x: polynomial(x.to_numpy())), places=6)
 
 
+@query(f"SELECT o_orderkey, {lags('x', 'ORDER BY o_orderkey')} AS result FROM {SMALL}")
+def rolling_apply_native(spark, d):
+    return rounded(rolling(small_orders(spark, d), "x", 4, ["o_orderkey"]).apply(native_lags, native=True), places=6)
+
+
 def orders_frame(m: int, frame: str) -> str:
     return f"SELECT o_orderkey, {SPREAD.format(m=m)} AS result FROM {SMALL} WINDOW w AS (ORDER BY o_orderkey ROWS BETWEEN {frame})"
 
@@ -325,6 +346,11 @@ def group_expanding_min_periods(spark, d):
     return rounded(expanding(small_events(spark, d), "x", EVENT, by="user_id", min_periods=4).apply(spread_of, raw=True))
 
 
+@query(f"SELECT user_id, ts, event_id, {SPREAD.format(m=4)} AS result FROM {EVENTS} WINDOW w AS ({USER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+def group_expanding_native(spark, d):
+    return rounded(expanding(small_events(spark, d), "x", EVENT, by="user_id", min_periods=4).apply(lambda c, w: F.max(c).over(w) - F.min(c).over(w), native=True))
+
+
 @query("SELECT o_orderkey, o_totalprice AS result FROM orders WHERE false")
 def empty_input(spark, d):
     return apply_values(read_table(spark, d, "orders").filter("false"), "o_totalprice", lambda x: x, "double", keys=["o_orderkey"])

@@ -1,10 +1,13 @@
 """Differential tests against pandas, on seeded data."""
 
+import collections
 import math
+import time
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fanframe import errors, session
 from fanframe.functions.frames import Frame
@@ -63,6 +66,57 @@ def test_cells_and_values(df, pdf):
     same(apply_values(df, "a", lambda x, p, bias: x**p + bias, "double", keys=["id"], args=(2,), bias=3), pdf["a"] ** 2 + 3)
 
 
+def test_mappings_with_a_default(df, pdf):
+    table = collections.defaultdict(lambda: -1.0, {1: 10.0})
+    same(map_values(df, "a", table, "double", keys=["id"]), pdf["a"].map(table))
+
+
+def test_columns_without_rows(spark, df):
+    none = df.filter("false")
+    for f, native in ((lambda x: x.max() - x.min(), False), (lambda c: F.max(c) - F.min(c), True)):
+        got = apply_columns(none, f, "double", columns=["a", "b"], native=native).toPandas()
+        assert sorted(got["column"]) == ["a", "b"] and got["result"].isna().all()
+    assert apply(spark.createDataFrame([], "a long").select(), max, axis=0, returns="double").count() == 0
+
+
+def test_native_columns_and_windows_keep_to_many_tasks(df, pdf):
+    moved = apply_columns(df, lambda c, over: c - over(F.avg(c)), columns=["a"], order_by=["id"], mode="same", native=True)
+    same(moved, pdf["a"] - pdf["a"].mean(), column="a")
+    for how in FRAMES[::3]:
+        if how["min_periods"] != 0:
+            got = rolling(df, "b", order_by=["id"], **how).apply(lambda c, w: F.sum(c).over(w), native=True, chunk_rows=40)
+            same(got, pdf["b"].rolling(**how).sum())
+            assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_native_windows_that_would_differ_are_refused(spark, df):
+    timed = spark.createDataFrame(pd.DataFrame({"ts": pd.to_datetime(["2024-01-01"]), "v": [1.0]}))
+    with pytest.raises(NotImplementedError):
+        rolling(timed, "v", "6h", ["ts"]).apply(lambda c, w: F.sum(c).over(w), native=True)
+    with pytest.raises(NotImplementedError):
+        rolling(df, "b", 3, ["id"], min_periods=0).apply(lambda c, w: F.sum(c).over(w), native=True)
+
+
+def test_groups_know_their_name(df):
+    got = group_apply(df, "g", lambda x: x.name, "long", columns=["a"]).toPandas()
+    assert (got["g"] == got["result"]).all()
+    both = group_apply(df, ["g", "h"], lambda x: x.name[0] * 10 + x.name[1], "long", columns=["a"]).toPandas()
+    assert (both["g"] * 10 + both["h"] == both["result"]).all()
+
+
+def test_bars_for_all_stages(spark, df, capsys):
+    session.initialize(spark, progress_bar=True)
+    try:
+        apply_values(df, "a", float, "double").collect()
+        group_apply(df, "g", len, "long").collect()
+        map_values(df, "a", {1: 2.0}, "double").collect()
+        time.sleep(1)
+    finally:
+        session.initialize(spark)
+    said = capsys.readouterr().err
+    assert "300 rows done" in said and "4 groups done" in said
+
+
 def test_groups(df, pdf):
     for keys in ("g", ["g"], ["g", "h"]):
         got = group_apply(df, keys, lambda x: x["a"].sum(), "double", columns=["a"]).toPandas().sort_values(keys if isinstance(keys, list) else [keys])
