@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/fanframe"
 

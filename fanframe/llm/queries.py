@@ -60,5 +60,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: The raw turn if it has no control string, else each control string after a backslash.
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{adverse}' UNION ALL SELECT -7, 1, 'assistant', '{adverse}'
+), rendered AS (
+  SELECT *, '### ' || regexp_replace(role, '(\\|### |: |</turn>)', '\\\1', 'g') || ': ' || regexp_replace(text, '(\\|### |</turn>)', '\\\1', 'g') || '</turn>' || chr(10) AS r FROM turns
+)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, r)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, r) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(r))::BIGINT AS formatted_chars
+FROM rendered GROUP BY conv_id
+""".replace("{adverse}", ADVERSE)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_chat_round_trip": " ".join(CHAT_SQL.split("\n"))}

@@ -32,7 +32,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -277,6 +276,14 @@ def _pieces(text: bytes, shared: np.ndarray, buckets: int) -> Iterator[tuple[int
     return zip(value[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True)
 
 
+def _sharded(keys, shards: int) -> dict[int, list[tuple[int, bytes]]]:
+    """(minimum, piece) by shard, in order."""
+    out: dict[int, list[tuple[int, bytes]]] = {}
+    for key in sorted(keys):
+        out.setdefault((key[0] >> 32) * shards >> 32, []).append(key)
+    return out
+
+
 def _send_pieces(shards: int, buckets: int):
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("minimum", pa.binary()), ("rest", pa.binary())])
 
@@ -291,9 +298,7 @@ def _send_pieces(shards: int, buckets: int):
                 known = least.get(key)
                 if known is None or doc < known:
                     least[key] = doc
-        by_shard: dict[int, list[tuple[int, bytes]]] = {}
-        for key in least:
-            by_shard.setdefault((key[0] >> 32) * shards >> 32, []).append(key)
+        by_shard = _sharded(least, shards)
         block, pack = docs.column("block")[0].as_py(), zstandard.ZstdCompressor(level=1).compress
         rows = [(s, block, np.array([k[0] for k in ks], "<u8").tobytes(), pack(np.array([least[k] for k in ks], "<i8").tobytes() + np.array([len(k[1]) for k in ks], "<i4").tobytes() + b"".join([k[1] for k in ks]))) for s, ks in by_shard.items()]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
@@ -302,7 +307,7 @@ def _send_pieces(shards: int, buckets: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each block's pieces the smallest doc_id: one number if it holds for all strings of the piece, else one for each."""
+    """For each block's pieces, in the order sent, the smallest doc_id: one number if it holds for all strings of the piece, else one for each."""
     least: dict[tuple[int, bytes], int] = {}
     sent, unpack = [], zstandard.ZstdDecompressor().decompress
     for minimum, rest in zip(*(table.column(c).to_pylist() for c in ("minimum", "rest")), strict=True):
@@ -330,23 +335,22 @@ def _answer(table: pa.Table) -> pa.Table:
         start = np.cumsum(lengths + 1) - lengths - 1
         for k, a, n in zip(unlike, start.tolist(), lengths.tolist(), strict=True):
             single[k] = found[a : a + n - LENGTH + 1]
-    out = []
+    out, shard = [], table.column("shard")[0].as_py()
     for block, keys in zip(table.column("block").to_pylist(), sent, strict=True):
         values = []
         for k in keys:
             own = single.get(k)
             values.append(np.array([least[k]], np.int64) if own is None or (own == own[0]).all() and own[0] == least[k] else own)
-        ident = np.array([xxhash.xxh3_64_intdigest(k[1]) for k in keys], "<u8").tobytes()
-        out.append((block, np.array([k[0] for k in keys], "<u8").tobytes(), ident, np.array([len(v) for v in values], "<i4").tobytes(), np.concatenate(values).astype("<i8").tobytes()))
-    schema = pa.schema([("block", pa.int32()), ("minimum", pa.binary()), ("ident", pa.binary()), ("n", pa.binary()), ("least", pa.binary())])
+        out.append((block, shard, np.array([k[0] for k in keys], "<u8").tobytes(), np.array([len(v) for v in values], "<i4").tobytes(), np.concatenate(values).astype("<i8").tobytes()))
+    schema = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("minimum", pa.binary()), ("n", pa.binary()), ("least", pa.binary())])
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def covered(text: bytes, doc: int, shared: np.ndarray, buckets: int, answers: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def covered(text: bytes, doc: int, shared: np.ndarray, buckets: int, answers: dict[tuple[int, bytes], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes that strings found in earlier documents cover."""
     first, last = [], []
     for value, a, b in _pieces(text, shared, buckets):
-        least = answers[value, xxhash.xxh3_64_intdigest(text[a : b + LENGTH])]
+        least = answers[value, text[a : b + LENGTH]]
         if len(least) > 1:
             at = (np.flatnonzero(least < doc) + a).tolist()
             first += at
@@ -361,18 +365,18 @@ def covered(text: bytes, doc: int, shared: np.ndarray, buckets: int, answers: di
     return starts, ends
 
 
-def _remove(columns: pa.Schema, make, buckets: int):
+def _remove(columns: pa.Schema, make, buckets: int, shards: int):
     """Cut each document of a block and give make(doc_id, text, kept parts, spans)."""
 
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
-        answers: dict[tuple[int, int], np.ndarray] = {}
-        shared = []
-        for minimum, ident, n, least in zip(*(lists.column(c).to_pylist() for c in ("minimum", "ident", "n", "least")), strict=True):
-            m, i, values = np.frombuffer(minimum, "<u8"), np.frombuffer(ident, "<u8"), np.frombuffer(least, "<i8")
-            shared.append(m)
+        minimums = [np.frombuffer(x, "<u8") for x in lists.column("minimum").to_pylist()]
+        known = np.unique(codes(np.concatenate(minimums), buckets)) if minimums else np.zeros(0, np.uint64)
+        # The same pieces as were sent, in the same order, so that answers need no key.
+        sent = _sharded({(value, text[a : b + LENGTH]) for _, text in _rows(docs) for value, a, b in _pieces(text, known, buckets)} if minimums else (), shards)
+        answers: dict[tuple[int, bytes], np.ndarray] = {}
+        for shard, n, least in zip(*(lists.column(c).to_pylist() for c in ("shard", "n", "least")), strict=True):
             ends = np.cumsum(np.frombuffer(n, "<i4"))
-            answers.update(zip(zip(m.tolist(), i.tolist(), strict=True), np.split(values, ends[:-1]), strict=True))
-        known = np.unique(codes(np.concatenate(shared), buckets)) if shared else np.zeros(0, np.uint64)
+            answers.update(zip(sent[shard], np.split(np.frombuffer(least, "<i8"), ends[:-1]), strict=True))
         rows = []
         for doc, text in _rows(docs):
             a, b = covered(text, doc, known, buckets, answers)
@@ -389,11 +393,11 @@ def _digests(doc, text: bytes, kept: bytes, spans: int) -> tuple:
     return doc, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()
 
 
-def _replace(columns: list[str], buckets: int):
+def _replace(columns: list[str], buckets: int, shards: int):
     """Give the block's rows with what is left of their texts."""
 
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
-        texts = iter(_remove(KEPT, lambda doc, text, kept, spans: (kept.decode("utf-8", "ignore"),), buckets)(docs, lists).column("text").to_pylist())
+        texts = iter(_remove(KEPT, lambda doc, text, kept, spans: (kept.decode("utf-8", "ignore"),), buckets, shards)(docs, lists).column("text").to_pylist())
         out = docs.select(columns)
         at = columns.index("text")
         had = out.column(at).is_valid().to_pylist()
@@ -413,15 +417,15 @@ def _run(docs: DataFrame, ddl, finish) -> DataFrame:
     lists = grouped.applyInArrow(_list_minima(2 * n), "bucket int, block int, found binary")
     shared = lists.groupBy("bucket").applyInArrow(_find_shared, "block int, bucket int, shared binary")
     sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(4 * n, 2 * n), "shard int, block int, minimum binary, rest binary")
-    answers = sent.groupBy("shard").applyInArrow(_answer, "block int, minimum binary, ident binary, n binary, least binary")
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(finish(2 * n), ddl)
+    answers = sent.groupBy("shard").applyInArrow(_answer, "block int, shard int, minimum binary, n binary, least binary")
+    return grouped.cogroup(answers.groupBy("block")).applyInArrow(finish(2 * n, 4 * n), ddl)
 
 
 def digest_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     columns = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _run(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda buckets: _remove(columns, _digests, buckets))
+    return _run(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda buckets, shards: _remove(columns, _digests, buckets, shards))
 
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
@@ -429,4 +433,4 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     # Positions for names, so that columns of any name pass through.
     names = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)]
     safe = docs.toDF(*names)
-    return _run(safe, safe.schema, lambda buckets: _replace(names, buckets)).toDF(*docs.columns)
+    return _run(safe, safe.schema, lambda buckets, shards: _replace(names, buckets, shards)).toDF(*docs.columns)

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -15,7 +16,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from fanframe.llm import bpe, chat, maxent, media, minhash, packing, pii, quality, sharding, substrings
+from fanframe.llm import bpe, chat, maxent, media, minhash, packing, pii, quality, queries, sharding, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -314,6 +315,16 @@ def test_chat(spark):
     assert got[None].loss_chars == 1
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_chat_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    got = queries.op7_chat_round_trip(spark, sf)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()['op7_chat_round_trip']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for _ in range(200):
