@@ -45,7 +45,7 @@ BANDS, ROWS = 24, 4  # a pair at 0.8 shares no band in 3 of a million cases
 REGISTERS = BANDS * ROWS
 ROUNDS = 3  # of leaders
 SKETCH = 3  # 64-bit numbers that hold two bits of each register
-BLOCK = 256  # members with a shingle that one task compares with all others
+BLOCK = 2048  # members with a shingle that one task compares with all others; a member is sent to one task for each so many
 
 GOLD, MIX1, MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 WHEEL = np.uint64(0xD6E8FEB86659FD93)

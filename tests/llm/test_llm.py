@@ -76,6 +76,7 @@ def test_near_duplicates(docs, texts, empty):
 
 def test_no_link_of_a_crowded_bucket_is_lost(spark, monkeypatch):
     """All texts share one bucket and no other, so neighbours meet few of the pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)  # shingles of many members are dealt
     monkeypatch.setattr(minhash, "bands", lambda texts: [np.array([0, *(zlib.crc32(t) + (k << 32) for k in range(1, minhash.BANDS)), max(1, len(t.split()) - 4)]) for t in texts])
     rng = random.Random(12)
     texts = [prose(rng, 60) for _ in range(300)]
