@@ -1,11 +1,13 @@
 """ISO media containers: probing by box walking, and storing bytes as samples of one track.
 
 The prober walks nested boxes and decodes the sample tables (stts, stsc, stsz/stz2, stco/co64,
-stss) into codec, duration and the byte ranges of keyframes. It reads box headers and tables
+stss) and those of fragments (trex, tfhd, trun) into codec, duration and the byte ranges of keyframes. It reads box headers and tables
 only; sample payloads are never decoded.
 
 Defined results: a null or empty column value gives no tracks; a file cut short or with broken
-tables gives what could be read and the fault in `error`; nothing raises.
+tables gives what could be read and the fault in `error`; nothing raises. The duration is the
+longer of the stated one and that of all samples. An empty table gives no rows, repeated rows are
+rows of their own, and other columns are never read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ TIMESCALE = 8000
 
 
 def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()):
-    """Yield (path, start of body, end) of each box, outer boxes before inner ones."""
+    """Yield (path, start, start of body, end) of each box, outer boxes before inner ones."""
     end = len(data) if end is None else end
     stack = [(start, end, path)]
     while stack:
@@ -46,7 +48,7 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()):
             if size < head or at + size > stop:
                 raise ValueError(f"{kind!r} has size {size} at {at}")
             body = at + head
-            yield (*over, kind), body, at + size
+            yield (*over, kind), at, body, at + size
             if kind in CONTAINERS:
                 stack.append((at + size, stop, over))
                 at, stop, over = body, at + size, (*over, kind)
@@ -66,12 +68,16 @@ def _table(data: bytes, at: int, end: int, width: int, skip: int = 0) -> np.ndar
 def _sizes(data: bytes, kind: bytes, at: int, end: int) -> np.ndarray:
     flat, n = struct.unpack_from(">II", data, at + 4)
     if kind == b"stsz" and flat:
-        return np.full(n, flat, np.int64) if n <= len(data) else np.zeros(0, np.int64)
+        if n > len(data):
+            raise ValueError("stsz counts more samples than the file has bytes")
+        return np.full(n, flat, np.int64)
     if kind == b"stsz":
         if at + 12 + 4 * n > end:
             raise ValueError("stsz is cut short")
         return np.frombuffer(data, ">u4", n, at + 12).astype(np.int64)
     bits = flat & 255
+    if bits not in (4, 8, 16) or at + 12 + -(-n * bits // 8) > end:
+        raise ValueError("stz2 is cut short")
     raw = np.frombuffer(data, np.uint8, min(end - at - 12, -(-n * bits // 8)), at + 12).astype(np.int64)
     if bits == 16:
         raw = raw[::2] * 256 + raw[1::2]
@@ -83,16 +89,29 @@ def _sizes(data: bytes, kind: bytes, at: int, end: int) -> np.ndarray:
 class Track:
     def __init__(self):
         self.handler, self.codec, self.timescale, self.duration = "", "", 0, 0
+        self.number, self.defaults = 0, (0, 0, 0)  # duration, size and flags of fragments' samples
         self.tables: dict[str, np.ndarray] = {}
+        self.runs: list[np.ndarray] = []  # offset, size, duration and whether it is a sync sample, of fragments
 
     def samples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Offset and size of each sample, those of the movie before those of fragments."""
+        return tuple(np.concatenate([own, *[r[:, k] for r in self.runs]]) for k, own in enumerate(self._listed()))
+
+    def total(self) -> int:
+        """The longer of the stated duration and that of all samples."""
+        times = self.tables.get("time", np.zeros((0, 2), np.int64))
+        return max(self.duration, int((times[:, 0] * times[:, 1]).sum()) + sum(int(r[:, 2].sum()) for r in self.runs))
+
+    def _listed(self) -> tuple[np.ndarray, np.ndarray]:
         """Offset and size of each sample, from the chunk tables."""
         sizes, chunks, runs = (self.tables.get(k, np.zeros((0, w), np.int64)) for k, w in (("size", 1), ("chunk", 1), ("run", 3)))
         sizes, chunks = sizes.ravel(), chunks.ravel()
         if not len(sizes) or not len(chunks) or not len(runs):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        last = np.append(runs[1:, 0], len(chunks) + 1)
+        last = np.minimum(np.append(runs[1:, 0], len(chunks) + 1), len(chunks) + 1)
         per_chunk = np.repeat(runs[:, 1], np.maximum(last - runs[:, 0], 0))[: len(chunks)]
+        # Broken counts stop at the number of samples.
+        per_chunk = np.diff(np.minimum(np.cumsum(per_chunk), len(sizes)), prepend=0)
         first = np.cumsum(per_chunk) - per_chunk
         of = np.repeat(np.arange(len(per_chunk)), per_chunk)[: len(sizes)]
         sizes = sizes[: len(of)]
@@ -101,25 +120,95 @@ class Track:
 
     def keyframes(self) -> np.ndarray:
         """(offset, size) of each sync sample; without a table of them all samples are."""
-        offsets, sizes = self.samples()
-        both = np.stack([offsets, sizes], 1)
-        if "sync" not in self.tables:
-            return both
-        at = self.tables["sync"].ravel() - 1
-        return both[at[(at >= 0) & (at < len(both))]]
+        both = np.stack(self._listed(), 1)
+        if "sync" in self.tables:
+            at = self.tables["sync"].ravel() - 1
+            both = both[at[(at >= 0) & (at < len(both))]]
+        return np.concatenate([both, *[r[r[:, 3] > 0, :2] for r in self.runs]])
+
+
+#: Flags of tfhd and trun, and the flag of samples that need others.
+BASE, ENTRY, DURATION, SIZE, FLAGS, OF_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_OFFSET, RUN_FIRST, RUN_FIELDS, NO_SYNC = 0x1, 0x4, (0x100, 0x200, 0x400, 0x800), 0x10000
+
+
+class Fragment:
+    """Where the samples of a movie fragment's tracks lie."""
+
+    def __init__(self, tracks: list[Track], start: int):
+        self.by_number, self.start, self.next = {t.number: t for t in tracks}, start, start
+        self.track, self.base, self.defaults = None, start, (0, 0, 0)
+
+    def header(self, data: bytes, at: int, end: int) -> None:
+        """tfhd: the track, the place that offsets count from, and defaults."""
+        flags, number = struct.unpack_from(">II", data, at)
+        self.track = self.by_number.get(number)
+        if self.track is None:
+            raise ValueError(f"a fragment is of track {number}, which is not there")
+        at += 8
+        # Without a place of its own, a track goes on where the one before it ended.
+        self.base = self.start if flags & OF_MOOF else self.next
+        if flags & BASE:
+            self.base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+        at += 4 * bool(flags & ENTRY)
+        found = list(self.track.defaults)
+        for k, flag in enumerate((DURATION, SIZE, FLAGS)):
+            if flags & flag:
+                found[k], at = struct.unpack_from(">I", data, at)[0], at + 4
+        if at > end:
+            raise ValueError("tfhd is cut short")
+        self.defaults, self.next = tuple(found), self.base
+
+    def run(self, data: bytes, at: int, end: int) -> None:
+        """trun: sizes, durations and flags of samples that follow each other."""
+        if self.track is None:
+            raise ValueError("trun comes before tfhd")
+        flags, n = struct.unpack_from(">II", data, at)
+        at += 8
+        if flags & RUN_OFFSET:
+            self.next, at = self.base + struct.unpack_from(">i", data, at)[0], at + 4
+        first = None
+        if flags & RUN_FIRST:
+            first, at = struct.unpack_from(">I", data, at)[0], at + 4
+        has = [bool(flags & f) for f in RUN_FIELDS]
+        if n > len(data) or at + 4 * sum(has) * n > end:
+            raise ValueError("trun is cut short")
+        stated = iter(np.frombuffer(data, ">u4", n * sum(has), at).astype(np.int64).reshape(n, sum(has)).T)
+        duration, size, kind = (next(stated) if own else np.full(n, d, np.int64) for own, d in zip(has, self.defaults, strict=False))
+        if first is not None and n:
+            kind = np.append(first, kind[1:])
+        offset = self.next + np.cumsum(size) - size
+        self.track.runs.append(np.stack([offset, size, duration, (kind & NO_SYNC) == 0], 1).astype(np.int64))
+        self.next += int(size.sum())
 
 
 def probe(data: bytes) -> tuple[list[Track], str]:
     """The tracks of a file, and what was wrong with it."""
     tracks: list[Track] = []
+    fragment, extends = Fragment([], 0), {}
     try:
-        for path, at, end in walk(data):
+        for path, start, at, end in walk(data):
             kind = path[-1]
             if kind == b"trak":
                 tracks.append(Track())
+            elif kind == b"trex":  # may come before its track
+                number, _, *own = struct.unpack_from(">5I", data, at + 4)
+                extends[number] = tuple(own)
+            elif kind == b"moof":
+                for t in tracks:
+                    t.defaults = extends.get(t.number, t.defaults)
+                fragment = Fragment(tracks, start)
+            elif kind == b"traf":
+                fragment.track = None
+            elif kind == b"tfhd":
+                fragment.header(data, at, end)
+            elif kind == b"trun":
+                fragment.run(data, at, end)
             elif tracks and b"trak" in path:
                 t = tracks[-1]
-                if kind == b"mdhd":
+                if kind == b"tkhd":
+                    t.number = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+                elif kind == b"mdhd":
                     wide = data[at] == 1
                     t.timescale, t.duration = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
                 elif kind == b"hdlr":
@@ -207,7 +296,7 @@ def padded(raw: bytes) -> bytes:
 def feature_of(track: Track, error: str) -> str:
     keys = track.keyframes()
     ranges = ",".join(f"{a}+{n}" for a, n in keys[:2].tolist() + keys[2:][-1:].tolist())
-    return f"handler={track.handler};codec={track.codec.strip()};duration={track.duration}/{track.timescale};samples={len(track.samples()[1])};keyframes={len(keys)};key_bytes={int(keys[:, 1].sum())};ranges={ranges};ranges_crc32={zlib.crc32(keys.astype('<i8').tobytes())};error={error}"
+    return f"handler={track.handler};codec={track.codec.strip()};duration={track.total()}/{track.timescale};samples={len(track.samples()[1])};keyframes={len(keys)};key_bytes={int(keys[:, 1].sum())};ranges={ranges};ranges_crc32={zlib.crc32(keys.astype('<i8').tobytes())};error={error}"
 
 
 PROBED = "tracks array<struct<handler:string,codec:string,timescale:long,duration:long,n_samples:long,keyframes:array<struct<start:long,size:long>>>>, error string"
@@ -221,7 +310,7 @@ def probe_column(df: DataFrame, key: str, data: str) -> DataFrame:
             tracks, errors = [], []
             for x in b.column(1).to_pylist():
                 found, error = probe(x or b"")
-                tracks.append([{"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.samples()[1]), "keyframes": [{"start": s, "size": n} for s, n in t.keyframes().tolist()]} for t in found])
+                tracks.append([{"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.total(), "n_samples": len(t.samples()[1]), "keyframes": [{"start": s, "size": n} for s, n in t.keyframes().tolist()]} for t in found])
                 errors.append(error)
             yield pa.RecordBatch.from_pydict({"key": b.column(0), "tracks": tracks, "error": errors}, schema)
 

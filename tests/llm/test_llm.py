@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import struct
 import zlib
 
 import duckdb
@@ -301,6 +302,85 @@ def test_media(spark, docs, texts, empty):
     assert got["a"].tracks[0].n_samples == 160 and len(got["a"].tracks[0].keyframes) == 10 and got["b"].tracks == []
 
 
+def fragmented(base_is_moof):
+    """A movie without samples of its own and two fragments of two runs each, and the expected samples of its track."""
+    box = lambda kind, *parts: struct.pack(">I4s", sum(map(len, parts)) + 8, kind) + b"".join(parts)
+    full = lambda kind, flags, *numbers: box(kind, struct.pack(f">{len(numbers) + 1}I", flags, *numbers))
+    track = box(b"trak", full(b"tkhd", 7, 0, 0, 9, 0, 0), box(b"mdia", full(b"mdhd", 0, 0, 0, 1000, 0, 0), full(b"hdlr", 0, 0, int.from_bytes(b"vide"), 0, 0, 0)))
+    data = box(b"ftyp", b"iso6" + bytes(4)) + box(b"moov", box(b"mvex", full(b"trex", 0, 9, 1, 40, 7, 0x10000)), track)
+    want = []
+    for k in range(2):
+        sizes = [11 + k, 5, 3]
+
+        def moof(offset):
+            first = full(b"trun", 0x1 | 0x4 | 0x200, 3, offset, 0, *sizes)  # noqa: B023
+            second = full(b"trun", 0x100 | 0x400, 2, 33, 0, 34, 0x10000)  # sizes by default, right behind
+            return box(b"moof", full(b"mfhd", 0, 1), box(b"traf", full(b"tfhd", 0x20000 * base_is_moof, 9), first, second))
+
+        head = moof(len(moof(0)) + 8)
+        at = len(data) + len(head) + 8
+        for size, time, key in zip([*sizes, 7, 7], [40, 40, 40, 33, 34], [True, False, False, True, False], strict=True):
+            want.append((at, size, time, key))
+            at += size
+        data += head + box(b"mdat", bytes(sum(sizes) + 14))
+    return data, want
+
+
+@pytest.mark.parametrize("base_is_moof", [0, 1])
+def test_media_fragments(base_is_moof):
+    data, want = fragmented(base_is_moof)
+    (track,), error = media.probe(data)
+    assert error == "" and track.handler == "vide" and track.total() == sum(w[2] for w in want)
+    assert list(zip(*(x.tolist() for x in track.samples()), strict=True)) == [w[:2] for w in want]
+    assert [tuple(k) for k in track.keyframes().tolist()] == [w[:2] for w in want if w[3]]
+    for cut in range(len(data)):
+        for t in media.probe(data[:cut])[0]:
+            t.keyframes()
+    rng = random.Random(8)
+    for _ in range(2000):
+        broken = bytearray(data)
+        broken[rng.randrange(len(data))] = rng.randrange(256)
+        for t in media.probe(bytes(broken))[0]:
+            t.keyframes()
+
+
+def test_media_states_broken_counts():
+    whole = media.store(bytes(640))
+    at = whole.index(b"stsz") + 12
+    tracks, error = media.probe(whole[:at] + b"\x7f" + whole[at + 1 :])
+    assert error == "stsz counts more samples than the file has bytes" and len(tracks[0].samples()[0]) == 0
+
+
+def test_odd_rows_of_all_others(spark):
+    """Null and repeated ids, null, empty and long texts, repeated rows, and columns with the names used inside."""
+    texts = [(None, "mail a@b.cd"), (1, None), (1, ""), (1, "c d"), (1, "c d"), (None, "mail a@b.cd"), (2, "long word " * 60_000), (3, "c d")]
+    names = ["kind", "start", "end", "spans", "n", "size", "shard", "slot", "law", "ids", "media", "n_bytes", "block", "bucket", "minimum", "k", "b", "linked", "t", "h1", "id"]
+    table = spark.createDataFrame([(i, t, *[k] * len(names)) for k, (i, t) in enumerate(texts)], f"doc_id long, text string, {', '.join(x + ' int' for x in names)}")
+    ids = sorted(str(i) for i, _ in texts)
+    byte_path = public_tokenizers.path("byte_bpe_50k.json")
+    found = {
+        "pii": pii.digest_spans(table),
+        "shards": sharding.shard_documents(table),
+        "tokens": bpe.digest_documents(table, byte_path),
+        "media": media.digest_media(media.store_documents(table)),
+        "substrings": substrings.digest_substrings(table),
+    }
+    got = {k: v.collect() for k, v in found.items()}
+    for name, rows in got.items():
+        assert sorted(str(r.doc_id) for r in rows) == ids, name
+    sizes = sorted(len(raw(t)) for _, t in texts)
+    assert sorted(r.n_bytes for r in got["media"]) == sorted(r.n_bytes for r in got["substrings"]) == sizes == sorted(r.size - 1 for r in got["shards"])
+    assert [r.n_email for r in got["pii"] if r.doc_id is None] == [1, 1] and sum(r.n_email for r in got["pii"]) == 2
+    library = Tokenizer.from_file(byte_path)
+    assert sorted(r.n_tokens for r in got["tokens"]) == sorted(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in texts)
+    assert len({(r.shard, r.slot) for r in got["shards"]}) == len(texts)
+    chats = table.selectExpr("doc_id conv_id", "k turn", "'user' role", "text", *[c for c in names if c != "k"])
+    assert sum(r.n_turns for r in chat.read_back(chat.render_turns(chats)).collect()) == len(texts)
+    kept = substrings.remove_substrings(table)
+    assert kept.columns == table.columns and kept.count() == len(texts)
+    assert pii.redact(table).columns == table.columns
+
+
 def test_chat(spark):
     rng = random.Random(6)
     parts = ["\\", "### ", "</turn>\n", "</turn>", ": ", "assistant", "a", "\n", "é", "\\\\", "#", "<"]
