@@ -77,5 +77,62 @@ FROM rendered GROUP BY conv_id
 """.replace("{adverse}", ADVERSE)
 
 
+#: Exact multiset overlaps of all texts that share a shingle, then the components of the links.
+NEAR_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT row_number() OVER () AS id, text, doc_id FROM (SELECT coalesce(text, '') AS text, min(doc_id) AS doc_id FROM documents GROUP BY 1)
+), words AS (
+  SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts
+), shingles AS (
+  SELECT id, array_to_string(w[k : k + 4], ' ') AS shingle, count(*) AS n
+  FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS k FROM words) GROUP BY ALL
+), sizes AS (
+  SELECT id, sum(n) AS size FROM shingles GROUP BY id
+), pairs AS (
+  SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS common FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.id < y.id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes s ON s.id = a JOIN sizes t ON t.id = b WHERE common >= 0.8 * (s.size + t.size - common) - 1e-9
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT id, id AS other FROM texts UNION SELECT r.id, e.b FROM reached r JOIN edges e ON e.a = r.other
+), classes AS (
+  SELECT r.id, min(t.doc_id) AS class_id FROM reached r JOIN texts t ON t.id = r.other GROUP BY r.id
+)
+SELECT d.doc_id::BIGINT AS doc_id, c.class_id::BIGINT AS class_id
+FROM documents d JOIN texts t ON t.text = coalesce(d.text, '') JOIN classes c ON c.id = t.id
+"""
+
+#: Every 50-byte string of every text with the smallest doc_id that has it, then the runs of bytes that those of earlier documents cover.
+SUBSTRINGS_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(doc_id, 9223372036854775807) AS place, encode(coalesce(text, '')) AS t FROM documents
+), starts_of AS (
+  SELECT id, place, t, unnest(range(1, octet_length(t) - 48)) AS k FROM texts
+), strings AS (
+  SELECT id, place, k, t[k : k + 49] AS s FROM starts_of
+), least_of AS (
+  SELECT s, min(place) AS earliest FROM strings GROUP BY s HAVING min(place) < max(place)
+), found AS (
+  SELECT id, k FROM strings JOIN least_of USING (s) WHERE earliest < place
+), numbered AS (
+  SELECT id, k, sum(opens) OVER (PARTITION BY id ORDER BY k) AS run
+  FROM (SELECT id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY id ORDER BY k) + 50 THEN 0 ELSE 1 END AS opens FROM found)
+), runs AS (
+  SELECT id, min(k) AS a, max(k) + 50 AS z FROM numbered GROUP BY id, run
+), parts AS (
+  SELECT id, a, z, coalesce(lag(z) OVER (PARTITION BY id ORDER BY a), 1) AS open FROM runs
+), cut AS (
+  SELECT id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(CASE WHEN open < a THEN hex(t[open : a - 1]) ELSE '' END, '' ORDER BY a) AS head
+  FROM parts JOIN texts USING (id) GROUP BY id
+)
+SELECT doc_id::BIGINT AS doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || CASE WHEN coalesce(last, 1) <= octet_length(t) THEN hex(t[coalesce(last, 1) : octet_length(t)]) ELSE '' END)) AS kept_sha256
+FROM texts LEFT JOIN cut USING (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_round_trip": " ".join(CHAT_SQL.split("\n"))}
+    """DuckDB SQL of the queries that SQL can express, each on one line."""
+    sql = {"op1_bagminhash": NEAR_SQL, "op7_chat_round_trip": CHAT_SQL, "op8_suffix_array": SUBSTRINGS_SQL}
+    return {name: " ".join(q.split("\n")) for name, q in sql.items()}

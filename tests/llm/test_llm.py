@@ -397,12 +397,14 @@ def test_chat(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
-def test_chat_query_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_sql(spark, name):
     sf = "/root/testdata/sf0.001"
-    got = queries.op7_chat_round_trip(spark, sf)
+    got = queries.queries()[name](spark, sf)
     with duckdb.connect() as con:
-        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
-        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()['op7_chat_round_trip']})").fetchall()
+        for table in ("conversations", "documents"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
