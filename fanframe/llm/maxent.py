@@ -23,8 +23,9 @@ V are 0; an empty table gives no rows; other columns are never read.
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -58,22 +59,44 @@ def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(HELD_OUT[0])) == HELD_OUT[1]
 
 
-class Classes(dict):
-    """Subclass (its class times WITHIN, and its place there) and feature hash of tokens, remembered up to a bound."""
+class Classes:
+    """Subclass (its class times WITHIN, and its place there) and feature hash of distinct tokens."""
 
     def __init__(self, head: list[bytes]):
         self.head = {t: k for k, t in enumerate(head)}
-
-    def __missing__(self, t: bytes) -> int:
-        cls = self.head.get(t)
-        self[t] = both = (HEAD + xxhash.xxh32_intdigest(t.rstrip(b".,;:!?")[-2:]) % TAIL if cls is None else cls) | xxhash.xxh32_intdigest(t) << 8
-        return both
+        self.ends: dict[bytes, int] = {}  # subclasses of endings of two bytes at most
 
     def __call__(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > 500_000:
-            self.clear()
-        both = np.fromiter(map(self.__getitem__, toks), np.int64, len(toks))
-        return both & 255, both >> 8
+        ends = [t.rstrip(b".,;:!?")[-2:] for t in toks]
+        for e in set(ends).difference(self.ends):
+            self.ends[e] = HEAD + xxhash.xxh32_intdigest(e) % TAIL
+        cells = map(self.head.get, toks, map(self.ends.__getitem__, ends))
+        return np.fromiter(cells, np.int64, len(toks)), np.fromiter(map(xxhash.xxh32_intdigest, toks), np.int64, len(toks))
+
+
+class Numbers:
+    """Numbers for tokens, with each one's count, subclass and hash in arrays: one lookup a token, up to a bound of tokens."""
+
+    def __init__(self, classes: Classes, counts: dict[bytes, int] | None = None):
+        self.classes, self.counts = classes, counts or {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.of: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.table = np.zeros((3, 0), np.int64)
+
+    def __call__(self, toks: list[bytes]) -> np.ndarray:
+        """Rows of counts, subclasses and hashes."""
+        if len(self.of) > 500_000:
+            self._clear()
+        known = len(self.of)
+        at = np.fromiter(map(self.of.__getitem__, toks), np.int64, len(toks))
+        if new := list(itertools.islice(self.of, known, None)):  # in the order of their numbers
+            c = np.fromiter(map(self.counts.get, new, itertools.repeat(0)), np.int64, len(new))
+            if len(self.of) > self.table.shape[1]:  # room for as many again
+                self.table = np.concatenate([self.table[:, :known], np.zeros((3, 2 * len(self.of) - known), np.int64)], 1)
+            self.table[:, known : len(self.of)] = c, *self.classes(new)
+        return self.table[:, at]
 
 
 GOLD, WHEEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -177,12 +200,12 @@ class Model:
         return np.concatenate(out)
 
 
-def _batches_of_tokens(table, classes: Classes):
+def _batches_of_tokens(table, numbers: Numbers):
     """Hashes of the tokens of some documents at a time, where documents start, and subclasses."""
     for k in range(0, table.num_rows, 64):
         docs = [tokens(t) for t in utf8_list(table.slice(k, 64).column("text"))]
         sizes = np.array([len(d) for d in docs])
-        cells, h = classes([t for d in docs for t in d])
+        _, cells, h = numbers([*itertools.chain.from_iterable(docs)])
         yield h, np.cumsum(sizes) - sizes, cells
 
 
@@ -193,10 +216,10 @@ def _train_round(docs: DataFrame, weights: np.ndarray, head: list[bytes]) -> np.
     slices = 32
 
     def run(batches):
-        model, classes, n = None, Classes(head), 0
+        model, numbers, n = None, Numbers(Classes(head)), 0
         for b in batches:
             model = model or Model(start.value.copy())
-            for h, starts, cells in _batches_of_tokens(b, classes):
+            for h, starts, cells in _batches_of_tokens(b, numbers):
                 model.learn(h, starts, cells)
                 n += len(cells)
         if n:
@@ -254,45 +277,22 @@ def _list_tokens(common):
             for text in utf8_list(table.slice(k, 64).column("text")):
                 found.update(tokens(text))
         found.difference_update(common.value)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()] * len(found), pa.int32()), "token": pa.array(list(found), pa.binary())})
+        return pa.table({"block": np.full(len(found), table.column("block")[0].as_py(), np.int32), "token": pa.array(list(found), pa.binary())})
 
     return run
 
 
-class Numbers(dict):
-    """Numbers for a block's tokens, with each one's count, subclass and hash in arrays: one lookup a token."""
-
-    def __init__(self, counts: dict[bytes, int], classes: Classes):
-        self.counts, self.classes, self.new = counts, classes, []
-        self.table = np.zeros((3, 0), np.int64)
-
-    def __missing__(self, token: bytes) -> int:
-        self[token] = n = len(self)
-        self.new.append(token)
-        return n
-
-    def __call__(self, toks: list[bytes]) -> np.ndarray:
-        """Rows of counts, subclasses and hashes."""
-        at = np.fromiter(map(self.__getitem__, toks), np.int64, len(toks))
-        if self.new:
-            cls, h = self.classes(self.new)
-            c = np.array([self.counts.get(t, 0) for t in self.new], np.int64)
-            self.table = np.concatenate([self.table, np.stack([c, cls, h])], 1)
-            self.new = []
-        return self.table[:, at]
-
-
 def _score(weights, common, head: list[bytes], total: int, distinct: int, of_cell: np.ndarray, kinds_of_cell: np.ndarray):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         known = dict(zip(counts.column("token").to_pylist(), counts.column("n").to_pylist(), strict=True))
         known.update(common.value)
-        numbers, model, out = Numbers(known, Classes(head)), Model(weights.value), []
+        numbers, model, out = Numbers(Classes(head), known), Model(weights.value), []
         for k in range(0, docs.num_rows, 512):
             own = [tokens(t) for t in utf8_list(docs.slice(k, 512).column("text"))]
             sizes = np.array([len(d) for d in own])
-            c, cells, h = numbers([t for d in own for t in d])
+            c, cells, h = numbers([*itertools.chain.from_iterable(own)])
             at = np.cumsum(sizes) - sizes
             log = np.log10(c + 1.0)
             base = log - math.log10(total + 1 * (distinct + 1))
