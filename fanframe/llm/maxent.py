@@ -331,6 +331,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     for k, n_of, kinds_of in by_cell:
         of_cell[k], kinds[k] = n_of, kinds_of
     weights = spark.sparkContext.broadcast(train(docs.filter(~held_out()), head))
-    known = grouped.applyInArrow(_list_tokens(common), "block int, token binary").join(counts, "token")
+    known = grouped.applyInArrow(_list_tokens(common), "block int, token binary").join(counts.hint("shuffle_hash"), "token")  # a token has one count
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return grouped.cogroup(known.groupBy("block")).applyInArrow(_score(weights, common, head, total, distinct, of_cell, kinds), ddl)
