@@ -128,18 +128,25 @@ class Weights:
     def __init__(self, values: np.ndarray):
         self.values = values
 
-    def _logits(self, slots: np.ndarray, own: np.ndarray | int) -> np.ndarray:
+    def reach(self) -> float:
+        """What no logit exceeds in size."""
+        most = lambda x: max(float(x.max()), -float(x.min()))
+        return sum(most(self.values[k * SLOTS : (k + 1) * SLOTS]) for k in range(KINDS)) + most(self.values[KINDS * SLOTS :])
+
+    def _logits(self, slots: np.ndarray, own: np.ndarray | int, small: bool = False) -> np.ndarray:
         z = self.values.take(slots[0], 0)
         for k in range(1, KINDS):
             z += self.values.take(slots[k].astype(np.int64) + k * SLOTS, 0)
         z += self.values[KINDS * SLOTS + own]
+        if small:  # their powers are sure to be in range
+            return z
         top = z.max()
         z -= top if top - z.min() < 60 else z.max(1, keepdims=True)  # one shift for all rows where none vanishes
         return z
 
-    def log10(self, slots: np.ndarray, own: np.ndarray | int, target: np.ndarray) -> np.ndarray:
+    def log10(self, slots: np.ndarray, own: np.ndarray | int, target: np.ndarray, small: bool) -> np.ndarray:
         """log10 of the probability of each token's target."""
-        z = self._logits(slots, own)
+        z = self._logits(slots, own, small)
         right = z[np.arange(len(z)), target].astype(np.float64)
         return (right - np.log(np.einsum("ij->i", np.exp(z, out=z)).astype(np.float64))) / math.log(10)
 
@@ -194,9 +201,10 @@ class Model:
     def log10(self, hashes: np.ndarray, starts: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """log10 of the probability of each token's subclass."""
         outer, inner, out = feature_slots(hashes, starts), feature_slots(hashes, starts, cells), []
+        small_outer, small_inner = self.outer.reach() < 60, self.inner.reach() < 60
         for k in range(0, len(cells), BATCH):
             own, sub = np.divmod(cells[k : k + BATCH], WITHIN)
-            out.append(self.outer.log10(outer[:, k : k + BATCH], 0, own) + self.inner.log10(inner[:, k : k + BATCH], own, sub))
+            out.append(self.outer.log10(outer[:, k : k + BATCH], 0, own, small_outer) + self.inner.log10(inner[:, k : k + BATCH], own, sub, small_inner))
         return np.concatenate(out)
 
 
@@ -286,7 +294,7 @@ def _score(weights, common, head: list[bytes], total: int, distinct: int, of_cel
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        known = dict(zip(counts.column("token").to_pylist(), counts.column("n").to_pylist(), strict=True))
+        known = dict(zip(counts.column("token").to_numpy().tolist(), counts.column("n").to_numpy().tolist(), strict=True))
         known.update(common.value)
         numbers, model, out = Numbers(Classes(head), known), Model(weights.value), []
         for k in range(0, docs.num_rows, 512):
