@@ -57,6 +57,13 @@ def as_output(values, field: T.StructField) -> pd.Series:
     return out
 
 
+def as_outputs(values: list, field: T.StructField) -> pd.Series:
+    """As as_output, for the results of many groups: integers stay exact beside another group's null."""
+    if isinstance(field.dataType, (T.IntegralType, T.BooleanType)):
+        return pd.Series([None if pd.isna(v) else v.item() if isinstance(v, np.generic) else v for v in values], dtype=object)
+    return as_output(values, field)
+
+
 def frame_columns(result, names: list[str], n: int) -> list[list]:
     """The named columns of what a row function returned for n rows."""
     if isinstance(result, pd.DataFrame):

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fanframe.functions.batches import Groups, by_groups
 from fanframe.functions.schema import fields, parse
-from fanframe.functions.udf import as_output, bound, common_rows, frame_columns, spread
+from fanframe.functions.udf import as_output, as_outputs, bound, common_rows, frame_columns, spread
 from fanframe.progress import Progress, counted, counter
 
 AXES = {0: 0, "index": 0, 1: 1, "columns": 1}
@@ -83,13 +85,15 @@ def apply_rows(df: DataFrame, f: Callable, returns=None, keys: Sequence[str] = (
     return spread(df.select(*keys, *[c for c in columns if c not in keys]), partitions).mapInPandas(run, schema)
 
 
-def apply_columns(df: DataFrame, f: Callable, returns=None, columns: Sequence[str] | None = None, order_by: Sequence[str] = (), mode: str = "reduce", args: tuple = (), native: bool = False, name: str = "result", progress: Progress | None = None, **kwargs) -> DataFrame:
+def apply_columns(df: DataFrame, f: Callable, returns=None, columns: Sequence[str] | None = None, order_by: Sequence[str] = (), mode: str = "reduce", args: tuple = (), native: bool = False, name: str = "result", progress: Progress | None = None, condense: Callable | None = None, **kwargs) -> DataFrame:
     """f(column) for every column as a whole.
 
     mode "reduce": one row (column, result) per column. mode "same": f gives a value for each row;
     the order columns and the changed columns. A whole column meets in one task, as f needs it;
     native functions (a Column aggregate, or one over the column) aggregate before the shuffle.
     A column without rows reduces to f of an empty column, null if that fails.
+    condense (mode "reduce"): where f needs little of a column, condense(piece) gives the values that
+    stand for a piece of it. Pieces shrink where they are read, and f sees what stands for them all.
     """
     columns = list(columns if columns is not None else [c for c in df.columns if c not in order_by])
     order_by = list(order_by)
@@ -97,6 +101,8 @@ def apply_columns(df: DataFrame, f: Callable, returns=None, columns: Sequence[st
         raise ValueError(f"unknown mode {mode!r}")
     if mode == "same" and not order_by:
         raise ValueError("a result for each row needs order_by: unique key columns")
+    if condense is not None and (native or mode != "reduce" or order_by):
+        raise ValueError("condense is for Python functions in mode 'reduce', in any order of rows")
     call = bound(f, args, kwargs)
     if native and mode == "reduce":
         wide = df.agg(*[f(F.col(f"`{c}`"), *args, **kwargs).alias(c) for c in columns])
@@ -114,30 +120,41 @@ def apply_columns(df: DataFrame, f: Callable, returns=None, columns: Sequence[st
     kind = parse(returns, f)
     keyed = df.select(*[F.col(o).alias(f"key_{k}") for k, o in enumerate(order_by)], *[F.col(f"`{c}`").cast("double").alias(f"v_{k}") for k, c in enumerate(columns)])
     ids = [f"key_{k}" for k in range(len(order_by))]
-    tall = keyed.select(*ids, F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(f"v_{k}").alias("v")) for k in range(len(columns))])).alias("x")).select(*ids, "x.c", "x.v") if columns else None
+    if condense is not None and columns:
+
+        def condensed(batches):
+            for pdf in batches:
+                for k, c in enumerate(columns if len(pdf) else []):
+                    v = [float(x) for x in condense(pdf[f"v_{k}"].rename(c))]
+                    yield pd.DataFrame({"c": np.full(len(v), k, dtype="int32"), "v": v})
+
+        tall = spread(keyed).mapInPandas(condensed, "c int, v double")
+    else:
+        tall = keyed.select(*ids, F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(f"v_{k}").alias("v")) for k in range(len(columns))])).alias("x")).select(*ids, "x.c", "x.v") if columns else None
     if tall is None:
         return df.sparkSession.createDataFrame([], T.StructType([T.StructField("column", T.StringType()), T.StructField(name, kind)]))
     count = counter(progress, "columns")
     if mode == "reduce":
-        labels = columns
-
-        def reduce(key, pdf):
-            pdf = pdf[~pdf["mark"]].reset_index(drop=True)
-            if order_by:
-                pdf = pdf.sort_values(ids, kind="stable", ignore_index=True)
-            try:
-                got = call(pdf["v"].rename(labels[key[0]]))
-            except Exception:
-                if len(pdf):
-                    raise
-                got = None
-            counted(count, 1)
-            return pd.DataFrame({"column": [labels[key[0]]], name: as_output([got], T.StructField(name, kind))})
+        result = T.StructType([T.StructField("column", T.StringType()), T.StructField(name, kind)])
+
+        def reduce(groups: Groups) -> pd.DataFrame:
+            got = []
+            for key, pdf in groups:
+                values = pdf["v"].iloc[:-1]  # the last is the column's mark
+                values.name = columns[key[0]]
+                try:
+                    got.append(call(values))
+                except Exception:
+                    if len(values):
+                        raise
+                    got.append(None)
+            counted(count, len(groups))
+            return pd.DataFrame({"column": [columns[c] for c in groups.ids[0]], name: as_outputs(got, result[name])})
 
         # A row for each column that isn't one of its own, so that columns without rows are met too.
         marks = df.sparkSession.range(len(columns)).select(F.col("id").cast("int").alias("c"), F.lit(None).cast("double").alias("v"), F.lit(True).alias("mark"))
         tall = tall.withColumn("mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-        return tall.groupBy("c").applyInPandas(reduce, T.StructType([T.StructField("column", T.StringType()), T.StructField(name, kind)]))
+        return by_groups(tall, ["c"], ["c", "v"], reduce, result, [F.col("mark"), *[F.col(i).asc_nulls_last() for i in ids]], sorting=["mark", *ids])
 
     def same(key, pdf):
         pdf = pdf.sort_values(ids, kind="stable", ignore_index=True)

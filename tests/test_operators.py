@@ -195,3 +195,27 @@ def test_streams(spark, df, tmp_path):
     q = out.writeStream.format("memory").queryName("values").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("values").count() == 300
+
+
+def pairs(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+@pytest.fixture
+def small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_condensed_columns(df, pdf, small_batches):
+    seen = apply_columns(df, len, "long", columns=["a", "b"], condense=lambda x: (min(x), max(x))).toPandas()
+    assert (seen["result"] < len(pdf) / 2).all()  # f meets what stands for the pieces, not the column
+    got = apply_columns(df, lambda x: max(x) - min(x), "double", columns=["a"], condense=lambda x: (min(x), max(x))).toPandas()
+    assert got["result"].tolist() == [pdf["a"].max() - pdf["a"].min()]
+    none = apply_columns(df.filter("false"), max, "double", columns=["a"], condense=lambda x: (max(x),)).toPandas()
+    assert none["result"].isna().tolist() == [True]
+    ordered = apply_columns(df, lambda x: x.iloc[-1], "double", columns=["a"], order_by=["id"]).toPandas()
+    assert ordered["result"].tolist() == [pdf["a"].iloc[-1]]
+    with pytest.raises(ValueError):
+        apply_columns(df, len, "long", columns=["a"], order_by=["id"], condense=list)
