@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fanframe import errors, session
 from fanframe.functions.frames import Frame
 from fanframe.operators import apply, apply_cells, apply_columns, apply_rows, apply_values, expanding, group_apply, map_values, rolling
+from fanframe.plans import catalog
 from fanframe.progress import Progress
 
 
@@ -219,3 +220,28 @@ def test_condensed_columns(df, pdf, small_batches):
     assert ordered["result"].tolist() == [pdf["a"].iloc[-1]]
     with pytest.raises(ValueError):
         apply_columns(df, len, "long", columns=["a"], order_by=["id"], condense=list)
+
+
+#: Queries whose many groups are batched.
+BATCHED = ["group_apply_transform"]
+
+
+def test_groups_over_batches(spark, df, pdf, small_batches):
+    """Groups of one row and of many batches; a null in one group leaves the integers of another alone."""
+    moved = group_apply(df, ["g", "h"], lambda x: x["a"] - x["a"].mean(), "double", mode="transform", order_by=["id"], columns=["a"])
+    same(moved, pdf["a"] - pdf.groupby(["g", "h"])["a"].transform("mean"))
+    assert len(group_apply(df, "id", len, "long").filter("result = 1").collect()) == len(pdf)
+    big = 2**60 + 1
+    rows = spark.createDataFrame([(1, big, True), (1, big, False), (2, None, True), (2, 5, None), (None, big, True)], "k long, v long, t boolean").coalesce(1)
+    got = group_apply(rows, "k", lambda x: f"{x['v'].dtype.kind}{x['t'].dtype.kind}{len(x)}", "string", columns=["v", "t"], dropna=False)
+    assert pairs(got, "k", "result") == pairs(spark.createDataFrame([(1, "ib2"), (2, "fO2"), (None, "ib1")], "k long, result string"), "k", "result")
+    exact = group_apply(rows, "k", lambda x: None if x["v"].isna().any() else int(x["v"].iloc[0]), "long", columns=["v"])
+    assert pairs(exact, "k", "result") == [(1, big), (2, None)]
+    nested = rows.selectExpr("struct(k) AS k", "v")
+    assert sorted(r["result"] for r in group_apply(nested, "k", len, "long").collect()) == [1, 2, 2]
+
+
+@pytest.mark.parametrize("name", BATCHED)
+def test_many_groups_share_a_call(spark, name):
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
