@@ -12,10 +12,13 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pandas.api.indexers import BaseIndexer
+from pandas.core.indexers.objects import VariableWindowIndexer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fanframe.functions.batches import Groups, by_groups
 from fanframe.functions.frames import Frame
 from fanframe.functions.udf import as_output
 from fanframe.progress import Progress, counted, counter
@@ -145,29 +148,73 @@ class Windows:
         return rows.withColumn("home", here).withColumn("chunk", F.explode(reach)).withColumn("own", F.col("home") == F.col("chunk")).drop("home")
 
     def _run(self, placed: DataFrame, carried, names, f, raw, args, kwargs, index, count) -> DataFrame:
-        frame, order_by, values = self.frame, self.order_by, [f"v_{k}" for k in range(len(names))]
+        frame, values = self.frame, [f"v_{k}" for k in range(len(names))]
         by = self.by
 
-        def run(pdf):
-            pdf = pdf.sort_values(order_by, kind="stable", na_position="first")
-            pos = pdf["pos"].to_numpy()
-            own = pdf["own"].to_numpy()
-            labels = pdf["label"].to_numpy() if index else (pos if frame.window is not None else np.arange(len(pdf)))
+        def work(groups: Groups) -> pd.DataFrame:
+            rows, n = groups.rows, len(groups.rows)
+            sizes = np.diff(groups.starts)
+            low, high = np.repeat(groups.starts[:-1], sizes), np.repeat(groups.starts[1:], sizes)
+            pos, own = rows["pos"].to_numpy(), rows["own"].to_numpy()
+            labels = groups.column("label").to_numpy() if index else (pos if frame.window is not None else np.arange(n) - low)
+            if frame.timed:
+                us = rows["us"].to_numpy()
+                begin, end = _timed_bounds(frame, us, groups.starts)
+                labels = pd.to_datetime(us, unit="us")  # as pandas needs them
+            else:
+                begin, end = _bounds(frame, np.arange(n), low, high)
+            if frame.least > 0:  # f is not asked for rows that other chunks own
+                begin, end = _own(begin, end, own, groups.starts)
             made = {}
-            for v, n in zip(values, names, strict=True):
-                if frame.timed:
-                    # pandas needs times as the index; labels for f go by position.
-                    s = pd.Series(pdf[v].to_numpy(), index=pd.to_datetime(pdf["us"].to_numpy(), unit="us"))
-                    got = s.rolling(frame.window, min_periods=frame.min_periods, center=frame.center, closed=frame.closed).apply(f, raw=raw, args=args, kwargs=kwargs)
-                else:
-                    s = pd.Series(pdf[v].to_numpy(), index=labels)
-                    w = s.expanding(min_periods=frame.least) if frame.window is None else s.rolling(frame.window, min_periods=frame.min_periods, center=frame.center, closed=frame.closed)
-                    got = w.apply(f, raw=raw, args=args, kwargs=kwargs)
-                made[n] = as_output(got.to_numpy(), T.StructField(n, T.DoubleType())).to_numpy()
+            for v, name in zip(values, names, strict=True):
+                s = pd.Series(rows[v].to_numpy(), index=labels)
+                got = s.rolling(_Given(begin=begin, end=end), min_periods=frame.least).apply(f, raw=raw, args=args, kwargs=kwargs)
+                made[name] = as_output(got.to_numpy(), T.StructField(name, T.DoubleType())).to_numpy()
             counted(count, int(own.sum()))
-            out = pd.DataFrame({**{c: pdf[c].to_numpy() for c in carried}, **made})
+            out = pd.DataFrame({**{c: groups.column(c) for c in carried}, **made})
             return out[own & (pos % frame.step == 0) if frame.step else own]
 
         schema = T.StructType([placed.schema[c] for c in carried] + [T.StructField(n, T.DoubleType()) for n in names])
         keys = [*by, "chunk"] if frame.window is not None else by or ["chunk"]
-        return placed.groupBy(*keys).applyInPandas(run, schema)
+        order = [F.col(f"`{c}`") for c in self.order_by] if frame.window is None else [F.col("pos")]
+        return by_groups(placed, keys, placed.columns, work, schema, order)
+
+
+class _Given(BaseIndexer):
+    """Windows as given: pandas' own windows for many groups in one call."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.begin, self.end
+
+
+def _bounds(frame: Frame, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and end of each row's window; its group lies from low to high."""
+    if frame.window is None:
+        return low, at + 1
+    first, last = frame.bounds()
+    begin, end = np.clip(at + first, low, high), np.clip(at + last + 1, low, high)
+    return begin, np.maximum(begin, end)
+
+
+def _timed_bounds(frame: Frame, us: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begin, end = np.empty(len(us), dtype=np.int64), np.empty(len(us), dtype=np.int64)
+    size = pd.Timedelta(frame.window).value
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        ns = us[a:b] * 1000
+        steps = np.diff(ns)
+        if (steps < 0).any() and (steps > 0).any():
+            raise ValueError("index must be monotonic")
+        s, e = VariableWindowIndexer(index_array=ns, window_size=size).get_window_bounds(b - a, frame.least, frame.center, frame.closed)
+        begin[a:b], end[a:b] = s + a, e + a
+    return begin, end
+
+
+def _own(begin: np.ndarray, end: np.ndarray, own: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Empty windows at rows that a chunk doesn't own: at its start before its own rows, at its end behind them, so that bounds keep rising."""
+    if own.all():
+        return begin, end
+    sizes = np.diff(starts)
+    seen = np.cumsum(own)
+    before = seen == np.repeat(seen[starts[:-1]] - own[starts[:-1]], sizes)
+    edge = np.where(before, np.repeat(starts[:-1], sizes), np.repeat(starts[1:], sizes))
+    return np.where(own, begin, edge), np.where(own, end, edge)

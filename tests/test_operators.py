@@ -223,7 +223,7 @@ def test_condensed_columns(df, pdf, small_batches):
 
 
 #: Queries whose many groups are batched.
-BATCHED = ["group_apply_transform", "group_apply_topn"]
+BATCHED = ["group_apply_transform", "group_apply_topn", "group_rolling_multikey"]
 
 
 def test_groups_over_batches(spark, df, pdf, small_batches):
@@ -251,3 +251,12 @@ def test_frames_as_columns(df, pdf):
     got = group_apply(df, "g", lambda x: {"least": [x["a"].min()], "n": [len(x)]}, "least long, n long", mode="frame", columns=["a"])
     want = pdf.groupby("g")["a"].agg(["min", "size"]).reset_index()
     assert pairs(got, "g", "least", "n") == sorted(map(tuple, want.to_numpy().tolist()), key=str)
+
+
+def test_windows_over_batches(df, pdf, small_batches):
+    for how in FRAMES[::5]:
+        got = rolling(df, "b", order_by=["id"], by=["g", "h"], **how).apply(np.sum, raw=True, chunk_rows=9)
+        want = pd.concat([x["b"].rolling(**how).apply(np.sum, raw=True) for _, x in pdf.groupby(["g", "h"])]).sort_index()
+        same(got, want)
+    calls = rolling(df, "a", 4, ["id"], by="g").apply(lambda x: float(len(x.index) and x.index[-1]), chunk_rows=9)
+    same(calls, pd.concat([x["a"].reset_index(drop=True).rolling(4).apply(lambda w: float(w.index[-1])).set_axis(x.index) for _, x in pdf.groupby("g")]).sort_index())
