@@ -223,7 +223,7 @@ def test_condensed_columns(df, pdf, small_batches):
 
 
 #: Queries whose many groups are batched.
-BATCHED = ["group_apply_transform", "group_apply_topn", "group_rolling_multikey", "group_expanding_apply", "group_apply_series", "group_apply_args", "group_apply_scalar_multikey"]
+BATCHED = ["group_apply_transform", "group_apply_topn", "group_rolling_multikey", "group_expanding_apply", "group_apply_series", "group_apply_args", "group_apply_scalar_multikey", "group_rolling_time"]
 
 
 def test_groups_over_batches(spark, df, pdf, small_batches):
