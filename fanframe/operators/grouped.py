@@ -63,17 +63,20 @@ def _run(df: DataFrame, keys: list[str], f: Callable, cols: list[T.StructField],
     used = list(dict.fromkeys([*keys, *order_by, *(columns if columns is not None else df.columns)]))
     carried = [c for c in order_by if c not in keys] if mode == "transform" else []
     cols = [c for c in cols if c.name not in carried and c.name not in keys]
+    names = [c.name for c in cols]
 
     def values(key, pdf) -> list[list]:
         """Of one group, a list for each result column."""
         name, n = key if len(key) > 1 else key[0], len(pdf)
-        pdf._attrs = Attributes(name=name)
+        object.__setattr__(pdf, "_attrs", Attributes(name=name))
         object.__setattr__(pdf, "name", name)  # as pandas has it, whatever the columns are
         got = f(name, pdf) if with_key else f(pdf)
         if mode == "scalar":
             made = [[got]]
         elif mode == "series":
-            made = [[got[c.name]] for c in cols]
+            # Labels are looked up only where they differ from the columns: a look-up in a fresh index builds a table first.
+            same = isinstance(got, pd.Series) and got.index.tolist() == names
+            made = [[v] for v in (got.tolist() if same else [got[c] for c in names])]
         elif isinstance(got, pd.Series):
             made = [got.tolist()]
         else:

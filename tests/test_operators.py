@@ -247,6 +247,21 @@ def test_many_groups_share_a_call(spark, name):
     assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan
 
 
+def test_series_by_label(df, pdf):
+    """A Series with the columns' labels is taken as it is; others are found by label."""
+
+    class Unasked(pd.Series):
+        def __getitem__(self, key):
+            raise AssertionError("a label was looked up")
+
+    want = pdf.groupby("g")["a"].agg(["mean", "size"]).reset_index()
+    want = sorted(map(tuple, want.to_numpy().tolist()), key=str)
+    made = lambda x: {"m": x["a"].mean(), "n": float(len(x))}
+    for f in (lambda x: Unasked(made(x)), lambda x: pd.Series({"more": 0.0, "n": made(x)["n"], "m": made(x)["m"]}), made):
+        got = group_apply(df, "g", f, "m double, n double", mode="series", columns=["a"])
+        assert pairs(got, "g", "m", "n") == [pytest.approx(w) for w in want]
+
+
 def test_frames_as_columns(df, pdf):
     got = group_apply(df, "g", lambda x: {"least": [x["a"].min()], "n": [len(x)]}, "least long, n long", mode="frame", columns=["a"])
     want = pdf.groupby("g")["a"].agg(["min", "size"]).reset_index()
