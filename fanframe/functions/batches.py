@@ -80,12 +80,12 @@ class Groups:
         return [float("nan") if m else v for v, m in zip(values, self.nulls[c][self.starts[:-1]], strict=True)] if c in self.nulls else values
 
     def __iter__(self) -> Iterator[tuple[tuple, pd.DataFrame]]:
-        ends = self.starts.tolist()
+        ends, whole = self.starts.tolist(), self.rows._mgr
         for k, key in enumerate(zip(*self.ids, strict=True)):
             a, b = ends[k], ends[k + 1]
-            g = self.rows.iloc[a:b]
-            g.index = pd.RangeIndex(b - a)
-            g._is_copy = None  # the function may assign columns; they are its own
+            part = whole.get_slice(slice(a, b), axis=1)  # as pandas' groupby cuts its groups: iloc takes several times longer
+            part.axes[1] = pd.RangeIndex(b - a)
+            g = pd.DataFrame._from_mgr(part, part.axes)
             for c, m in self.nulls.items():
                 if m[a:b].any():
                     kind = object if g[c].dtype.kind == "b" else "float64"

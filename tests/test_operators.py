@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fanframe import errors, session
+from fanframe.functions.batches import NULL, whole_groups
 from fanframe.functions.frames import Frame
 from fanframe.operators import apply, apply_cells, apply_columns, apply_rows, apply_values, expanding, group_apply, map_values, rolling
 from fanframe.plans import catalog
@@ -262,6 +263,18 @@ def test_series_by_label(df, pdf):
         assert pairs(got, "g", "m", "n") == [pytest.approx(w) for w in want]
 
 
+def test_groups_are_cut_without_iloc(monkeypatch):
+    """iloc took more time than most functions."""
+    rows = pd.DataFrame({"k": [1, 1, 2, 3], "v": [1, 2, 3, 4], "w": list("abcd"), NULL.format("v"): [False, False, True, False]})
+    groups = next(whole_groups(iter([rows]), ["k"], ["k", "v", "w"], pieces=True))
+    monkeypatch.setattr(pd.DataFrame, "iloc", property(lambda self: pytest.fail("iloc")))
+    got = {k: g for k, g in groups}  # noqa: C416
+    assert [k for k, in got] == [1, 2, 3] and all(g.index.equals(pd.RangeIndex(len(g))) for g in got.values())
+    assert got[1,]["v"].tolist() == [1, 2] and got[2,]["v"].isna().all() and got[3,]["w"].tolist() == ["d"] and got[3,]["v"].dtype.kind == "i"
+    got[1,]["w"], got[1,].index.name = "x", "mine"  # a group's columns and index are its own
+    assert got[3,]["w"].tolist() == ["d"] and got[3,].index.name is None
+
+
 def test_frames_as_columns(df, pdf):
     got = group_apply(df, "g", lambda x: {"least": [x["a"].min()], "n": [len(x)]}, "least long, n long", mode="frame", columns=["a"])
     want = pdf.groupby("g")["a"].agg(["min", "size"]).reset_index()
