@@ -45,6 +45,11 @@ def packed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*out)
 
 
+def nulls_first(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The order of a packed table by columns of `df`: as Spark's own, though nulls of integers and booleans are filled."""
+    return [x for c in columns for x in ([F.col(f"`{NULL.format(c)}`").desc()] if _masked(df.schema[c]) else []) + [F.col(f"`{c}`")]]
+
+
 def _sorting(rows: DataFrame, keys: Sequence[str]) -> list[Column]:
     return [F.col(f"`{c}`") for k in keys for c in (k, NULL.format(k)) if c in rows.columns]
 

@@ -3,7 +3,8 @@
 A rolling function runs pandas' own rolling in chunks of consecutive rows. Each chunk also gets
 the rows around it that its windows reach (its halo), so hot groups and ungrouped tables are
 dealt over many tasks. Positions come from a row number within groups; without groups, from row
-numbers within ranges of the first order column plus the counts of the ranges before.
+numbers within ranges of the first order column plus the counts of the ranges before. Time windows
+need no positions: chunks are spans of time, and their rows are sorted only once they are dealt.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fanframe.functions.batches import Groups, by_groups
+from fanframe.functions.batches import Groups, by_groups, nulls_first
 from fanframe.functions.frames import Frame
 from fanframe.functions.udf import as_output
 from fanframe.progress import Progress, counted, counter
@@ -75,7 +76,7 @@ class Windows:
         if self.frame.window is None:
             placed = rows.withColumns({"chunk": F.lit(0).cast("long"), "own": F.lit(True), "pos": F.lit(0).cast("long")})
         else:
-            placed = self._chunks(self._positions(rows, chunk_rows), chunk_rows)
+            placed = self._chunks(rows if self.frame.timed else self._positions(rows, chunk_rows), chunk_rows)
         return self._run(placed, carried, names, f, raw, args, kwargs or {}, index, counter(progress))
 
     def _native(self, df: DataFrame, f: Callable, names: list[str], chunk_rows: int) -> DataFrame:
@@ -136,8 +137,9 @@ class Windows:
         first, last = self.frame.bounds()
         back, ahead = max(0, -first), max(0, last)
         if self.frame.timed:
-            span = (rows.agg(F.max("us") - F.min("us")).first()[0] or 0) + 1
-            most = rows.groupBy(*self.by).count().agg(F.max("count")).first()[0] or 0
+            sizes = rows.groupBy(*self.by).agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first"), F.max("us").alias("last"))
+            most, span = sizes.agg(F.max("n"), F.max("last") - F.min("first")).first()
+            most, span = most or 0, (span or 0) + 1
             total = max(1, -(-most // max(chunk_rows, 1)))  # chunks of a group
             size = max(-(-span // total), 2 * (back + ahead), 1)
             at = F.col("us")
@@ -155,13 +157,14 @@ class Windows:
             rows, n = groups.rows, len(groups.rows)
             sizes = np.diff(groups.starts)
             low, high = np.repeat(groups.starts[:-1], sizes), np.repeat(groups.starts[1:], sizes)
-            pos, own = rows["pos"].to_numpy(), rows["own"].to_numpy()
-            labels = groups.column("label").to_numpy() if index else (pos if frame.window is not None else np.arange(n) - low)
+            own = rows["own"].to_numpy()
             if frame.timed:
                 us = rows["us"].to_numpy()
                 begin, end = _timed_bounds(frame, us, groups.starts)
                 labels = pd.to_datetime(us, unit="us")  # as pandas needs them
             else:
+                pos = rows["pos"].to_numpy()
+                labels = groups.column("label").to_numpy() if index else (pos if frame.window is not None else np.arange(n) - low)
                 begin, end = _bounds(frame, np.arange(n), low, high)
             if frame.least > 0:  # f is not asked for rows that other chunks own
                 begin, end = _own(begin, end, own, groups.starts)
@@ -176,7 +179,10 @@ class Windows:
 
         schema = T.StructType([placed.schema[c] for c in carried] + [T.StructField(n, T.DoubleType()) for n in names])
         keys = [*by, "chunk"] if frame.window is not None else by or ["chunk"]
-        order = [F.col(f"`{c}`") for c in self.order_by] if frame.window is None else [F.col("pos")]
+        if frame.timed:
+            order = nulls_first(placed, [*self.order_by, "us"])
+        else:
+            order = [F.col(f"`{c}`") for c in self.order_by] if frame.window is None else [F.col("pos")]
         return by_groups(placed, keys, placed.columns, work, schema, order)
 
 

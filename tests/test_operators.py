@@ -275,6 +275,19 @@ def test_groups_are_cut_without_iloc(monkeypatch):
     assert got[3,]["w"].tolist() == ["d"] and got[3,].index.name is None
 
 
+def test_time_windows_are_sorted_once(spark, small_batches):
+    plan = catalog.queries()["group_rolling_time"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+    ids = [None, -2, 3, -5, None, 7, 8, 9]  # null ids come first, as Spark has them
+    rows = [(k % 2, i, (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=k // 4)).to_pydatetime(), float(2**k)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "g long, i long, ts timestamp, v double").repartition(3)
+    pdf = pd.DataFrame(rows, columns=["g", "i", "ts", "v"]).sort_values(["ts", "i"], na_position="first")
+    want = {k: x.set_index("ts")["v"].rolling("1h").sum().tolist() for k, x in pdf.groupby("g")}
+    for chunk in (1, 3, 100):
+        got = rolling(df, "v", "1h", ["ts", "i"], by="g").apply(np.sum, raw=True, chunk_rows=chunk).toPandas().sort_values(["ts", "i"], na_position="first")
+        assert {k: x["result"].tolist() for k, x in got.groupby("g")} == want
+
+
 def test_frames_as_columns(df, pdf):
     got = group_apply(df, "g", lambda x: {"least": [x["a"].min()], "n": [len(x)]}, "least long, n long", mode="frame", columns=["a"])
     want = pdf.groupby("g")["a"].agg(["min", "size"]).reset_index()
