@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +67,32 @@ def str_list(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def word_numbers(texts: pa.Array | pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of some texts, all words in a row by their numbers among those, and each text's number of words.
+
+    Words are cut by Arrow, which needs no Python object a word. Each text has an empty word for its end.
+    """
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    texts = pc.ascii_trim_whitespace(texts.fill_null(""))
+    none, gap = pa.scalar("", texts.type), pa.scalar(" ", texts.type)
+    texts = pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(texts, gap, none))
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.values.dictionary_encode()
+    kind = pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()
+    return coded.dictionary.cast(kind).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+
+
+def slices(batch: pa.RecordBatch | pa.Table, name: str | int, rows: int, text_bytes: int = 1 << 22) -> Iterator:
+    """The batch in slices of a multiple of `rows`, each ending with the first that brings its texts to text_bytes."""
+    sizes = pc.binary_length(batch.column(name)).fill_null(0).to_numpy()
+    start = held = 0
+    for k in range(0, batch.num_rows, rows):
+        held += int(sizes[k : k + rows].sum(dtype=np.int64))
+        if held >= text_bytes or k + rows >= batch.num_rows:
+            yield batch.slice(start, k + rows - start)
+            start, held = k + rows, 0
+
+
 def block_count(docs: DataFrame, block_bytes: int) -> int:
     """How many hash blocks of about block_bytes of text the table makes (one scan of the texts' lengths)."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -25,15 +25,16 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fanframe.llm.common import block_count, materialize, utf8_list
+from fanframe.llm.common import block_count, materialize, slices, word_numbers
 
 HELD_OUT = (7, 2)  # crc32 of the id as text, modulo, remainder
 END = b"\n"  # no word has it
@@ -51,8 +52,11 @@ COMMON_BYTES = 64
 BLOCK_BYTES = 1 << 22
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+def tokens(texts: pa.Array | pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens of some texts, all tokens in a row by their numbers among those, and each text's number of tokens."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    words, at, sizes = word_numbers(pc.ascii_lower(texts))
+    return [w or END for w in words], at, sizes
 
 
 def held_out() -> Column:
@@ -75,7 +79,7 @@ class Classes:
 
 
 class Numbers:
-    """Numbers for tokens, with each one's count, subclass and hash in arrays: one lookup a token, up to a bound of tokens."""
+    """Numbers for tokens, with each one's count, subclass and hash in arrays: one lookup a distinct token, up to a bound of tokens."""
 
     def __init__(self, classes: Classes, counts: dict[bytes, int] | None = None):
         self.classes, self.counts = classes, counts or {}
@@ -85,8 +89,8 @@ class Numbers:
         self.of: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
         self.table = np.zeros((3, 0), np.int64)
 
-    def __call__(self, toks: list[bytes]) -> np.ndarray:
-        """Rows of counts, subclasses and hashes."""
+    def __call__(self, toks: list[bytes], which: np.ndarray) -> np.ndarray:
+        """Rows of counts, subclasses and hashes of the tokens with these places in the list."""
         if len(self.of) > 500_000:
             self._clear()
         known = len(self.of)
@@ -96,7 +100,7 @@ class Numbers:
             if len(self.of) > self.table.shape[1]:  # room for as many again
                 self.table = np.concatenate([self.table[:, :known], np.zeros((3, 2 * len(self.of) - known), np.int64)], 1)
             self.table[:, known : len(self.of)] = c, *self.classes(new)
-        return self.table[:, at]
+        return self.table.take(at.take(which), 1)
 
 
 GOLD, WHEEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -122,6 +126,12 @@ def feature_slots(hashes: np.ndarray, starts: np.ndarray, cells: np.ndarray | No
     return np.stack([(x * GOLD >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.uint16) for x in kinds])
 
 
+def _put_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """into[at] = rows, each row moved as one item."""
+    item = np.dtype((np.void, into.itemsize * into.shape[1]))
+    into.view(item)[at, 0] = rows.view(item)[:, 0]
+
+
 class Weights:
     """The weights of one softmax: a row for each slot of each kind, then the constants."""
 
@@ -172,13 +182,15 @@ class Weights:
         if len(rest):  # most slots have one token, and need no sum
             of = np.cumsum(new).take(rest) - 1
             start = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            total[of.take(start)] += np.add.reduceat(g.take(order.take(rest), 0), start, 0)
+            of = of.take(start)
+            _put_rows(total, of, total.take(of, 0) + np.add.reduceat(g.take(order.take(rest), 0), start, 0))
         self._change(total, at.take(first).astype(np.int64) + offset, squares)
 
     def _change(self, total: np.ndarray, row: np.ndarray, squares: np.ndarray) -> None:
         square = squares.take(row) + np.einsum("ij,ij->i", total, total) / total.shape[1]
         squares[row] = square
-        self.values[row] = self.values.take(row, 0) - (RATE / np.sqrt(square + 1))[:, None] * total
+        total *= (RATE / np.sqrt(square + 1))[:, None]
+        _put_rows(self.values, row, self.values.take(row, 0) - total)
 
 
 class Model:
@@ -210,11 +222,14 @@ class Model:
 
 def _batches_of_tokens(table, numbers: Numbers):
     """Hashes of the tokens of some documents at a time, where documents start, and subclasses."""
-    for k in range(0, table.num_rows, 64):
-        docs = [tokens(t) for t in utf8_list(table.slice(k, 64).column("text"))]
-        sizes = np.array([len(d) for d in docs])
-        _, cells, h = numbers([*itertools.chain.from_iterable(docs)])
-        yield h, np.cumsum(sizes) - sizes, cells
+    for part in slices(table, "text", 64):
+        toks, which, sizes = tokens(part.column("text"))
+        _, cells, h = numbers(toks, which)
+        ends = np.cumsum(sizes)
+        for k in range(0, part.num_rows, 64):
+            start = ends[k] - sizes[k]
+            own = slice(start, ends[min(k + 64, part.num_rows) - 1])
+            yield h[own], ends[k : k + 64] - sizes[k : k + 64] - start, cells[own]
 
 
 def _train_round(docs: DataFrame, weights: np.ndarray, head: list[bytes]) -> np.ndarray:
@@ -255,25 +270,16 @@ def train(docs: DataFrame, head: list[bytes]) -> np.ndarray:
     return weights
 
 
-#: Distinct tokens that a task counts before it hands them on.
-COUNTED = 200_000
+#: Bytes of text whose tokens a task counts before it hands them on.
+COUNTED_BYTES = 1 << 24
 
 
 def _count_tokens(batches):
     """Tokens of training documents with counts, summed over as many as a task can hold."""
-
-    def row_batch(counts):
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
-
-    counts = Counter()
     for b in batches:
-        for k in range(0, b.num_rows, 64):
-            for text in utf8_list(b.slice(k, 64).column(0)):
-                counts.update(tokens(text))
-            if len(counts) > COUNTED:
-                yield row_batch(counts)
-                counts = Counter()
-    yield row_batch(counts)
+        for part in slices(b, 0, 64, COUNTED_BYTES):
+            toks, which, _ = tokens(part.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(toks, pa.binary()), pa.array(np.bincount(which, minlength=len(toks)), pa.int64())], ["token", "c"])
 
 
 def _list_tokens(common):
@@ -281,9 +287,8 @@ def _list_tokens(common):
 
     def run(table: pa.Table) -> pa.Table:
         found = set()
-        for k in range(0, table.num_rows, 64):
-            for text in utf8_list(table.slice(k, 64).column("text")):
-                found.update(tokens(text))
+        for part in slices(table, "text", 64):
+            found.update(tokens(part.column("text"))[0])
         found.difference_update(common.value)
         return pa.table({"block": np.full(len(found), table.column("block")[0].as_py(), np.int32), "token": pa.array(list(found), pa.binary())})
 
@@ -297,16 +302,14 @@ def _score(weights, common, head: list[bytes], total: int, distinct: int, of_cel
         known = dict(zip(counts.column("token").to_numpy().tolist(), counts.column("n").to_numpy().tolist(), strict=True))
         known.update(common.value)
         numbers, model, out = Numbers(Classes(head), known), Model(weights.value), []
-        for k in range(0, docs.num_rows, 512):
-            own = [tokens(t) for t in utf8_list(docs.slice(k, 512).column("text"))]
-            sizes = np.array([len(d) for d in own])
-            c, cells, h = numbers([*itertools.chain.from_iterable(own)])
+        for part in slices(docs, "text", 512):
+            toks, which, sizes = tokens(part.column("text"))
+            c, cells, h = numbers(toks, which)
             at = np.cumsum(sizes) - sizes
             log = np.log10(c + 1.0)
             base = log - math.log10(total + 1 * (distinct + 1))
             score = log - np.log10(of_cell + kinds_of_cell + 1.0)[cells] + model.log10(h, at, cells)
-            part = docs.slice(k, len(own))
-            out.append([part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(len(own), total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(score, at))])
+            out.append([part.column("doc_id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array(np.full(part.num_rows, total)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(score, at))])
         if not out:
             return schema.empty_table()
         return pa.Table.from_arrays([pa.chunked_array(list(x)) for x in zip(*out, strict=True)], schema=schema)

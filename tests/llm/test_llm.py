@@ -7,11 +7,13 @@ import os
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -537,6 +539,22 @@ def test_language_model_has_its_former_size():
     assert all(len(np.unique(row)) > 16_000 for row in maxent.feature_slots(hashes, np.array([0])))
 
 
+def test_language_model_reads_tokens_without_an_object_each(texts):
+    rng = random.Random(4)
+    odd = [*texts, " a", "a ", "\x0b", *("".join(rng.choice("aB é\t\n\r\x0b\x0c\x1c\x00\x85") for _ in range(rng.randrange(30))) for _ in range(500))]
+    for kind in (pa.string(), pa.large_string()):
+        toks, at, sizes = maxent.tokens(pa.array(odd, kind).slice(3))
+        rows = np.split(at, np.cumsum(sizes))
+        assert [[toks[k] for k in row] for row in rows[:-1]] == [[*raw(t).lower().split(), maxent.END] for t in odd[3:]]
+    table = pa.table({"text": [" ".join(f"w{k * d % 5000}" for k in range(3000)) for d in range(64)]})
+    numbers = maxent.Numbers(maxent.Classes([]))
+    tracemalloc.start()
+    n = sum(len(cells) for _, _, cells in maxent._batches_of_tokens(table, numbers))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 64 * 3001 and peak < 60 * n
+
+
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(3)
     model, hashes = maxent.Model(), rng.integers(0, 1 << 32, 500)
