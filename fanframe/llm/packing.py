@@ -31,10 +31,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from fanframe.llm.common import utf8_list
+from fanframe.llm.common import slices, word_numbers
 
 WINDOW = 2048
 END_ID = 1
@@ -44,11 +45,23 @@ UPDATES = 60  # of a solution; it ends sooner when the residual no longer falls
 FEW = 0.01  # a solution that places a smaller share of the rest is the last
 
 
+#: Trailing characters that are pre-tokens apart from a letter or digit before them; those of special tokens are not among them.
+MARKS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+
+
+def _ends_apart(core: bytes) -> bool:
+    """Whether marks after these bytes start a pre-token: the last character is a Latin letter or digit in lower case, too."""
+    last = core[-4:].decode("utf-8", "replace")[-1:]
+    return last < "\u0250" and last.lower().isalnum()
+
+
 class ChunkEncoder:
     """Ids of whole texts from ids of their chunks between white space.
 
     The vocabulary drops white space and neither its normalizer nor its pre-tokens reach across
-    it, so a text's ids are its chunks' ids in a row. Chunks repeat, and each is encoded once.
+    it, so a text's ids are its chunks' ids in a row. Chunks repeat, and each is encoded once; one
+    with marks at its end is put together from the rest and the marks. All ids that are known lie
+    in one array, from which those of texts are gathered.
     """
 
     def __init__(self, path: str):
@@ -61,51 +74,82 @@ class ChunkEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.seen: dict[bytes, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._add([b""], [np.array([END_ID])], [np.array([1])])  # the end of a text
+
+    def _add(self, chunks: list[bytes], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        """Remember chunks with their ids, which come in a row."""
+        self.seen.update(zip(chunks, range(len(self.seen), len(self.seen) + len(chunks)), strict=True))
+        self.ids = np.concatenate([self.ids, *ids], dtype="<u4", casting="unsafe")
+        self.sizes = np.concatenate([self.sizes, *sizes], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks in a row, by the chunks' numbers, and how many each has."""
+        n = self.sizes.take(at)
+        ends = np.cumsum(n)
+        return self.ids.take(np.repeat(self.starts.take(at) - ends + n, n) + np.arange(n.sum())), n
 
     def _learn(self, chunks: list[bytes]) -> None:
-        words, others, joined = [], [], []
+        joined, plain = [], []
         for c in chunks:
-            # A full stop or comma after a letter or digit is a pre-token of its own.
-            if len(c) > 1 and c[-1:] in b".," and c[-2:-1].isalnum():
-                joined.append(c)
-                c = c[:-1]
-            if c not in self.seen:
-                self.seen[c] = b""
-                (words if c.decode("utf-8", "replace").isalpha() else others).append(c)
+            core = c.rstrip(MARKS)
+            if len(core) < len(c) and core and _ends_apart(core):
+                joined.append((c, core, c[len(core) :]))
+            else:
+                plain.append(c)
+        parts = {x for _, *both in joined for x in both}.difference(self.seen)
+        self._encode(list(parts.union(plain)))
         if joined:
-            others += [c for c in (b".", b",") if not self.seen.get(c)]
-        for k in range(0, len(words), 4096):
-            others += self._learn_words(words[k : k + 4096])
-        got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in others], add_special_tokens=False)
-        for c, e in zip(others, got, strict=True):
-            self.seen[c] = np.array(e.ids, "<u4").tobytes()
-        for c in joined:
-            self.seen[c] = self.seen[c[:-1]] + self.seen[c[-1:]]
-
-    def _learn_words(self, words: list[bytes]) -> list[bytes]:
-        """Encode words of letters as one text: the last id of each has the word-end mark. Returns them if that fails."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            return words
-        packed, at = ids.astype("<u4").tobytes(), 0
-        for c, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.seen[c] = packed[at:end]
-            at = end
-        return []
+            pairs = np.array([(self.seen[core], self.seen[marks]) for _, core, marks in joined])
+            ids, n = self._gather(pairs.ravel())
+            self._add([c for c, *_ in joined if c not in parts], [ids], [n.reshape(-1, 2).sum(1)])
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def _encode(self, chunks: list[bytes]) -> None:
+        words, others = [], []
+        for c in chunks:
+            (words if c.decode("utf-8", "replace").isalpha() else others).append(c)
+        known, ids, sizes = [], [], []
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            # Words of letters are encoded as one text: the last id of each has the word-end mark.
+            got = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.ends[got]) + 1
+            if len(ends) == len(part):
+                known += part
+                ids.append(got)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                others += part
+        for c, e in zip(others, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in others], add_special_tokens=False), strict=True):
+            known.append(c)
+            ids.append(np.array(e.ids, np.int64))
+            sizes.append(np.array([len(e.ids)]))
+        self._add(known, ids, sizes)
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Little-endian 32-bit ids of all texts in a row, each text's with the end id behind them, and how many each has."""
         # Case is folded anyway, but not that of special tokens, which are recognised before.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        texts = texts.fill_null("")
+        chunks, which, words = word_numbers(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
         if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = set().union(*split).difference(self.seen)
+            self._clear()
+        new = [c for c in chunks if c not in self.seen]
         if new:
-            self._learn(list(new))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+            self._learn(new)
+        numbers = np.fromiter(map(self.seen.__getitem__, chunks), np.int64, len(chunks))
+        ids, n = self._gather(numbers.take(which))
+        return ids, np.diff(np.cumsum(n)[np.cumsum(words) - 1], prepend=0)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        ids, n = self.encode_texts(pa.array(texts, pa.binary()).view(pa.string()))
+        ends = np.cumsum(n)
+        return [ids[end - k : end - 1].tobytes() for end, k in zip(ends.tolist(), n.tolist(), strict=True)]
 
 
 @functools.lru_cache(2)
@@ -138,7 +182,7 @@ def solve(columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
     size, k = len(counts), columns.shape[1]
     target = counts.astype(float)
     target[0] = 0
-    flat = columns.T.ravel()
+    flat = columns.T.ravel().astype(np.intp)  # else each use makes a copy
 
     def back(v: np.ndarray) -> np.ndarray:
         return v.take(flat).reshape(k, -1).sum(0)
@@ -273,30 +317,32 @@ def pack(lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    end = np.array([END_ID], "<u4").tobytes()
 
-    def emit(ids: list, packed: list[bytes], base: int):
-        lengths = np.array([len(p) // 4 for p in packed], np.int64)
+    def emit(docs: list[pa.Array], packed: list[np.ndarray], sizes: list[np.ndarray], base: int):
+        ids, lengths = np.concatenate(packed), np.concatenate(sizes)
         rows = pack(lengths, window)
-        crc = [zlib.crc32(memoryview(packed[d])[4 * s : 4 * (s + n)]) for d, s, n in rows[:, :3].tolist()]
-        doc = pa.array(ids, pa.int64()).take(pa.array(rows[:, 0]))
+        begin = (np.cumsum(lengths) - lengths).take(rows[:, 0]) + rows[:, 1]
+        crc = [zlib.crc32(ids[b : b + n]) for b, n in zip(begin.tolist(), rows[:, 2].tolist(), strict=True)]
+        doc = pa.concat_arrays(docs).cast(pa.int64()).take(pa.array(rows[:, 0]))
         yield pa.RecordBatch.from_arrays([doc, pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(crc, pa.int64()), pa.array(lengths[rows[:, 0]]), pa.array(rows[:, 3] + base), pa.array(rows[:, 4])], names)
 
     def run(batches):
         enc, base = encoder(path), TaskContext.get().partitionId() << 33
-        ids, packed, tokens = [], [], 0
+        docs, packed, sizes, tokens = [], [], [], 0
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                got = [p + end for p in enc.encode(utf8_list(part.column(1)))]
-                ids += part.column(0).to_pylist()
-                packed += got
-                tokens += sum(map(len, got)) // 4
-                if tokens >= BLOCK_TOKENS:
-                    yield from emit(ids, packed, base)
-                    base += tokens  # sequences are no more than ids
-                    ids, packed, tokens = [], [], 0
-        if ids:
-            yield from emit(ids, packed, base)
+            for part in slices(b, 1, 256):
+                got, n = enc.encode_texts(part.column(1))
+                ends = np.cumsum(n)
+                for k in range(0, part.num_rows, 256):
+                    docs.append(part.column(0).slice(k, 256))
+                    sizes.append(n[k : k + 256])
+                    packed.append(got[ends[k] - n[k] : ends[k + len(sizes[-1]) - 1]])
+                    tokens += len(packed[-1])
+                    if tokens >= BLOCK_TOKENS:
+                        yield from emit(docs, packed, sizes, base)
+                        base += tokens  # sequences are no more than ids
+                        docs, packed, sizes, tokens = [], [], [], 0
+        if docs:
+            yield from emit(docs, packed, sizes, base)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

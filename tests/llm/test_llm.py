@@ -517,6 +517,26 @@ def test_chunks_encode_as_the_library():
         assert np.frombuffer(got, "<u4").tolist() == e.ids
 
 
+def test_chunks_with_marks_behind_are_put_together():
+    path, rng, asked = public_tokenizers.path("word_bpe_49k.json"), random.Random(3), []
+    own, library = packing.ChunkEncoder(path), Tokenizer.from_file(path)
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(x for t in texts for x in t.split())
+            return library.encode_batch_fast(texts, **more)
+
+    own.tokenizer = Counted()
+    heads = ["".join(rng.choice("abcdeéüß") for _ in range(8)) for _ in range(60)]
+    tails = ["", "!!", "***", ",&&&", ".", "'", "_%", "\\", "...'-"]
+    odd = ["İ.", "xİ!!", "12.", "²;", "a\u0301.", "が.", "\u0915\u094d,", "<|endoftext|>.", "x<|endoftext|>!!", "<|endoftext|>a..", "it's.", "don'.", "'", ".", "a<|.", "a|>.", "x\u200d.", "Ǆ!"]
+    every = [h + t for h in heads for t in tails] + odd
+    for texts in ([" ".join(every)], every):
+        for got, e in zip(own.encode([t.encode() for t in texts]), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == e.ids
+    assert len(asked) < len(heads) + len(tails) + 3 * len(odd)
+
+
 def test_language_model(spark, empty):
     rng = random.Random(9)
     nouns = [f"noun{k}" for k in range(200)]
