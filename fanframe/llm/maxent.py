@@ -302,7 +302,7 @@ def _score(weights, common, head: list[bytes], total: int, distinct: int, of_cel
         known = dict(zip(counts.column("token").to_numpy().tolist(), counts.column("n").to_numpy().tolist(), strict=True))
         known.update(common.value)
         numbers, model, out = Numbers(Classes(head), known), Model(weights.value), []
-        for part in slices(docs, "text", 512):
+        for part in slices(docs, "text", 512, 1 << 20):
             toks, which, sizes = tokens(part.column("text"))
             c, cells, h = numbers(toks, which)
             at = np.cumsum(sizes) - sizes
