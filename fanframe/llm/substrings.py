@@ -28,7 +28,6 @@ nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,7 @@ LENGTH = 50
 GRAM = 24
 WIDTH = LENGTH - GRAM + 1
 BLOCK_BYTES = 1 << 22
+JOINED_BYTES = 1 << 15  # of short texts whose minima are found together, in the processor's cache
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -68,12 +68,35 @@ def minima(data: bytes) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
-def runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Value, first and last start of the runs of equal minima."""
-    if not len(m):
-        return m, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
-    return m[first], first, np.append(first[1:], len(m)) - 1
+def runs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value, text, first and last start of the runs of equal minima of all texts, in order.
+
+    Short texts share calls. Values are mixed, since minima are small numbers and would crowd in a few buckets.
+    """
+    parts = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    until = np.cumsum(sizes)
+    k = 0
+    while k < len(texts):
+        stop = max(k + 1, int(np.searchsorted(until, until[k] - sizes[k] + JOINED_BYTES, "right")))
+        m = minima(b"".join(texts[k:stop]))
+        ends = until[k:stop] - (until[k] - sizes[k])
+        starts = ends - sizes[k:stop]
+        long = np.flatnonzero(sizes[k:stop] >= LENGTH)
+        if len(long):
+            starts, ends = starts[long], ends[long]
+            opens = np.ones(len(m), bool)
+            np.not_equal(m[1:], m[:-1], out=opens[1:])
+            opens[starts] = True
+            first = np.flatnonzero(opens)
+            text = np.searchsorted(starts, first, "right") - 1
+            inner = (text >= 0) & (first <= ends[text] - LENGTH)  # strings within one text
+            first, text = first[inner], text[inner]
+            last = np.minimum(np.append(first[1:], len(m)) - 1, ends[text] - LENGTH)
+            parts.append((m[first] * ODD[0], long[text] + k, first - starts[text], last - starts[text]))
+        k = stop
+    value, text, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return value, text, first, last
 
 
 def codes(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -225,25 +248,21 @@ def equal_strings(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 # ---- steps ----
 
 
-def _rows(table: pa.Table) -> Iterator[tuple[int, bytes]]:
-    for b in table.to_batches():
-        ids = b.column("doc_id").to_pylist()
-        for doc, text in zip(ids, utf8_list(b.column("text")), strict=True):
-            yield LAST if doc is None else doc, text
+def _rows(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    """doc_id and text of each row."""
+    docs = table.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy().astype(np.int64)
+    return docs, [x for chunk in table.column("text").chunks for x in utf8_list(chunk)]
 
 
 def _list_minima(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("found", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        values, docs = [], []
-        for doc, text in _rows(table):
-            v = np.unique(codes(runs(minima(text))[0], buckets))
-            values.append(v)
-            docs.append(np.full(len(v), doc, np.int64))
-        v, d = np.concatenate(values), np.concatenate(docs)
+        docs, texts = _rows(table)
+        v, text, *_ = runs(texts)
+        v = codes(v, buckets)
         order = np.argsort(v, kind="stable")
-        v, d = v[order], d[order]
+        v, d = v[order], docs[text[order]]
         first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
         if not len(first):
             return schema.empty_table()
@@ -269,119 +288,158 @@ def _find_shared(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "shared": pa.chunked_array([pa.array([x.astype("<u4").tobytes() for x in out], pa.binary())])})
 
 
-def _pieces(text: bytes, shared: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
-    """(minimum, first, last start) of the runs whose minimum is shared."""
-    value, first, last = runs(minima(text))
-    good = _has(shared, codes(value, buckets))
-    return zip(value[good].tolist(), first[good].tolist(), last[good].tolist(), strict=True)
-
+def _pieces(texts: list[bytes], shared: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Of the runs whose minimum is shared: text, first and last start, number of the piece; of the
+    distinct pieces in the order of their numbers: minimum and bytes (an Arrow array).
 
-def _sharded(keys, shards: int) -> dict[int, list[tuple[int, bytes]]]:
-    """(minimum, piece) by shard, in order."""
-    out: dict[int, list[tuple[int, bytes]]] = {}
-    for key in sorted(keys):
-        out.setdefault((key[0] >> 32) * shards >> 32, []).append(key)
+    The order is by minimum, then bytes, so it is the same whatever order the texts come in.
+    """
+    value, text, first, last = runs(texts)
+    good = np.flatnonzero(_has(shared, codes(value, buckets)))
+    value, text, first, last = value[good], text[good], first[good], last[good]
+    cut = [texts[k][a:b] for k, a, b in zip(text.tolist(), first.tolist(), (last + LENGTH).tolist(), strict=True)]
+    coded = pa.array(cut, pa.large_binary()).dictionary_encode()
+    number, pieces = coded.indices.to_numpy(), coded.dictionary
+    minimum = np.empty(len(pieces), np.uint64)
+    minimum[number] = value  # a piece's bytes tell its minimum
+    order = np.argsort(minimum, kind="stable")
+    ordered = minimum[order]
+    like = np.concatenate([[False], ordered[1:] == ordered[:-1], [False]])
+    if len(tied := np.flatnonzero(like[1:] | like[:-1])):
+        keys = list(zip(ordered[tied].tolist(), pieces.take(pa.array(order[tied])).to_pylist(), strict=True))
+        order[tied] = order[tied][sorted(range(len(keys)), key=keys.__getitem__)]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return text, first, last, place[number], ordered, pieces.take(pa.array(order))
+
+
+def _bytes(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, memoryview]:
+    """Where each piece begins, and the last ends, in their bytes."""
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int64)
+    return ends, memoryview(pieces.buffers()[2] or b"")
+
+
+def _least(number: np.ndarray, docs: np.ndarray, size: int) -> np.ndarray:
+    """The smallest doc_id of each number below size."""
+    out = np.full(size, LAST)
+    np.minimum.at(out, number, docs)
     return out
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Ranges of n numbers from each first one, in a row."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _send_pieces(shards: int, buckets: int):
     schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("minimum", pa.binary()), ("rest", pa.binary())])
 
-    def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
-        if not docs.num_rows or not lists.num_rows:
+    def run(table: pa.Table, lists: pa.Table) -> pa.Table:
+        if not table.num_rows or not lists.num_rows:
             return schema.empty_table()
         shared = np.sort(np.concatenate([np.frombuffer(x, "<u4").astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, x in zip(lists.column("bucket").to_pylist(), lists.column("shared").to_pylist(), strict=True)]))
-        least: dict[tuple[int, bytes], int] = {}
-        for doc, text in _rows(docs):
-            for value, a, b in _pieces(text, shared, buckets):
-                key = value, text[a : b + LENGTH]
-                known = least.get(key)
-                if known is None or doc < known:
-                    least[key] = doc
-        by_shard = _sharded(least, shards)
-        block, pack = docs.column("block")[0].as_py(), zstandard.ZstdCompressor(level=1).compress
-        rows = [(s, block, np.array([k[0] for k in ks], "<u8").tobytes(), pack(np.array([least[k] for k in ks], "<i8").tobytes() + np.array([len(k[1]) for k in ks], "<i4").tobytes() + b"".join([k[1] for k in ks]))) for s, ks in by_shard.items()]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+        docs, texts = _rows(table)
+        text, _, _, number, minimum, pieces = _pieces(texts, shared, buckets)
+        if not len(pieces):
+            return schema.empty_table()
+        least = _least(number, docs[text], len(pieces))
+        begin, data = _bytes(pieces)
+        shard = (minimum >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)  # ascends
+        cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]]).tolist()
+        block, pack = table.column("block")[0].as_py(), zstandard.ZstdCompressor(level=1).compress
+        ids, sizes = least.astype("<i8"), np.diff(begin).astype("<i4")
+        rest = [pack(b"".join([ids[a:b].tobytes(), sizes[a:b].tobytes(), data[begin[a] : begin[b]]])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        values = minimum.astype("<u8")
+        return pa.table({"shard": shard[cut[:-1]].astype(np.int32), "block": np.full(len(rest), block, np.int32), "minimum": [values[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], "rest": rest}, schema)
 
     return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """For each block's pieces, in the order sent, the smallest doc_id: one number if it holds for all strings of the piece, else one for each."""
-    least: dict[tuple[int, bytes], int] = {}
-    sent, unpack = [], zstandard.ZstdDecompressor().decompress
-    for minimum, rest in zip(*(table.column(c).to_pylist() for c in ("minimum", "rest")), strict=True):
-        values = np.frombuffer(minimum, "<u8").tolist()
-        n, rest = len(values), unpack(rest)
-        ends = (np.cumsum(np.frombuffer(rest, "<i4", n, 8 * n)) + 12 * n).tolist()
-        keys = list(zip(values, (rest[a:b] for a, b in zip([12 * n, *ends], ends, strict=False)), strict=True))
-        for k, d in zip(keys, np.frombuffer(rest, "<i8", n).tolist(), strict=True):
-            if (known := least.get(k)) is None or d < known:
-                least[k] = d
-        sent.append(keys)
-    under: dict[int, int] = {}
-    for m, _ in least:
-        under[m] = under.get(m, 0) + 1
-    unlike = [k for k in least if under[k[0]] > 1]
-    single: dict[tuple[int, bytes], np.ndarray] = {}
-    if unlike:
-        order, same = equal_strings([k[1] for k in unlike])
-        lengths = np.array([len(k[1]) for k in unlike])
-        doc = np.repeat(np.array([least[k] for k in unlike], np.int64), lengths + 1)
+    unpack = zstandard.ZstdDecompressor().decompress
+    minimums = table.column("minimum").to_pylist()
+    counts = np.array([len(x) // 8 for x in minimums])
+    rest = [memoryview(unpack(x)) for x in table.column("rest").to_pylist()]
+    minimum = np.frombuffer(b"".join(minimums), "<u8")
+    docs, sizes = (np.frombuffer(b"".join([x[a * n : b * n] for x, n in zip(rest, counts.tolist(), strict=True)]), kind) for a, b, kind in ((0, 8, "<i8"), (8, 12, "<i4")))
+    data = b"".join([x[12 * n :] for x, n in zip(rest, counts.tolist(), strict=True)])
+    del rest
+    begin = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(begin), pa.py_buffer(data)]).dictionary_encode()
+    number, pieces = coded.indices.to_numpy(), coded.dictionary
+    least = _least(number, docs, len(pieces))
+    under = np.empty(len(pieces), np.uint64)
+    under[number] = minimum
+    _, group, alike = np.unique(under, return_inverse=True, return_counts=True)
+    unlike = np.flatnonzero(alike[group] > 1)
+    n = np.ones(len(pieces), np.int64)  # numbers in the answer
+    if len(unlike):
+        texts = pieces.take(pa.array(unlike)).to_pylist()
+        order, same = equal_strings(texts)
+        lengths = np.array([len(t) for t in texts])
+        doc = np.repeat(least[unlike], lengths + 1)
         first = np.flatnonzero(~same)
-        group = np.cumsum(~same) - 1
         found = np.empty(len(doc), np.int64)
-        found[order] = np.minimum.reduceat(doc[order], first)[group]
-        start = np.cumsum(lengths + 1) - lengths - 1
-        for k, a, n in zip(unlike, start.tolist(), lengths.tolist(), strict=True):
-            single[k] = found[a : a + n - LENGTH + 1]
-    out, shard = [], table.column("shard")[0].as_py()
-    for block, keys in zip(table.column("block").to_pylist(), sent, strict=True):
-        values = []
-        for k in keys:
-            own = single.get(k)
-            values.append(np.array([least[k]], np.int64) if own is None or (own == own[0]).all() and own[0] == least[k] else own)
-        out.append((block, shard, np.array([k[0] for k in keys], "<u8").tobytes(), np.array([len(v) for v in values], "<i4").tobytes(), np.concatenate(values).astype("<i8").tobytes()))
-    schema = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("minimum", pa.binary()), ("n", pa.binary()), ("least", pa.binary())])
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-
-def covered(text: bytes, doc: int, shared: np.ndarray, buckets: int, answers: dict[tuple[int, bytes], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that strings found in earlier documents cover."""
-    first, last = [], []
-    for value, a, b in _pieces(text, shared, buckets):
-        least = answers[value, text[a : b + LENGTH]]
-        if len(least) > 1:
-            at = (np.flatnonzero(least < doc) + a).tolist()
-            first += at
-            last += at
-        elif least[0] < doc:
-            first.append(a)
-            last.append(b)
-    starts, ends = np.array(first, np.int64), np.array(last, np.int64) + LENGTH
-    if len(starts):  # both ascend
-        breaks = np.flatnonzero(starts[1:] > ends[:-1]) + 1
-        starts, ends = starts[np.concatenate([[0], breaks])], ends[np.concatenate([breaks - 1, [len(ends) - 1]])]
-    return starts, ends
-
-
-def _remove(columns: pa.Schema, make, buckets: int, shards: int):
+        found[order] = np.minimum.reduceat(doc[order], first)[np.cumsum(~same) - 1]
+        strings = lengths - LENGTH + 1
+        found = found[_spread(np.cumsum(lengths + 1) - lengths - 1, strings)]
+        begin = np.cumsum(strings) - strings
+        several = np.logical_or.reduceat(found != np.repeat(least[unlike], strings), begin)
+        n[unlike[several]] = strings[several]
+    start = np.cumsum(n) - n
+    pool = np.empty(n.sum(), np.int64)
+    pool[start] = least
+    if len(unlike):
+        pool[_spread(start[unlike[several]], strings[several])] = found[_spread(begin[several], strings[several])]
+    sent = n[number]
+    answers, at = pool[_spread(start[number], sent)].astype("<i8"), np.concatenate([[0], np.cumsum(sent)])
+    to = np.cumsum(counts).tolist()
+    cut = list(zip([0, *to], to, strict=False))
+    sent = sent.astype("<i4")
+    return pa.table(
+        {"block": table.column("block"), "shard": table.column("shard"), "minimum": table.column("minimum"), "n": [sent[a:b].tobytes() for a, b in cut], "least": [answers[at[a] : at[b]].tobytes() for a, b in cut]},
+        pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("minimum", pa.binary()), ("n", pa.binary()), ("least", pa.binary())]),
+    )
+
+
+def _covered(docs: np.ndarray, texts: list[bytes], lists: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end of the maximal runs of bytes that strings found in earlier documents cover."""
+    if not lists.num_rows:
+        return (np.zeros(0, np.int64),) * 3
+    lists = lists.sort_by("shard")
+    minimum, n, least = (np.frombuffer(b"".join(lists.column(c).to_pylist()), kind) for c, kind in (("minimum", "<u8"), ("n", "<i4"), ("least", "<i8")))
+    # The same pieces as were sent, in the same order, so that answers need no key.
+    text, first, last, number, sent, _ = _pieces(texts, np.unique(codes(minimum, buckets)), buckets)
+    if not np.array_equal(sent, minimum):
+        raise ValueError("answers are not for the pieces of this block")
+    n = n.astype(np.int64)
+    of = n[number]
+    earlier = least[_spread((np.cumsum(n) - n)[number], of)] < np.repeat(docs[text], of)
+    # Answers for a whole piece cover it to its end, others a string.
+    start = _spread(first, of)[earlier]
+    end = np.repeat(np.where(of > 1, 0, last - first), of)[earlier] + start + LENGTH
+    text = np.repeat(text, of)[earlier]
+    opens = np.ones(len(start), bool)  # both ascend within a text
+    opens[1:] = (start[1:] > end[:-1]) | (text[1:] != text[:-1])
+    closes = np.ones(len(start), bool)
+    closes[:-1] = opens[1:]
+    return text[opens], start[opens], end[closes]
+
+
+def _remove(columns: pa.Schema, make, buckets: int):
     """Cut each document of a block and give make(doc_id, text, kept parts, spans)."""
 
-    def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
-        minimums = [np.frombuffer(x, "<u8") for x in lists.column("minimum").to_pylist()]
-        known = np.unique(codes(np.concatenate(minimums), buckets)) if minimums else np.zeros(0, np.uint64)
-        # The same pieces as were sent, in the same order, so that answers need no key.
-        sent = _sharded({(value, text[a : b + LENGTH]) for _, text in _rows(docs) for value, a, b in _pieces(text, known, buckets)} if minimums else (), shards)
-        answers: dict[tuple[int, bytes], np.ndarray] = {}
-        for shard, n, least in zip(*(lists.column(c).to_pylist() for c in ("shard", "n", "least")), strict=True):
-            ends = np.cumsum(np.frombuffer(n, "<i4"))
-            answers.update(zip(sent[shard], np.split(np.frombuffer(least, "<i8"), ends[:-1]), strict=True))
+    def run(table: pa.Table, lists: pa.Table) -> pa.Table:
+        docs, texts = _rows(table)
+        text, start, end = _covered(docs, texts, lists, buckets)
+        cut = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+        start, end = start.tolist(), end.tolist()
         rows = []
-        for doc, text in _rows(docs):
-            a, b = covered(text, doc, known, buckets, answers)
-            cuts = zip([0, *b.tolist()], [*a.tolist(), len(text)], strict=True)
-            rows.append(make(None if doc == LAST else doc, text, b"".join([text[x:y] for x, y in cuts]), len(a)))
+        for doc, t, a, b in zip(docs.tolist(), texts, cut[:-1], cut[1:], strict=True):
+            kept = b"".join([t[x:y] for x, y in zip([0, *end[a:b]], [*start[a:b], len(t)], strict=True)]) if a < b else t
+            rows.append(make(None if doc == LAST else doc, t, kept, b - a))
         if not rows:
             return columns.empty_table()
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), columns, strict=True)], schema=columns)
@@ -393,11 +451,11 @@ def _digests(doc, text: bytes, kept: bytes, spans: int) -> tuple:
     return doc, len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest()
 
 
-def _replace(columns: list[str], buckets: int, shards: int):
+def _replace(columns: list[str], buckets: int):
     """Give the block's rows with what is left of their texts."""
 
     def run(docs: pa.Table, lists: pa.Table) -> pa.Table:
-        texts = iter(_remove(KEPT, lambda doc, text, kept, spans: (kept.decode("utf-8", "ignore"),), buckets, shards)(docs, lists).column("text").to_pylist())
+        texts = iter(_remove(KEPT, lambda doc, text, kept, spans: (kept.decode("utf-8", "ignore"),), buckets)(docs, lists).column("text").to_pylist())
         out = docs.select(columns)
         at = columns.index("text")
         had = out.column(at).is_valid().to_pylist()
@@ -416,16 +474,16 @@ def _run(docs: DataFrame, ddl, finish) -> DataFrame:
     grouped = by_block.groupBy("block")
     lists = grouped.applyInArrow(_list_minima(2 * n), "bucket int, block int, found binary")
     shared = lists.groupBy("bucket").applyInArrow(_find_shared, "block int, bucket int, shared binary")
-    sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(4 * n, 2 * n), "shard int, block int, minimum binary, rest binary")
+    sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(2 * n, 2 * n), "shard int, block int, minimum binary, rest binary")
     answers = sent.groupBy("shard").applyInArrow(_answer, "block int, shard int, minimum binary, n binary, least binary")
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(finish(2 * n, 4 * n), ddl)
+    return grouped.cogroup(answers.groupBy("block")).applyInArrow(finish(2 * n), ddl)
 
 
 def digest_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     columns = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _run(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda buckets, shards: _remove(columns, _digests, buckets, shards))
+    return _run(rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda buckets: _remove(columns, _digests, buckets))
 
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
@@ -433,4 +491,4 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     # Positions for names, so that columns of any name pass through.
     names = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)]
     safe = docs.toDF(*names)
-    return _run(safe, safe.schema, lambda buckets, shards: _replace(names, buckets, shards)).toDF(*docs.columns)
+    return _run(safe, safe.schema, lambda buckets: _replace(names, buckets)).toDF(*docs.columns)

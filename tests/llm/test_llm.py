@@ -7,6 +7,7 @@ import os
 import random
 import re
 import struct
+import sys
 import tracemalloc
 import zlib
 
@@ -14,6 +15,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -435,6 +437,36 @@ def test_substrings(docs, texts, empty, block, monkeypatch):
     assert substrings.digest_substrings(empty).count() == 0
 
 
+def test_runs_of_joined_texts():
+    rng = np.random.default_rng(1)
+    texts = [rng.choice(np.frombuffer(b"abcd ", np.uint8), n).tobytes() for n in (0, 49, 10, 50, 51, 0, 49, 300, 40_000, 3, 75, 20_000, 20_000, 48)]
+    value, text, first, last = substrings.runs(texts)
+    for k, t in enumerate(texts):
+        m, own = substrings.minima(t), text == k
+        opens = [i for i in range(len(m)) if not i or m[i] != m[i - 1]]
+        assert first[own].tolist() == opens and last[own].tolist() == [*[i - 1 for i in opens[1:]], *[len(m) - 1] * bool(opens)]
+        assert (value[own] == m[opens] * substrings.ODD[0]).all()
+
+
+def test_pieces_are_handled_in_arrays_and_dealt_evenly():
+    rng = np.random.default_rng(2)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz    ", np.uint8)
+    text = rng.choice(letters, 60_000).tobytes().decode()
+    table = pa.table({"doc_id": [1, 2], "text": [text, text], "block": pa.array([0, 0], pa.int32())})
+    shared = substrings._find_shared(substrings._list_minima(8)(table))
+    calls, send = collections.Counter(), substrings._send_pieces(8, 8)
+    substrings._answer(send(table, shared).slice(0, 1))  # imports
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        sent = send(table, shared)
+        substrings._answer(sent.filter(pc.equal(sent.column("shard"), 0)))
+    finally:
+        sys.setprofile(None)
+    pieces = [len(m) // 8 for m in sent.column("minimum").to_pylist()]
+    assert sum(pieces) > 3000 and calls.total() < sum(pieces) / 2
+    assert len(pieces) == 8 and max(pieces) < 1.5 * min(pieces)
+
+
 @pytest.mark.parametrize("block", [500, packing.BLOCK_TOKENS])
 def test_packing(docs, texts, empty, block, monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
