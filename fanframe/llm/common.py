@@ -7,6 +7,8 @@ is a Parquet table in the folder that the cluster shares.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import uuid
 from collections.abc import Iterator
@@ -93,6 +95,21 @@ def slices(batch: pa.RecordBatch | pa.Table, name: str | int, rows: int, text_by
             start, held = k + rows, 0
 
 
+@functools.lru_cache(1)
+def _trim():
+    """glibc's malloc_trim, or what does nothing where it is missing."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker lives on after its task, and else keeps all it ever took, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def block_count(docs: DataFrame, block_bytes: int) -> int:
     """How many hash blocks of about block_bytes of text the table makes (one scan of the texts' lengths)."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import os
 import zlib
 
@@ -35,12 +36,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from fanframe.llm.common import slices, word_numbers
+from fanframe.llm.common import give_back, slices, word_numbers
 
 WINDOW = 2048
 END_ID = 1
 BLOCK_TOKENS = 1 << 22  # ids of the documents that are packed together
-REMEMBERED = 1_000_000  # chunks of text whose ids a worker remembers
+REMEMBERED = 500_000  # chunks of text whose ids a worker remembers, some 200 bytes each
+SLICE_BYTES = 1 << 21  # of texts that are encoded together
 UPDATES = 60  # of a solution; it ends sooner when the residual no longer falls by a hundredth
 FEW = 0.01  # a solution that places a smaller share of the rest is the last
 
@@ -91,8 +93,10 @@ class ChunkEncoder:
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks in a row, by the chunks' numbers, and how many each has."""
         n = self.sizes.take(at)
-        ends = np.cumsum(n)
-        return self.ids.take(np.repeat(self.starts.take(at) - ends + n, n) + np.arange(n.sum())), n
+        shift = (self.starts.take(at) - np.cumsum(n) + n).astype(np.int32)  # ids of a slice and those known are far fewer than 2^31
+        where = np.repeat(shift, n)
+        where += np.arange(len(where), dtype=np.int32)
+        return self.ids.take(where), n
 
     def _learn(self, chunks: list[bytes]) -> None:
         joined, plain = [], []
@@ -125,10 +129,12 @@ class ChunkEncoder:
                 sizes.append(np.diff(ends, prepend=0))
             else:
                 others += part
-        for c, e in zip(others, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in others], add_special_tokens=False), strict=True):
-            known.append(c)
-            ids.append(np.array(e.ids, np.int64))
-            sizes.append(np.array([len(e.ids)]))
+        for k in range(0, len(others), 4096):  # what the tokenizer returns takes far more memory than the ids
+            part = others[k : k + 4096]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)]
+            known += part
+            ids.append(np.fromiter(itertools.chain.from_iterable(got), np.int64))
+            sizes.append(np.array([len(x) for x in got], np.int64))
         self._add(known, ids, sizes)
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -330,8 +336,9 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
         enc, base = encoder(path), TaskContext.get().partitionId() << 33
         docs, packed, sizes, tokens = [], [], [], 0
         for b in batches:
-            for part in slices(b, 1, 256):
+            for part in slices(b, 1, 256, SLICE_BYTES):
                 got, n = enc.encode_texts(part.column(1))
+                give_back()
                 ends = np.cumsum(n)
                 for k in range(0, part.num_rows, 256):
                     docs.append(part.column(0).slice(k, 256))
@@ -342,7 +349,10 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
                         yield from emit(docs, packed, sizes, base)
                         base += tokens  # sequences are no more than ids
                         docs, packed, sizes, tokens = [], [], [], 0
+                        give_back()
         if docs:
             yield from emit(docs, packed, sizes, base)
+            docs, packed, sizes = [], [], []
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

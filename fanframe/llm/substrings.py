@@ -28,6 +28,7 @@ nothing; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import inspect
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fanframe.llm.common import block_count, utf8_list
+from fanframe.llm.common import block_count, give_back, utf8_list
 
 LENGTH = 50
 GRAM = 24
@@ -467,16 +468,32 @@ def _replace(columns: list[str], buckets: int):
 KEPT = pa.schema([("text", pa.string())])
 
 
+def _lean(step):
+    """The step, whose worker keeps no memory for stages to come."""
+
+    def one(table: pa.Table) -> pa.Table:
+        out = step(table)
+        give_back()
+        return out
+
+    def two(table: pa.Table, lists: pa.Table) -> pa.Table:
+        out = step(table, lists)
+        give_back()
+        return out
+
+    return two if len(inspect.signature(step).parameters) == 2 else one
+
+
 def _run(docs: DataFrame, ddl, finish) -> DataFrame:
     n = block_count(docs, BLOCK_BYTES)
     # Repeated rows and null ids spread over blocks by their text.
     by_block = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     grouped = by_block.groupBy("block")
-    lists = grouped.applyInArrow(_list_minima(2 * n), "bucket int, block int, found binary")
+    lists = grouped.applyInArrow(_lean(_list_minima(2 * n)), "bucket int, block int, found binary")
     shared = lists.groupBy("bucket").applyInArrow(_find_shared, "block int, bucket int, shared binary")
-    sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(_send_pieces(2 * n, 2 * n), "shard int, block int, minimum binary, rest binary")
-    answers = sent.groupBy("shard").applyInArrow(_answer, "block int, shard int, minimum binary, n binary, least binary")
-    return grouped.cogroup(answers.groupBy("block")).applyInArrow(finish(2 * n), ddl)
+    sent = grouped.cogroup(shared.groupBy("block")).applyInArrow(_lean(_send_pieces(2 * n, 2 * n)), "shard int, block int, minimum binary, rest binary")
+    answers = sent.groupBy("shard").applyInArrow(_lean(_answer), "block int, shard int, minimum binary, n binary, least binary")
+    return grouped.cogroup(answers.groupBy("block")).applyInArrow(_lean(finish(2 * n)), ddl)
 
 
 def digest_substrings(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import re
 import struct
 import sys
 import tracemalloc
+import types
 import zlib
 
 import duckdb
@@ -529,6 +530,31 @@ def test_combinations_are_all_and_solutions_fit():
     assert abs(packing.rounded(x).sum() - x.sum()) < 1 and packing.rounded(np.array([0.4, 0.4, 0.4])).tolist() == [0, 1, 0]
 
 
+def test_packing_bounds_and_returns_memory(monkeypatch):
+    path, batches, given = public_tokenizers.path("word_bpe_49k.json"), [], []
+    own = packing.ChunkEncoder(path)
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            batches.append(len(texts))
+            return library.encode_batch_fast(texts, **more)
+
+    library, own.tokenizer = own.tokenizer, Counting()
+    words = [f"{k}x{k * k}" for k in range(10_000)]
+    got = own.encode([" ".join(words).encode()])
+    assert got == [np.array(library.encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()]
+    assert max(batches) <= 4096
+
+    class Table:
+        select = lambda self, *names: self
+        mapInArrow = lambda self, run, ddl: run
+
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(packing, "give_back", lambda: given.append(1))
+    rows = list(packing.pack_documents(Table(), path)(iter([pa.record_batch({"doc_id": [1, 2], "text": ["one", "two"]})])))
+    assert sum(b.num_rows for b in rows) >= 2 and given
+
+
 def test_packing_of_odd_rows(spark):
     """Null and repeated ids, and columns with the names used inside."""
     names = ["start", "length", "sequence_id", "offset"]
